@@ -3,10 +3,20 @@ the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding import near_vectors
 from .minhash import near_duplicates
+from .mixing import mix
+from .shared import shared_dir
+from .sharding import shards
+from .warc import read_archive, write_archive
+
+#: Bytes of text a shard may hold.
+SHARD_BYTES = 8 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +29,103 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    each = mixed.withColumn("n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    copies = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("n") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"))
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select(F.col("id").alias("doc_id"), "bytes", F.col("depth").cast("int").alias("depth"), "prefix", "page", "shard_bytes")
+
+
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    write_archive(_table(spark, sf_dir, "pages"), path)
+    back = read_archive(spark, path)
+    return back.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+OP3_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents
+), b AS (
+  SELECT 0 AS depth, CAST(0 AS BIGINT) AS prefix, doc_id, bytes, h,
+         sum(bytes) OVER () AS total, min(h) OVER () AS lo, max(h) OVER () AS hi
+  FROM r
+  UNION ALL
+  SELECT depth + 1, h >> (59 - depth), doc_id, bytes, h,
+         sum(bytes) OVER (PARTITION BY h >> (59 - depth)), min(h) OVER (PARTITION BY h >> (59 - depth)), max(h) OVER (PARTITION BY h >> (59 - depth))
+  FROM b WHERE total > {SHARD_BYTES} AND lo < hi
+), leaf AS (
+  SELECT *, max(bytes) OVER (PARTITION BY depth, prefix) AS most,
+         row_number() OVER (PARTITION BY depth, prefix ORDER BY bytes) - 1 AS n
+  FROM b WHERE total <= {SHARD_BYTES} OR lo = hi
+), paged AS (
+  SELECT doc_id, bytes, depth, prefix, total, CASE WHEN total <= {SHARD_BYTES} THEN 0
+    ELSE CAST(floor(n / greatest(1, floor({SHARD_BYTES} / greatest(most, 1)))) AS BIGINT) END AS page
+  FROM leaf
+)
+SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CAST(depth AS INTEGER) AS depth, CAST(prefix AS BIGINT) AS prefix, CAST(page AS BIGINT) AS page,
+       CAST(sum(bytes) OVER (PARTITION BY depth, prefix, page) AS BIGINT) AS shard_bytes
+FROM paged
+"""
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), f AS (
+  SELECT page_id, n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a AS n, b AS m FROM l
+  UNION
+  SELECT reach.n, l.b FROM reach JOIN l ON reach.m = l.a
+), least AS (
+  SELECT n, min(m) AS m FROM reach GROUP BY n
+), degree AS (
+  SELECT a, count(*) AS k FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(k, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(m, v.vec_id)) AS kept
+FROM v LEFT JOIN least ON v.vec_id = least.n LEFT JOIN degree ON v.vec_id = degree.a
+"""
+
+
 def queries() -> dict:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_source_mixing": op2_source_mixing,
+        "op3_extendible_sharding": op3_extendible_sharding,
+        "op7_warc_archive": op7_warc_archive,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_extendible_sharding": OP3_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL}
