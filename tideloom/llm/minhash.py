@@ -28,7 +28,7 @@ from .shared import _mix, shingle_sets, small_batches, written
 
 BANDS, ROWS = 32, 4
 #: Sets of one bucket that are compared in one step; larger buckets are split.
-BLOCK = 256
+BLOCK = 1024
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -147,22 +147,26 @@ def spanning_links(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray, p
 def _search(percent: int):
     """Rows (block, side, set_id, part, shingles) sorted by block to links."""
 
-    def one(block: list[dict]) -> list[tuple[bytes, bytes]]:
-        _, part = np.unique(np.array([r["part"] for r in block], dtype=object), return_inverse=True)
+    def one(block: list[tuple]) -> list[tuple[bytes, bytes]]:
+        _, part = np.unique(np.array([r[1] for r in block], dtype=object), return_inverse=True)
         if part.max() == 0:
             return []
-        got = spanning_links([np.array(r["shingles"], dtype=np.int64) for r in block], part, np.array([r["side"] for r in block]), percent)
-        return [(block[i]["set_id"], block[j]["set_id"]) for i, j in got]
+        got = spanning_links([r[3] for r in block], part, np.array([r[2] for r in block]), percent)
+        return [(block[i][0], block[j][0]) for i, j in got]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[dict] = []
+        block: list[tuple] = []
+        at = None
         found: list[tuple[bytes, bytes]] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if block and block[0]["block"] != r["block"]:
-                    found += one(block)
-                    block = []
-                block.append(r)
+            sets = batch.column("shingles")
+            flat, cut = sets.values.to_numpy(), sets.offsets.to_numpy()
+            rest = zip(*(batch.column(c).to_pylist() for c in ("block", "set_id", "part", "side")), strict=True)
+            for i, (key, set_id, part, side) in enumerate(rest):
+                if key != at:
+                    found += one(block) if block else []
+                    block, at = [], key
+                block.append((set_id, part, side, flat[cut[i] : cut[i + 1]].copy()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
                 found = []

@@ -21,14 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may do without: it gets a temporary folder, which is
     recorded in the session so that later calls use the same one.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if "[" in spark.sparkContext.master and spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="tideloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tideloom-"))
+        at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
