@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .embedding import near_vectors
 from .minhash import near_duplicates
 from .mixing import mix
+from .pii import PATTERNS, joined, personal_data
 from .shared import shared_dir
 from .sharding import shards
 from .warc import read_archive, write_archive
@@ -41,6 +42,13 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "bytes", F.col("depth").cast("int").alias("depth"), "prefix", "page", "shard_bytes")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda m, k=k: m["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
+    both = F.concat_ws(",", F.expr(f"nullif({joined('base')}, '')"), F.expr(f"nullif({joined('found')}, '')"))
+    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), both.alias("spans"))
+
+
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(_table(spark, sf_dir, "pages"), path)
@@ -122,6 +130,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_source_mixing": op2_source_mixing,
         "op3_extendible_sharding": op3_extendible_sharding,
+        "op6_personal_data": op6_personal_data,
         "op7_warc_archive": op7_warc_archive,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
