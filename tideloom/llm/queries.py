@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding import near_vectors
+from .labelled import HELD_OUT, fold
 from .minhash import near_duplicates
 from .mixing import mix
 from .pii import PATTERNS, joined, personal_data
 from .shared import shared_dir
 from .sharding import shards
+from .toxicity import fit_toxicity
 from .warc import read_archive, write_archive
 
 #: Bytes of text a shard may hold.
@@ -56,6 +58,16 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def _judged(scores: DataFrame, least: float) -> DataFrame:
+    held_out = (fold(F.col("id")) == HELD_OUT).alias("held_out")
+    return scores.select(F.col("id").alias("doc_id"), held_out, "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _judged(fit_toxicity(docs, _table(spark, sf_dir, "labels")).score(docs), 0.3)
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
@@ -132,6 +144,7 @@ def queries() -> dict:
         "op3_extendible_sharding": op3_extendible_sharding,
         "op6_personal_data": op6_personal_data,
         "op7_warc_archive": op7_warc_archive,
+        "op8_toxicity": op8_toxicity,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
