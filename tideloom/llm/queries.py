@@ -13,6 +13,7 @@ from .labelled import HELD_OUT, fold
 from .minhash import near_duplicates
 from .mixing import mix
 from .pii import PATTERNS, joined, personal_data
+from .quality import fit_quality
 from .shared import shared_dir
 from .sharding import shards
 from .toxicity import fit_toxicity
@@ -68,6 +69,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(fit_toxicity(docs, _table(spark, sf_dir, "labels")).score(docs), 0.3)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _judged(fit_quality(docs, _table(spark, sf_dir, "labels")).score(docs), 0.7)
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
@@ -145,6 +151,7 @@ def queries() -> dict:
         "op6_personal_data": op6_personal_data,
         "op7_warc_archive": op7_warc_archive,
         "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
