@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import leaks
 from .embedding import near_vectors
 from .labelled import HELD_OUT, fold
 from .minhash import near_duplicates
@@ -45,6 +46,11 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "bytes", F.col("depth").cast("int").alias("depth"), "prefix", "page", "shard_bytes")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", F.col("start").alias("match_start"), F.col("end").alias("match_end"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_data(_table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda m, k=k: m["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
@@ -148,6 +154,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_source_mixing": op2_source_mixing,
         "op3_extendible_sharding": op3_extendible_sharding,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op6_personal_data": op6_personal_data,
         "op7_warc_archive": op7_warc_archive,
         "op8_toxicity": op8_toxicity,
