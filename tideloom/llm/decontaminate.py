@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small_batches
 
@@ -211,6 +212,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     queries = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") >= LEAST_CHARS).distinct()
+    item_type = to_arrow_type(queries.schema["item"].dataType)
     kinds, item_kind = dict(rows.dtypes)["id"], dict(queries.dtypes)["item"]
     chars = queries.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
@@ -238,7 +240,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 if told:
                     item, d, s, e = zip(*told, strict=True)
                     ids = b.column("id").take(pa.array(np.array(at)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(d, pa.int32()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["id", "item", "distance", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), pa.array(d, pa.int32()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["id", "item", "distance", "start", "end"])
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
