@@ -17,6 +17,7 @@ from .pii import PATTERNS, joined, personal_data
 from .quality import fit_quality
 from .shared import shared_dir
 from .sharding import shards
+from .substring import repeated_passages
 from .toxicity import fit_toxicity
 from .warc import read_archive, write_archive
 
@@ -51,6 +52,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", F.col("start").alias("match_start"), F.col("end").alias("match_end"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(_table(spark, sf_dir, "documents"), length=200)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_data(_table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda m, k=k: m["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
@@ -155,6 +161,7 @@ def queries() -> dict:
         "op2_source_mixing": op2_source_mixing,
         "op3_extendible_sharding": op3_extendible_sharding,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_repeated_passages": op5_repeated_passages,
         "op6_personal_data": op6_personal_data,
         "op7_warc_archive": op7_warc_archive,
         "op8_toxicity": op8_toxicity,
