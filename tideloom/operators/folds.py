@@ -96,9 +96,11 @@ class Tema:
 
 class Kama:
     """Adaptive average: the smoothing follows the efficiency ratio. The first
-    output, on value n + 1, is the mean of the last n."""
+    output, on value n + 1, is the mean of the last n; ``stepped`` instead
+    takes one step from the mean of the first n."""
 
-    def __init__(self, n: int = 30, fast: int = 2, slow: int = 30):
+    def __init__(self, n: int = 30, fast: int = 2, slow: int = 30, stepped: bool = False):
+        self.stepped = stepped
         self.n, self.fast, self.slow = n, 2.0 / (fast + 1), 2.0 / (slow + 1)
         self.held: list[float] = []
         self.y = NAN
@@ -115,6 +117,8 @@ class Kama:
                 continue
             if len(self.held) > n + 1:
                 self.held.pop(0)
+            elif self.y != self.y and self.stepped:
+                self.y = sum(self.held[:n]) / n
             elif self.y != self.y:
                 self.y = sum(self.held[1:]) / n
                 out.append(self.y)
@@ -487,8 +491,9 @@ def average(b: Bars, kind: str, n: int = 30, x: str = "close", out: str | None =
 
 
 def envelope(b: Bars, kind: str = "sma", n: int = 30, percent: float = 2.5, x: str = "close", out: str = "env") -> Bars:
-    """_mid, _top and _bot around a moving average."""
-    b = average(b, kind, n, x, f"{out}_mid")
+    """_mid, _top and _bot around a moving average. The adaptive one is stepped."""
+    make = (lambda: Kama(n, stepped=True)) if kind == "kama" else (lambda: AVERAGES[kind](n))
+    b = fold(b, [(make, [x], [f"{out}_mid"])])
     return b.put(**{f"{out}_top": F.col(f"{out}_mid") * (1 + percent / 100), f"{out}_bot": F.col(f"{out}_mid") * (1 - percent / 100)})
 
 
