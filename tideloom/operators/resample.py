@@ -16,6 +16,7 @@ ORDINAL = {"week": 5, "month": 21, "year": 252}
 def bucket(ts: Column, unit: str, n: int = 1, sunday: bool = False) -> Column:
     """Start of the period of ``n`` units that ``ts`` is in. Weeks begin on
     Monday, or on Sunday."""
+    ts = ts.cast("timestamp")
     if unit in ("month", "year"):
         months = (F.year(ts) - 1970) * 12 + F.month(ts) - 1
         size = n * (12 if unit == "year" else 1)

@@ -123,7 +123,7 @@ def williams_r(b: Bars, n: int = 14, out: str = "williamsr", flat: float | None
     """-100 (highest - close) / (highest - lowest); ``flat`` where they meet."""
     b = b.put(_hh=b.max("high", n), _ll=b.min("low", n))
     zero = F.lit(flat).cast("double")
-    r = F.when(F.col("_hh").isNotNull(), ratio(-100 * (F.col("_hh") - F.col("close")), F.col("_hh") - F.col("_ll"), zero))
+    r = F.when(F.col("_hh").isNotNull(), ratio(100 * (F.col("close") - F.col("_hh")), F.col("_hh") - F.col("_ll"), zero))
     return b.put(**{out: r}).drop("_hh", "_ll")
 
 
