@@ -91,6 +91,26 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS n, b AS m FROM l UNION SELECT reach.n, l.b FROM reach JOIN l ON reach.m = l.a
+), least AS (
+  SELECT n, min(m) AS m FROM reach GROUP BY n
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
+FROM s LEFT JOIN least ON s.doc_id = least.n
+"""
+
 OP3_SQL = f"""
 WITH RECURSIVE r AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
@@ -171,4 +191,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_extendible_sharding": OP3_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL}
