@@ -143,8 +143,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, score) per row; texts without words, empty and null ones too,
-        have features of zero."""
+        """(id, score) per row. Texts without words, empty and null ones too,
+        hold nothing toxic and score 0."""
         small_batches(docs.sparkSession)
         model = docs.sparkSession.sparkContext.broadcast(self)  # of fixed size
 
@@ -152,7 +152,11 @@ class ToxicityModel:
             m, cache = model.value, {}
             for b in batches:
                 texts = b.column("text").to_pylist()
-                p = m.probability(m.features(texts, cache)) if m.tables is not None else np.full(len(texts), m.prior)
+                if m.tables is None:
+                    p = np.full(len(texts), m.prior)
+                else:
+                    f = m.features(texts, cache)
+                    p = np.where(f[:, 3] > 0, m.probability(f), 0.0)  # no words, no score
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p, pa.float64())], ["id", "score"])
 
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
