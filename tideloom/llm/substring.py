@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import _mix, powers, small_batches, written
 
 #: Bytes of a minimizer's k-gram; bytes scanned at a time; bytes of an index.
-GRAM, PIECE, INDEX_BYTES = 40, 1 << 19, 2_000_000
+GRAM, PIECE, INDEX_BYTES = 40, 1 << 19, 1_000_000
 #: Keys of texts to fetch that are broadcast at most; more are shuffled.
 BROADCAST_KEYS = 1_000_000
 _RAW = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -101,24 +101,38 @@ def matches(segs: list[bytes], length: int) -> list[np.ndarray]:
         c = np.zeros(n, dtype=np.int64)
         c[: n - j] = text[j:]
         key = key * 257 + np.where(left >= j, c, 0)
-    order = np.argsort(key, kind="stable")
-
-    def ranks(sorted_key: np.ndarray) -> np.ndarray:
-        out = np.empty(n, dtype=np.int64)
-        out[order] = np.cumsum(np.append(0, (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)))
-        return out
-
-    rank = ranks(key[order])
+    order = np.argsort(key)
+    sorted_key = key[order]
+    fresh = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
+    # A rank is the place in the order where its group of equals begins; only
+    # places in groups of several are sorted again.
+    sizes_of = np.diff(np.append(fresh, n))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(fresh, sizes_of)
+    todo = order[np.repeat(sizes_of > 1, sizes_of)]
     while True:
         levels.append((span, rank.astype(np.int32)))
-        if span > left.max() or rank[order[-1]] == n - 1:
+        todo = todo[left[todo] >= span]  # the rest end within: equal for good
+        if not len(todo):
             break
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + np.where(left >= span, ahead, 0)
-        order = np.argsort(key, kind="stable")
-        rank = ranks(key[order])
+        key = rank[todo] * (n + 1) + np.where(todo + span < n, rank[np.minimum(todo + span, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        todo, key = todo[by], key[by]
+        group = key // (n + 1)
+        new = np.append(True, key[1:] != key[:-1])
+        whole = np.append(True, group[1:] != group[:-1])
+        at = np.arange(len(todo))
+        # Those that ended within come first in their group.
+        members = np.diff(np.append(np.flatnonzero(whole), len(todo)))
+        total = np.bincount(rank, minlength=n)[group[whole]]
+        start = np.repeat(group[whole] + total - members - at[whole], members)
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        rank = rank.copy()
+        rank[todo] = start + first
+        runs = np.diff(np.append(np.flatnonzero(new), len(todo)))
+        todo = todo[np.repeat(runs > 1, runs)]
         span *= 2
+    order = np.argsort(rank * n + np.arange(n))  # equal to the separator: by place
     # The transform in runs, and at each border the common prefix of the two
     # suffixes that meet there: the samples at the end and start of runs.
     bwt = text[order - 1]
@@ -246,7 +260,7 @@ def _indexed(length: int):
         held, last = 0, None
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("low", "segment", "alone", "data", "split", "block")), strict=True):
-                if r[5] != last and held >= INDEX_BYTES:  # whole blocks only
+                if r[5] != last and held >= INDEX_BYTES // 2:  # whole blocks only
                     yield one(rows)
                     rows, held = [], 0
                 last = r[5]
@@ -303,7 +317,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_col: str = "doc_id"
     texts = rows.groupBy("key", "n_bytes").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     long_ = base.where(F.col("n_bytes") >= length)
 
-    occurrences = long_.select("key", "text").mapInArrow(_scan(length), "key bigint, low bigint, segment bigint, start int, size int")
+    occurrences = written(long_.select("key", "text").mapInArrow(_scan(length), "key bigint, low bigint, segment bigint, start int, size int"))
     often = occurrences.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
     near = written(occurrences.join(often, "low"))
     kinds = near.groupBy("low", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("place"))
