@@ -72,7 +72,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
             for w, n in Counter(TOKEN.findall(text.lower())).items():
                 seen[w, y] += n
-        if len(seen) > 300_000:
+        if len(seen) > 120_000:
             yield out()
             seen.clear()
     if seen:
@@ -81,10 +81,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts to six-gram counts, with the hashes of the shorter grams."""
-    for b in batches:
+    for b in (batch.slice(i, 8000) for batch in batches for i in range(0, len(batch), 8000)):
         words = b.column("word").to_pylist()
-        if not words:
-            continue
         grams, first = _grams(words)
         lengths = np.diff(np.append(first, len(grams[6][0])))
         tox, plain = (np.repeat(b.column(c).to_numpy(), lengths) for c in ("tox", "plain"))
@@ -123,19 +121,20 @@ class ToxicityModel:
         return np.add.reduceat(both[0] - both[1], first)
 
     def features(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
-        words = [TOKEN.findall(t.lower()) for t in texts]
-        if len(cache) > 500_000:
-            cache.clear()
-        new = list({w for ws in words for w in ws} - cache.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            cache.update(zip(some, self.word_scores(some).tolist(), strict=True))
         out = np.zeros((len(texts), 4))
-        for i, ws in enumerate(words):
-            if ws:
-                v = np.array([cache[w] for w in ws])
-                top = np.sort(v)[-3:]
-                out[i] = v.sum() / sum(map(len, ws)), top[-1], top.mean(), np.log1p(len(ws))
+        for lo in range(0, len(texts), 64):  # few texts' words at a time
+            words = [TOKEN.findall(t.lower()) for t in texts[lo : lo + 64]]
+            if len(cache) > 150_000:
+                cache.clear()
+            new = list({w for ws in words for w in ws} - cache.keys())
+            for i in range(0, len(new), 8000):
+                some = new[i : i + 8000]
+                cache.update(zip(some, self.word_scores(some).tolist(), strict=True))
+            for i, ws in enumerate(words, lo):
+                if ws:
+                    v = np.array([cache[w] for w in ws])
+                    top = np.sort(v)[-3:]
+                    out[i] = v.sum() / sum(map(len, ws)), top[-1], top.mean(), np.log1p(len(ws))
         return out
 
     def probability(self, features: np.ndarray) -> np.ndarray:
