@@ -118,3 +118,13 @@ def test_published_values(spark, name):
     places = (n - 1, least - 1, n - 1 + math.floor((least - n) / 2))
     for i, values in enumerate(lines):
         assert [round(rows[p][i], 6) for p in places] == [pytest.approx(v, abs=1.01e-6) for v in values]
+
+
+def test_registry(spark):
+    from tideloom.plans.registry import ALIASES, INDICATORS, indicator
+
+    assert set(ALIASES.values()) <= set(INDICATORS)
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), *[100.0 + i] * 4) for i in range(40)]
+    b = Bars(clean(spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double")))
+    assert indicator("BollingerBands")(b, 5).df.count() == 40
+    assert indicator("RSI")(b, 5).df.orderBy(F.desc("ts")).first()["rsi"] == 100.0

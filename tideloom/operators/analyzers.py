@@ -233,6 +233,13 @@ def buy_sell(bars: DataFrame, fills: DataFrame, by=("symbol",)) -> DataFrame:
     return bars.select(*by, "ts", "close").join(f, [*by, "ts"], "left")
 
 
+def trade_markers(bars: DataFrame, trades: DataFrame, by=("symbol",)) -> DataFrame:
+    """Observer: bars with the net profit of trades closed there, gains and
+    losses apart, null otherwise."""
+    t = trades.groupBy(*by, F.col("closed").alias("ts")).agg(F.sum(F.when(F.col("pnlcomm") >= 0, F.col("pnlcomm"))).alias("gain"), F.sum(F.when(F.col("pnlcomm") < 0, F.col("pnlcomm"))).alias("loss"))
+    return bars.select(*by, "ts", "close").join(t, [*by, "ts"], "left")
+
+
 def fund(equity: DataFrame, start: float = 100.0, by=("symbol",), value: str = "value") -> DataFrame:
     """Observer: fund value and shares, the shares fixed at the first value."""
     first = F.first(value).over(_w(by))

@@ -63,7 +63,6 @@ def percent_change(b: Bars, n: int = 30, x: str = "close", out: str = "pctchange
 
 def percent_rank(b: Bars, n: int = 50, x: str = "close", out: str = "pctrank") -> Bars:
     """Share of the last n values, itself included, below the value."""
-    below = F.aggregate(b.values(x, n), F.lit(0), lambda s, v: s + F.when(v < col(x), 1).otherwise(0))
     b = b.put(_pr=b.values(x, n))
     below = F.size(F.filter("_pr", lambda v: v < col(x)))
     return b.put(**{out: F.when(F.col("_pr").isNotNull(), below / F.lit(float(n)))}).drop("_pr")

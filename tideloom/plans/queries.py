@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines
 from ..operators import analyzers as an
-from ..operators import broker, filters, folds, resample, signals
+from ..operators import broker, filters, folds, resample, signals, timers
 from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources import readers
@@ -436,6 +436,8 @@ def queries() -> dict[str, Query]:
         "obs_log_returns": _table_of(an.log_returns),
         "obs_fund": _table_of(an.fund),
         "obs_benchmark": lambda s, d: an.benchmark(_equity(s, d), days(s, d).select("symbol", "ts", F.col("open").alias("value"))).select("symbol", *[F.round(c, 4).alias(c) for c in ("beta", "correlation", "tracking_error")]),
+        "obs_trade_markers": lambda s, d: an.trade_markers(days(s, d), broker.trades(_test(s, d))),
+        "str_timers": lambda s, d: timers.timers(resample.from_ticks(table(s, d, "events"), "event_type", "ts", "value", "hour", ties=("event_id",)), "06:30:00", repeat=6 * 3600, weekdays=(1, 3, 5)),
         "obs_buy_sell": lambda s, d: an.buy_sell(days(s, d), broker.fills(_test(s, d))),
         "str_tumbling": lambda s, d: rounded(streams.tumbling(_ticks(s, d), "6 hours", tie="event_id"), *BAR),
         "str_sessions": lambda s, d: streams.sessions(_ticks(s, d), "20 minutes").select("symbol", "ts", "until", F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), "ticks"),
@@ -477,6 +479,7 @@ def oracle_sql() -> dict[str, str]:
         "obs_log_returns": f"WITH {DAYS}, l AS (SELECT symbol, ts, ln(close / {lag('close')}) AS l FROM bars) SELECT symbol, ts, round(l, 4) + 0.0 AS logret, round(sum(l) {SO_FAR}, 4) + 0.0 AS total, round(avg(l) {SO_FAR} * 252, 4) + 0.0 AS annual FROM l",
         "obs_fund": f"WITH {DAYS}, f AS (SELECT symbol, ts, close, first_value(close) {ORDER} AS f FROM bars) SELECT symbol, ts, round(close / f * 100, 4) AS fund_value, round(f / 100, 4) AS fund_shares FROM f",
         "obs_benchmark": f"WITH {DAYS}, r AS (SELECT symbol, close / {lag('close')} - 1 AS a, open / {lag('open')} - 1 AS b FROM bars) SELECT symbol, round(covar_pop(a, b) / var_pop(b), 4) AS beta, round(corr(a, b), 4) AS correlation, round(stddev_pop(a - b), 4) AS tracking_error FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY symbol",
+        "str_timers": "WITH b AS (SELECT DISTINCT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts FROM events WHERE value IS NOT NULL), d AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS d FROM b WHERE isodow(ts) IN (1, 3, 5)), c AS (SELECT symbol, d, CAST(d AS TIMESTAMP) + to_minutes(390 + 360 * i) AS due FROM d, range(0, 3) t(i)) SELECT c.symbol, due, min(b.ts) AS ts FROM c JOIN b ON b.symbol = c.symbol AND CAST(b.ts AS DATE) = d AND b.ts >= due GROUP BY c.symbol, due",
         "str_tumbling": "SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, round(CAST(count(*) AS DOUBLE), 4) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)",
         "str_sessions": "WITH o AS (SELECT event_type AS symbol, ts, value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events WHERE value IS NOT NULL), g AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 20 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM o) SELECT symbol, min(ts) AS ts, max(ts) + INTERVAL 20 MINUTES AS until, round(max(value), 4) AS high, round(min(value), 4) AS low, count(*) AS ticks FROM g GROUP BY symbol, s",
     }
