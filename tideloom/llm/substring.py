@@ -318,7 +318,8 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_col: str = "doc_id"
     long_ = base.where(F.col("n_bytes") >= length)
 
     occurrences = written(long_.select("key", "text").mapInArrow(_scan(length), "key bigint, low bigint, segment bigint, start int, size int"))
-    often = occurrences.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
+    # Written, so that the join reads plain tables and a hot minimizer's side is split.
+    often = written(occurrences.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low"))
     near = written(occurrences.join(often, "low"))
     kinds = near.groupBy("low", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "size")).alias("place"))
     kinds = written(kinds.select("low", "segment", (F.col("n") == 1).alias("alone"), "place.*"))
@@ -329,6 +330,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_col: str = "doc_id"
 
     # Segments that occur once beside others of their minimizer: to the index.
     mixed = kinds.groupBy("low").agg(F.count("*").alias("n"), F.max(F.col("alone").cast("int")).alias("some"), F.sum("size").alias("bytes")).where("n > 1 and some = 1")
+    mixed = written(mixed)
     wanted = written(kinds.join(mixed.select("low", "bytes"), "low"))
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("low", "segment", "alone", "start", "size")).alias("wanted"))
 
