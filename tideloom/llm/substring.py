@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .shared import _mix, powers, small_batches, written
 
-#: Bytes of a minimizer's k-gram; bytes scanned at a time; bytes of an index.
-GRAM, PIECE, INDEX_BYTES = 40, 1 << 19, 1_000_000
+#: Bytes of a minimizer's k-gram; bytes scanned at a time; bytes of a block. Small
+#: blocks share an index, which a quarter of that fills.
+GRAM, PIECE, INDEX_BYTES = 40, 1 << 19, 2_000_000
 #: Keys of texts to fetch that are broadcast at most; more are shuffled.
 BROADCAST_KEYS = 1_000_000
 _RAW = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -260,7 +261,7 @@ def _indexed(length: int):
         held, last = 0, None
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("low", "segment", "alone", "data", "split", "block")), strict=True):
-                if r[5] != last and held >= INDEX_BYTES // 2:  # whole blocks only
+                if r[5] != last and held >= INDEX_BYTES // 4:  # whole blocks only
                     yield one(rows)
                     rows, held = [], 0
                 last = r[5]
