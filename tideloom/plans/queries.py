@@ -266,6 +266,13 @@ def _heikin(s: Sql) -> str:
     return s.select("ho", "hh", "hl", "hc")
 
 
+def _heikin_bars() -> str:
+    s = Sql(WEEKS, "weeks")
+    _heikin(s)
+    cells = ", ".join(f"round({x}, 4) + 0.0 AS {c}" for x, c in (("ho", "open"), ("hh", "high"), ("hl", "low"), ("hc", "close"), ("volume", "volume")))
+    return f"{s.text} SELECT symbol, ts, {cells} FROM {s.table}"
+
+
 #: name: (Spark, SQL or None) over weekly bars by folds.
 FOLDS: dict[str, tuple[Query, Callable[[Sql], str] | None]] = {
     "ma_ema": (_ema_on("ema"), lambda s: s.ema("close", 30, "v").select("v")),
@@ -467,6 +474,7 @@ def oracle_sql() -> dict[str, str]:
         "flt_data_filter": f"WITH {DAYS} SELECT symbol, ts, {RB} FROM bars WHERE close > 50",
         "flt_data_filler": f"WITH {DAYS}, b AS (SELECT *, {lag('ts', -1)} AS nxt FROM bars WHERE day(ts) > 3), n AS (SELECT *, CASE WHEN nxt - ts > INTERVAL 36 HOURS THEN date_diff('day', ts, nxt) - 1 ELSE 0 END AS n FROM b), e AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n) SELECT symbol, ts + to_days(CAST(i AS INTEGER)) AS ts, {', '.join(f'round(CASE WHEN i > 0 THEN close ELSE {c} END, 4) AS {c}' for c in OHLC)}, round(CASE WHEN i > 0 THEN 0 ELSE volume END, 4) AS volume FROM e",
         "flt_splits": f"WITH {DAYS}, s AS (SELECT symbol, ts AS sts, 2.0 AS r FROM bars WHERE month(ts) = 7 AND day(ts) = 1), j AS (SELECT b.*, coalesce(r, 1.0) AS r FROM bars b ASOF LEFT JOIN s ON b.symbol = s.symbol AND b.ts >= s.sts) SELECT symbol, ts, {', '.join(f'round({c} / r, 4) AS {c}' for c in OHLC)}, round(volume * r, 4) AS volume FROM j",
+        "flt_heikin_ashi": _heikin_bars(),
         "an_annual_return": _returns_sql("year") + " SELECT symbol, CAST(year(period) AS INTEGER) AS year, round(ret, 4) + 0.0 AS ret FROM r",
         "an_time_return": month + " SELECT symbol, period, round(ret, 4) + 0.0 AS ret FROM r",
         "an_returns": f"WITH {DAYS}, l AS (SELECT symbol, ln(close / {lag('close')}) AS l FROM bars) SELECT symbol, round(sum(l), 4) + 0.0 AS rtot, round(avg(l), 4) + 0.0 AS ravg FROM l GROUP BY symbol",
@@ -474,6 +482,9 @@ def oracle_sql() -> dict[str, str]:
         "an_drawdown": DRAWDOWN_SQL + " SELECT symbol, ts, round(close, 4) AS value, round(peak, 4) AS peak, round(peak - close, 4) AS money, round(100 * (peak - close) / peak, 4) AS drawdown, CAST(n - top AS INTEGER) AS length FROM d",
         "an_max_drawdown": DRAWDOWN_SQL + " SELECT symbol, round(max(peak - close), 4) AS money, round(max(100 * (peak - close) / peak), 4) AS drawdown, CAST(max(n - top) AS INTEGER) AS length FROM d GROUP BY symbol",
         "an_sharpe": month + ", x AS (SELECT symbol, ret - (pow(1.01, 1.0 / 12) - 1) AS x FROM r) SELECT symbol, round(avg(x) / nullif(stddev_pop(x), 0) * sqrt(12), 4) AS sharpe FROM x GROUP BY symbol",
+        "an_time_drawdown": f"WITH {DAYS}, m AS (SELECT symbol, date_trunc('month', ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY symbol, date_trunc('month', ts)), p AS (SELECT symbol, ts, close, max(close) {SO_FAR} AS peak, row_number() {ORDER} AS n FROM m), d AS (SELECT *, max(CASE WHEN close >= peak THEN n END) {SO_FAR} AS top FROM p) SELECT symbol, round(max(peak - close), 4) AS money, round(max(100 * (peak - close) / peak), 4) AS drawdown, CAST(max(n - top) AS INTEGER) AS length FROM d GROUP BY symbol",
+        "an_calmar": month + f", g AS (SELECT symbol, avg(ln(last / first)) AS mean FROM r GROUP BY symbol), q AS (SELECT symbol, close, max(close) {SO_FAR} AS peak FROM bars), x AS (SELECT symbol, max(100 * (peak - close) / peak) AS drawdown FROM q GROUP BY symbol) SELECT symbol, round(mean, 4) + 0.0 AS mean, round(drawdown, 4) AS drawdown, round(CASE WHEN drawdown > 0 THEN mean / (drawdown / 100) ELSE 'inf'::DOUBLE END, 4) + 0.0 AS calmar FROM g JOIN x USING (symbol)",
+        "an_vwr": month + ", l AS (SELECT symbol, ret, ln(1 + ret) AS l FROM r WHERE ret > -1), a AS (SELECT *, avg(l) OVER (PARTITION BY symbol) AS m FROM l), g AS (SELECT symbol, exp(avg(l)) - 1 AS mean, stddev_samp(l) AS std, avg(pow(l - m, 3)) / pow(avg(pow(l - m, 2)), 1.5) AS skew, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) AS downside FROM a GROUP BY symbol) SELECT symbol, round(mean, 4) + 0.0 AS mean, round(std, 4) AS std, round(skew, 4) + 0.0 AS skew, round(downside, 4) AS downside, round(mean / nullif(std, 0), 4) + 0.0 AS vwr, round(mean / nullif(std, 0) * sqrt(12), 4) + 0.0 AS vwr_annual FROM g",
         "an_round_trips": TRIPS_SQL,
         "an_total_value": f"WITH {DAYS} SELECT symbol, round(arg_min(close, ts), 4) AS first, round(arg_max(close, ts), 4) AS last, round(min(close), 4) AS least, round(max(close), 4) AS most FROM bars GROUP BY symbol",
         "obs_log_returns": f"WITH {DAYS}, l AS (SELECT symbol, ts, ln(close / {lag('close')}) AS l FROM bars) SELECT symbol, ts, round(l, 4) + 0.0 AS logret, round(sum(l) {SO_FAR}, 4) + 0.0 AS total, round(avg(l) {SO_FAR} * 252, 4) + 0.0 AS annual FROM l",
