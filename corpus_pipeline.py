@@ -23,35 +23,45 @@ TOXIC = 0.3
 SHARD_BYTES = 8 << 20
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``rejected(id)``; null ids stay
-    unless null itself is rejected."""
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with what tells its rows apart, ``_row``: id and text digest,
+    in a total order in which rows without an id come last. Rows that agree in
+    it have the same text, so that every stage judges them alike."""
+    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.md5("text").alias("digest")))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``keyed`` less the rows whose key is in ``rejected(id)``."""
     gone = rejected.select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return keyed.join(gone, keyed["_row"] == gone["_gone"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Score every text with models learned from the labels; reject by row id."""
+    """Score every text with models learned from the labels; reject by row."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, written(model.score(docs).where(F.col("score") >= TOXIC).select("id")))
+    keyed = _with_key(docs)
+    return _without(keyed, written(model.score(keyed, "_row").where(F.col("score") >= TOXIC).select("id"))).drop("_row")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id
-    stays. Rows that repeat an id stay or go together, and of those that repeat
-    the text as well one stays; rows without an id have no rank and stay."""
-    found = near_duplicates(docs, shingle=5, percent=80)
-    rest = _without(docs, written(found.where(~F.col("kept")).select("id")))
-    named = rest.where("doc_id is not null")
-    again = written(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    once = rest.join(again, rest["doc_id"] == again["_again"], "left_anti")
-    more = named.join(again, named["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    """Of each component of near duplicates one row stays, the least by id,
+    rows without an id last, then by text digest. Of rows that repeat id and
+    text one stays; only those that have neither an id nor words, which are
+    copies of nothing, stay all."""
+    keyed = _with_key(docs)
+    found = written(near_duplicates(keyed, "_row", shingle=5, percent=80).select("id", "kept", F.col("set_id").isNull().alias("wordless")))
+    rest = _without(keyed, found.where(~F.col("kept")).select("id"))
+    again = found.where(F.col("kept") & ~(F.col("wordless") & F.col("id.unnamed"))).groupBy("id").count().where("count > 1")
+    again = written(again.select(F.col("id").alias("_again")))
+    once = rest.join(again, rest["_row"] == again["_again"], "left_anti")
+    more = rest.join(again, rest["_row"] == again["_again"], "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(more).drop("_row")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, within its edit budget, go."""
-    return _without(docs, written(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("id")))
+    keyed = _with_key(docs)
+    return _without(keyed, written(leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row").select("id"))).drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
