@@ -5,8 +5,15 @@ each class; below them four-grams by the number of six-grams that end in them,
 also for each class; and below those two-grams by the number of four-grams, in
 one table that both classes share. What a class has hardly seen therefore costs
 both classes alike. The counts cover every labelled word outside the held-out
-and the calibration fold and are summed by Spark; they are then folded into
-hash tables of fixed size, which is all that is sent out.
+and the calibration fold. They stay in Spark tables by the whole 64-bit hash of
+a gram, however many there are; nothing is folded and no table is sent out.
+
+Texts are scored by joins. A chunk of documents becomes one row that holds its
+distinct words and its texts as numbers of these; the distinct words of all
+chunks are cut into grams, chunked likewise, and the distinct grams meet the
+counts. Values then go back to the chunks, so a word or gram, however common,
+is one row for each chunk that has it, and the number of rows for each document
+and word never matters.
 
 A word's score is the difference of its two log-likelihoods. A document's are
 that difference by character over the whole text, over the most telling word
@@ -17,12 +24,14 @@ sample of the calibration fold, turns them into a probability.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +39,8 @@ from .labelled import training_rows
 from .shared import _mix, powers, small_batches, written
 
 TOKEN = re.compile(r"[^\W_]+")
-#: Slots of the hash tables: by gram length, for grams and for histories.
-SLOTS = {6: 1 << 20, 4: 1 << 18, 2: 1 << 16}
+#: A chunk of documents ends after so many tokens, one of words after so many.
+CHUNK_TOKENS, CHUNK_WORDS = 250_000, 16_000
 ORDERS = (6, 4, 2)
 DISCOUNT = 0.75
 CALIBRATION_FOLD, CALIBRATION_ROWS = 1, 20_000
@@ -92,74 +101,160 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, *sums)], ["g6", "h6", "g4", "h4", "g2", "h2", "tox", "plain"])
 
 
+def _lists(flat: pa.Array, lengths: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), flat)
+
+
+def _document_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to chunks: the ids, the distinct words, the texts'
+    tokens as numbers of these, and how many each text has."""
+    ids: list[pa.Array] = []
+    sizes: list[int] = []
+    tokens: list[np.ndarray] = []
+    number: dict[str, int] = {}
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        flat = np.concatenate(tokens)
+        cols = [pa.concat_arrays(ids), pa.array(list(number), pa.string()), pa.array(flat), pa.array(np.array(sizes, dtype=np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *[_lists(c, [len(c)]) for c in cols]], ["chunk", "ids", "keys", "tokens", "sizes"])
+
+    for b in batches:
+        begin = 0
+        for i, text in enumerate(b.column("text").to_pylist()):
+            words = TOKEN.findall(text.lower())
+            tokens.append(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32))
+            sizes.append(len(words))
+            held += len(words)
+            if held >= CHUNK_TOKENS or len(sizes) >= 50_000:
+                ids.append(b.column("id").slice(begin, i + 1 - begin))
+                begin = i + 1
+                yield out()
+                ids, sizes, tokens, number, held = [], [], [], {}, 0
+        if begin < len(b):
+            ids.append(b.column("id").slice(begin))
+    if sizes:
+        yield out()
+
+
+def _word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words to chunks of words with their distinct six-grams, ``keys``, and
+    these grams' histories and shorter grams."""
+    names = ["keys", "h6", "g4", "h4", "g2", "h2"]
+
+    def out(words: list[str]) -> pa.RecordBatch:
+        grams, _ = _grams(words)
+        _, at = np.unique(grams[6][0].view(np.int64), return_index=True)
+        cols = [pa.array(grams[n][j][at].view(np.int64)) for n in ORDERS for j in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *[_lists(c, [len(c)]) for c in (pa.array(words, pa.string()), *cols)]], ["chunk", "words", *names])
+
+    held: list[str] = []
+    for b in batches:
+        held += b.column("word").to_pylist()
+        if len(held) >= CHUNK_WORDS:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
+
+
+def _looked_up(chunks: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``chunks`` (chunk, keys, ...) with the value of each of its keys, in
+    order, from ``values`` (key, value)."""
+    each = chunks.select("chunk", F.posexplode("keys").alias("at", key)).join(values, key)
+    got = each.groupBy("chunk").agg(F.collect_list(F.struct("at", "value")).alias("got"))
+    got = got.select("chunk", F.expr("transform(array_sort(got), x -> x.value)").alias("values"))
+    return chunks.join(got, "chunk", "left")
+
+
+def _word_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of words with their grams' values to (word, value)."""
+    for b in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
+        words = b.column("words").flatten()
+        values, keys = b.column("values").flatten().to_numpy(), b.column("keys").flatten().to_numpy()
+        if len(values) != len(keys):
+            raise ValueError("grams without a value")
+        grams, first = _grams(words.to_pylist())
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.add.reduceat(values[np.searchsorted(keys, grams[6][0].view(np.int64))], first))], ["word", "value"])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents with their words' values to (id, f0 .. f3)."""
+    for b in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
+        ids, values, tokens, sizes = (b.column(c).flatten() for c in ("ids", "values", "tokens", "sizes"))
+        words = b.column("keys").flatten()
+        if len(values) != len(words):
+            raise ValueError("words without a value")
+        chars = pa.compute.utf8_length(words).to_numpy()
+        values, tokens, sizes = values.to_numpy(), tokens.to_numpy(), sizes.to_numpy()
+        out = np.zeros((len(sizes), 4))
+        ends = np.cumsum(sizes)
+        for i, (lo, hi) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+            if hi > lo:
+                at = tokens[lo:hi]
+                v = values[at]
+                top = np.sort(v)[-3:]
+                out[i] = v.sum() / chars[at].sum(), top[-1], top.mean(), np.log1p(hi - lo)
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(out[:, i]) for i in range(4)]], ["id", "f0", "f1", "f2", "f3"])
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Hash tables of counts, discounted histories and the calibration."""
+    """Tables of counts by gram and by history, and the calibration."""
 
-    tables: dict[str, np.ndarray] | None
+    tables: dict[str, DataFrame] | None
     weights: np.ndarray
     prior: float
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
+    def _gram_values(self, grams: DataFrame) -> DataFrame:
+        """(g6, value) of distinct six-grams ``grams`` (g6, h6, g4, h4, g2, h2):
+        the logarithm of the ratio of their probabilities. Shorter grams come
+        first, each once, so that a common ending isn't met by all its words."""
         t = self.tables
-        grams, first = _grams(words)
-        slot = lambda n, j: (grams[n][j] & np.uint64(SLOTS[n] - 1)).astype(np.int64)
-        g2, h2 = slot(2, 0), slot(2, 1)
-        n2 = t["n2"][h2]
-        low = np.where(n2 > 0, (np.maximum(t["c2"][g2] - DISCOUNT, 0) + DISCOUNT * t["t2"][h2] / 200.0) / np.maximum(n2, 1), 1 / 200.0)
-        low = np.maximum(low, 1e-9)
-        both = []
-        for side in (0, 1):
-            p = low
-            for n in (4, 6):
-                g, h = slot(n, 0), slot(n, 1)
-                total = t[f"n{n}"][h, side]
-                kept = np.maximum(t[f"c{n}"][g, side] - DISCOUNT, 0) + DISCOUNT * t[f"t{n}"][h, side] * p
-                p = np.where(total > 0, np.maximum(kept, 1e-12) / np.maximum(total, 1), p)
-            both.append(np.log(p))
-        return np.add.reduceat(both[0] - both[1], first)
-
-    def features(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
-        out = np.zeros((len(texts), 4))
-        for lo in range(0, len(texts), 64):  # few texts' words at a time
-            words = [TOKEN.findall(t.lower()) for t in texts[lo : lo + 64]]
-            if len(cache) > 150_000:
-                cache.clear()
-            new = list({w for ws in words for w in ws} - cache.keys())
-            for i in range(0, len(new), 8000):
-                some = new[i : i + 8000]
-                cache.update(zip(some, self.word_scores(some).tolist(), strict=True))
-            for i, ws in enumerate(words, lo):
-                if ws:
-                    v = np.array([cache[w] for w in ws])
-                    top = np.sort(v)[-3:]
-                    out[i] = v.sum() / sum(map(len, ws)), top[-1], top.mean(), np.log1p(len(ws))
-        return out
-
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        z = np.hstack([np.clip(features, -50, 50), np.ones((len(features), 1))]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        p2 = grams.groupBy("g2").agg(F.first("h2").alias("h2")).join(t["c2"], "g2", "left").join(t["n2"], "h2", "left")
+        low = (F.greatest(F.coalesce("a", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("ta") / 200.0) / F.greatest("na", F.lit(1))
+        low = F.greatest(F.when(F.col("na") > 0, low).otherwise(1 / 200.0), F.lit(1e-9))
+        below = p2.select("g2", low.alias("pa"), low.alias("pb"))
+        for n, rest in ((4, ("h4", "g2")), (6, ("h6", "g4"))):
+            mine = grams if n == 6 else grams.groupBy("g4").agg(*[F.first(c).alias(c) for c in rest])
+            mine = mine.select(f"g{n}", *rest).join(below, f"g{n - 2}").join(t[f"c{n}"], f"g{n}", "left").join(t[f"n{n}"], f"h{n}", "left")
+            p = []
+            for x in "ab":
+                kept = F.greatest(F.coalesce(x, F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"t{x}") * F.col(f"p{x}")
+                p.append(F.when(F.col(f"n{x}") > 0, F.greatest(kept, F.lit(1e-12)) / F.col(f"n{x}")).otherwise(F.col(f"p{x}")).alias(f"p{x}"))
+            below = mine.select(f"g{n}", *p)
+        return below.select("g6", (F.log("pa") - F.log("pb")).alias("value"))
+
+    def word_scores(self, words: DataFrame) -> DataFrame:
+        """(word, value) of distinct words: log P(word | toxic) - log P(word | ordinary)."""
+        hashes = ", ".join(f"{c} array<bigint>" for c in ("keys", "h6", "g4", "h4", "g2", "h2"))
+        chunks = written(words.mapInArrow(_word_chunks, f"chunk string, words array<string>, {hashes}"))
+        grams = chunks.select(F.explode(F.arrays_zip("keys", "h6", "g4", "h4", "g2", "h2")).alias("x")).select(F.col("x.keys").alias("g6"), "x.h6", "x.g4", "x.h4", "x.g2", "x.h2")
+        grams = written(grams.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")]))
+        found = _looked_up(chunks.select("chunk", "words", "keys"), self._gram_values(grams), "g6")
+        return found.mapInArrow(_word_values, "word string, value double")
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """(id, f0, f1, f2, f3) of ``rows`` (id, text)."""
+        kind = dict(rows.dtypes)["id"]
+        chunks = written(rows.select("id", "text").mapInArrow(_document_chunks, f"chunk string, ids array<{kind}>, keys array<string>, tokens array<int>, sizes array<int>"))
+        words = chunks.select(F.explode("keys").alias("word")).distinct()
+        found = _looked_up(chunks, written(self.word_scores(words)), "word")
+        return found.mapInArrow(_features, f"id {kind}, f0 double, f1 double, f2 double, f3 double")
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score) per row. Texts without words, empty and null ones too,
         hold nothing toxic and score 0."""
         small_batches(docs.sparkSession)
-        model = docs.sparkSession.sparkContext.broadcast(self)  # of fixed size
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, cache = model.value, {}
-            for b in batches:
-                texts = b.column("text").to_pylist()
-                if m.tables is None:
-                    p = np.full(len(texts), m.prior)
-                else:
-                    f = m.features(texts, cache)
-                    p = np.where(f[:, 3] > 0, m.probability(f), 0.0)  # no words, no score
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p, pa.float64())], ["id", "score"])
-
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double")
+        if self.tables is None:
+            return rows.select("id", F.lit(float(self.prior)).alias("score"))
+        f = self.features(rows)
+        z = F.lit(float(self.weights[4]))
+        for i in range(4):
+            z = z + F.greatest(F.least(f"f{i}", F.lit(50.0)), F.lit(-50.0)) * float(self.weights[i])
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(35.0)), F.lit(-35.0))))
+        return f.select("id", F.when(F.col("f3") > 0, p).otherwise(0.0).alias("score"))  # no words, no score
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
@@ -177,56 +272,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Count, fold and calibrate. Without labelled rows of both classes every
-    score is the share of toxic ones (0 if there are none at all)."""
-    small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, label, id_col, text_col)
-    words = rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "y").mapInArrow(_word_counts, "word string, y int, n bigint")
-    words = words.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("plain"))
+def _count_tables(words: DataFrame) -> dict[str, DataFrame]:
+    """Of word counts (word, tox, plain), for each order: c by gram, (a, b) for
+    the classes; n by history, their sums (na, nb) and how many grams (ta, tb)."""
     hashes = ", ".join(f"{x}{n} bigint" for n in ORDERS for x in "gh")
     found = words.mapInArrow(_gram_counts, f"{hashes}, tox bigint, plain bigint")
     g6 = written(found.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")], F.sum("tox").alias("a"), F.sum("plain").alias("b")))
     g4 = g6.groupBy("g4").agg(*[F.first(c).alias(c) for c in ("h4", "g2", "h2")], F.sum((F.col("a") > 0).cast("bigint")).alias("a"), F.sum((F.col("b") > 0).cast("bigint")).alias("b"))
     g4 = written(g4)
-    g2 = g4.groupBy("g2").agg(F.first("h2").alias("h2"), F.count("*").alias("a"), F.lit(0).cast("bigint").alias("b"))
-
-    parts = []
-    for n, g in ((6, g6), (4, g4), (2, g2)):
-        slot = lambda c, n=n: F.col(c).bitwiseAND(F.lit(SLOTS[n] - 1)).cast("int").alias("slot")
-        parts.append(g.select(F.lit(f"c{n}").alias("t"), slot(f"g{n}"), "a", "b"))
-        parts.append(g.select(F.lit(f"n{n}").alias("t"), slot(f"h{n}"), "a", "b"))
-        parts.append(g.select(F.lit(f"t{n}").alias("t"), slot(f"h{n}"), (F.col("a") > 0).cast("bigint").alias("a"), (F.col("b") > 0).cast("bigint").alias("b")))
-    rows_by_slot = parts[0]
-    for p in parts[1:]:
-        rows_by_slot = rows_by_slot.unionByName(p)
-    # At most three rows for each slot of SLOTS come to the driver.
-    got = rows_by_slot.groupBy("t", "slot").agg(F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")).toArrow()
-    name, at, a, b = (got.column(c).to_numpy() for c in ("t", "slot", "a", "b"))
+    g2 = written(g4.groupBy("g2").agg(F.first("h2").alias("h2"), F.count("*").alias("a"), F.lit(0).cast("bigint").alias("b")))
     tables = {}
-    for n in ORDERS:
-        for x in "cnt":
-            t = np.zeros((SLOTS[n], 2), dtype=np.float32)
-            mine = name == f"{x}{n}"
-            t[at[mine], 0], t[at[mine], 1] = a[mine], b[mine]
-            tables[f"{x}{n}"] = t[:, 0].copy() if n == 2 else t
+    for n, g in ((6, g6), (4, g4), (2, g2)):
+        tables[f"c{n}"] = g.select(f"g{n}", "a", "b")
+        sums = [F.sum(x).alias(f"n{x}") for x in "ab"] + [F.sum((F.col(x) > 0).cast("bigint")).alias(f"t{x}") for x in "ab"]
+        tables[f"n{n}"] = written(g.groupBy(f"h{n}").agg(*sums))
+    return tables
+
 
-    model = ToxicityModel(tables, np.zeros(5), 0.0)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Count and calibrate. Without labelled rows of both classes every score
+    is the share of toxic ones (0 if there are none at all)."""
+    small_batches(docs.sparkSession)
+    rows = training_rows(docs, labels, label, id_col, text_col)
+    words = rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "y").mapInArrow(_word_counts, "word string, y int, n bigint")
+    words = words.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("plain"))
+
+    model = ToxicityModel(_count_tables(words), np.zeros(5), 0.0)
     sample = rows.where(F.col("fold") == CALIBRATION_FOLD).withColumn("o", F.xxhash64("id", F.lit(11)))
     n = sample.count()
     if n > CALIBRATION_ROWS:  # by hash, twice over in case it runs short
         sample = sample.where(F.pmod("o", F.lit(1 << 20)) < F.lit(int((1 << 20) * CALIBRATION_ROWS / n)))
-    keep = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for batch in batches:
-            f = keep.value.features(batch.column("text").to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *[pa.array(f[:, i]) for i in range(4)]], ["y", "f0", "f1", "f2", "f3"])
-
-    told = sample.select("text", "y").mapInArrow(run, "y int, f0 double, f1 double, f2 double, f3 double").toArrow()
-    y = told.column("y").to_numpy()
+    told = model.features(sample.select(F.col("y").alias("id"), "text")).toArrow()
+    y = told.column("id").to_numpy()
     x = np.stack([told.column(f"f{i}").to_numpy() for i in range(4)], axis=1) if len(y) else np.zeros((0, 4))
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros(5), float(y.mean()) if len(y) else 0.0)
-    return ToxicityModel(tables, logistic(x, y), float(y.mean()))
+    return ToxicityModel(model.tables, logistic(x, y), float(y.mean()))
