@@ -79,7 +79,7 @@ def test_as_plain_dictionaries(spark):
     f, text, told = folds(spark, range(240)), dict(docs), dict(labels)
     part = lambda keep: [(text[i], y) for i, y in labels if keep(f[i])]
     first = model(part(lambda k: k not in (HELD_OUT, CALIBRATION_FOLD)))
-    final = first
+    final = model(part(lambda k: k != HELD_OUT))
     at = [i for i in told if f[i] == CALIBRATION_FOLD]
     w = logistic(np.array([features(text[i], first) for i in at]), np.array([told[i] for i in at]))
     got = {x["id"]: x["score"] for x in fit_toxicity(*tables(spark, docs, labels)).score(tables(spark, docs, labels)[0]).collect()}
@@ -87,3 +87,16 @@ def test_as_plain_dictionaries(spark):
     for i, t in docs:
         x = np.append(np.clip(features(t, final), -50, 50), 1.0)
         assert abs(got[i] - 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))) < 1e-6
+
+
+def test_every_fold_but_the_held_out_one_is_learned_from(spark):
+    r = random.Random(6)
+    good = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    f = folds(spark, range(400))
+    toxic = {i for i in f if i % 3 == 0}
+    kind = {i: "zqxjkv" if f[i] == CALIBRATION_FOLD and i % 2 else "wmypto" for i in f}
+    docs = [(i, " ".join(r.choice(good) for _ in range(20)) + (f" {kind[i]}" * 4 if i in toxic else "")) for i in f]
+    docs += [(9000, " ".join(r.choice(good) for _ in range(20)) + " zqxjkv" * 4)]
+    d, told = tables(spark, docs, [(i, int(i in toxic)) for i in f])
+    by = {x["id"]: x["score"] for x in fit_toxicity(d, told).score(d).collect()}
+    assert by[9000] > 0.9

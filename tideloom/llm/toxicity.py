@@ -5,7 +5,7 @@ each class; below them four-grams by the number of six-grams that end in them,
 also for each class; and below those two-grams by the number of four-grams, in
 one table that both classes share. What a class has hardly seen therefore costs
 both classes alike. The counts cover every labelled word outside the held-out
-and the calibration fold. They stay in Spark tables by the whole 64-bit hash of
+fold. They stay in Spark tables by the whole 64-bit hash of
 a gram, however many there are; nothing is folded and no table is sent out.
 
 Texts are scored by joins. A chunk of documents becomes one row that holds its
@@ -17,14 +17,16 @@ and word never matters.
 
 A word's score is the difference of its two log-likelihoods. A document's are
 that difference by character over the whole text, over the most telling word
-and over the three most telling words; a logistic curve, fitted on a bounded
-sample of the calibration fold, turns them into a probability.
+and over the three most telling words; a logistic curve turns them into a
+probability. It is fitted on a bounded sample of the calibration fold, scored
+by counts without that fold; the fold is then added to the counts.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+import secrets
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +44,8 @@ TOKEN = re.compile(r"[^\W_]+")
 #: A chunk of documents ends after so many tokens, one of words after so many.
 CHUNK_TOKENS, CHUNK_WORDS = 250_000, 16_000
 ORDERS = (6, 4, 2)
+#: Of a word or gram, by class: without the calibration fold and with it.
+COUNTS = ("tox", "plain", "all_tox", "all_plain")
 DISCOUNT = 0.75
 CALIBRATION_FOLD, CALIBRATION_ROWS = 1, 20_000
 _BASE = 0x9E3779B97F4A7C15
@@ -94,15 +98,20 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = b.column("word").to_pylist()
         grams, first = _grams(words)
         lengths = np.diff(np.append(first, len(grams[6][0])))
-        tox, plain = (np.repeat(b.column(c).to_numpy(), lengths) for c in ("tox", "plain"))
+        counts = [np.repeat(b.column(c).to_numpy(), lengths) for c in COUNTS]
         _, at, inv = np.unique(grams[6][0], return_index=True, return_inverse=True)
         cols = [grams[n][j][at].view(np.int64) for n in ORDERS for j in (0, 1)]
-        sums = [np.bincount(inv, weights=c, minlength=len(at)).astype(np.int64) for c in (tox, plain)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, *sums)], ["g6", "h6", "g4", "h4", "g2", "h2", "tox", "plain"])
+        sums = [np.bincount(inv, weights=c, minlength=len(at)).astype(np.int64) for c in counts]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, *sums)], ["g6", "h6", "g4", "h4", "g2", "h2", *COUNTS])
 
 
-def _lists(flat: pa.Array, lengths: list[int]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), flat)
+def _lists(flat: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
+
+def _name() -> pa.Array:
+    """A new chunk's; random, as chunks are written before anything reads them."""
+    return pa.array([secrets.randbits(63)], pa.int64())
 
 
 def _document_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +124,9 @@ def _document_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held = 0
 
     def out() -> pa.RecordBatch:
-        flat = np.concatenate(tokens)
-        cols = [pa.concat_arrays(ids), pa.array(list(number), pa.string()), pa.array(flat), pa.array(np.array(sizes, dtype=np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *[_lists(c, [len(c)]) for c in cols]], ["chunk", "ids", "keys", "tokens", "sizes"])
+        flat = np.concatenate(tokens).view(np.uint8).reshape(-1, 4).T.tobytes()  # by place of the byte
+        cols = [pa.concat_arrays(ids), pa.array(list(number), pa.string()), pa.array(np.array(sizes, dtype=np.int32))]
+        return pa.RecordBatch.from_arrays([_name(), *[_lists(c) for c in cols], pa.array([zlib.compress(flat, 1)])], ["chunk", "ids", "keys", "sizes", "tokens"])
 
     for b in batches:
         begin = 0
@@ -138,15 +147,11 @@ def _document_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words to chunks of words with their distinct six-grams, ``keys``, and
-    these grams' histories and shorter grams."""
-    names = ["keys", "h6", "g4", "h4", "g2", "h2"]
+    """Words to chunks of words with their distinct six-grams, ``keys``."""
 
     def out(words: list[str]) -> pa.RecordBatch:
-        grams, _ = _grams(words)
-        _, at = np.unique(grams[6][0].view(np.int64), return_index=True)
-        cols = [pa.array(grams[n][j][at].view(np.int64)) for n in ORDERS for j in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *[_lists(c, [len(c)]) for c in (pa.array(words, pa.string()), *cols)]], ["chunk", "words", *names])
+        keys = np.unique(_grams(words)[0][6][0].view(np.int64))
+        return pa.RecordBatch.from_arrays([_name(), _lists(pa.array(words, pa.string())), _lists(pa.array(keys))], ["chunk", "words", "keys"])
 
     held: list[str] = []
     for b in batches:
@@ -158,6 +163,20 @@ def _word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def _distinct_grams(n: int):
+    """Chunks of words to their distinct grams of ``n`` characters, 6 or 4, with
+    the history and the shorter gram, of four with that one's history too."""
+    of = [(6, 0), (6, 1), (4, 0)] if n == 6 else [(4, 0), (4, 1), (2, 0), (2, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
+            grams, _ = _grams(b.column("words").flatten().to_pylist())
+            at = np.unique(grams[n][0], return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[k][j][at].view(np.int64)) for k, j in of], [f"{'gh'[j]}{k}" for k, j in of])
+
+    return run
+
+
 def _looked_up(chunks: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """``chunks`` (chunk, keys, ...) with the value of each of its keys, in
     order, from ``values`` (key, value)."""
@@ -181,12 +200,12 @@ def _word_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of documents with their words' values to (id, f0 .. f3)."""
     for b in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
-        ids, values, tokens, sizes = (b.column(c).flatten() for c in ("ids", "values", "tokens", "sizes"))
-        words = b.column("keys").flatten()
+        ids, values, words, sizes = (b.column(c).flatten() for c in ("ids", "values", "keys", "sizes"))
         if len(values) != len(words):
             raise ValueError("words without a value")
         chars = pa.compute.utf8_length(words).to_numpy()
-        values, tokens, sizes = values.to_numpy(), tokens.to_numpy(), sizes.to_numpy()
+        values, sizes = values.to_numpy(), sizes.to_numpy()
+        tokens = np.frombuffer(zlib.decompress(b.column("tokens")[0].as_py()), dtype=np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
         out = np.zeros((len(sizes), 4))
         ends = np.cumsum(sizes)
         for i, (lo, hi) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
@@ -206,18 +225,18 @@ class ToxicityModel:
     weights: np.ndarray
     prior: float
 
-    def _gram_values(self, grams: DataFrame) -> DataFrame:
-        """(g6, value) of distinct six-grams ``grams`` (g6, h6, g4, h4, g2, h2):
-        the logarithm of the ratio of their probabilities. Shorter grams come
-        first, each once, so that a common ending isn't met by all its words."""
+    def _gram_values(self, g6: DataFrame, g4: DataFrame) -> DataFrame:
+        """(g6, value) of the distinct six-grams ``g6`` (g6, h6, g4) over the
+        four-grams ``g4`` (g4, h4, g2, h2): the logarithm of the ratio of their
+        probabilities. Shorter grams come first, each once, so that a common
+        ending isn't met by all its words."""
         t = self.tables
-        p2 = grams.groupBy("g2").agg(F.first("h2").alias("h2")).join(t["c2"], "g2", "left").join(t["n2"], "h2", "left")
+        p2 = g4.groupBy("g2").agg(F.first("h2").alias("h2")).join(t["c2"], "g2", "left").join(t["n2"], "h2", "left")
         low = (F.greatest(F.coalesce("a", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("ta") / 200.0) / F.greatest("na", F.lit(1))
         low = F.greatest(F.when(F.col("na") > 0, low).otherwise(1 / 200.0), F.lit(1e-9))
         below = p2.select("g2", low.alias("pa"), low.alias("pb"))
-        for n, rest in ((4, ("h4", "g2")), (6, ("h6", "g4"))):
-            mine = grams if n == 6 else grams.groupBy("g4").agg(*[F.first(c).alias(c) for c in rest])
-            mine = mine.select(f"g{n}", *rest).join(below, f"g{n - 2}").join(t[f"c{n}"], f"g{n}", "left").join(t[f"n{n}"], f"h{n}", "left")
+        for n, grams in ((4, g4.drop("h2")), (6, g6)):
+            mine = grams.join(below, f"g{n - 2}").join(t[f"c{n}"], f"g{n}", "left").join(t[f"n{n}"], f"h{n}", "left")
             p = []
             for x in "ab":
                 kept = F.greatest(F.coalesce(x, F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"t{x}") * F.col(f"p{x}")
@@ -227,17 +246,18 @@ class ToxicityModel:
 
     def word_scores(self, words: DataFrame) -> DataFrame:
         """(word, value) of distinct words: log P(word | toxic) - log P(word | ordinary)."""
-        hashes = ", ".join(f"{c} array<bigint>" for c in ("keys", "h6", "g4", "h4", "g2", "h2"))
-        chunks = written(words.mapInArrow(_word_chunks, f"chunk string, words array<string>, {hashes}"))
-        grams = chunks.select(F.explode(F.arrays_zip("keys", "h6", "g4", "h4", "g2", "h2")).alias("x")).select(F.col("x.keys").alias("g6"), "x.h6", "x.g4", "x.h4", "x.g2", "x.h2")
-        grams = written(grams.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")]))
-        found = _looked_up(chunks.select("chunk", "words", "keys"), self._gram_values(grams), "g6")
+        chunks = written(words.mapInArrow(_word_chunks, "chunk bigint, words array<string>, keys array<bigint>"))
+        grams = []
+        for n, cols in ((6, ("g6", "h6", "g4")), (4, ("g4", "h4", "g2", "h2"))):
+            each = chunks.select("words").mapInArrow(_distinct_grams(n), ", ".join(f"{c} bigint" for c in cols))
+            grams.append(written(each.groupBy(cols[0]).agg(*[F.first(c).alias(c) for c in cols[1:]])))
+        found = _looked_up(chunks, written(self._gram_values(*grams)), "g6")
         return found.mapInArrow(_word_values, "word string, value double")
 
     def features(self, rows: DataFrame) -> DataFrame:
         """(id, f0, f1, f2, f3) of ``rows`` (id, text)."""
         kind = dict(rows.dtypes)["id"]
-        chunks = written(rows.select("id", "text").mapInArrow(_document_chunks, f"chunk string, ids array<{kind}>, keys array<string>, tokens array<int>, sizes array<int>"))
+        chunks = written(rows.select("id", "text").mapInArrow(_document_chunks, f"chunk bigint, ids array<{kind}>, keys array<string>, sizes array<int>, tokens binary"))
         words = chunks.select(F.explode("keys").alias("word")).distinct()
         found = _looked_up(chunks, written(self.word_scores(words)), "word")
         return found.mapInArrow(_features, f"id {kind}, f0 double, f1 double, f2 double, f3 double")
@@ -272,12 +292,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w
 
 
-def _count_tables(words: DataFrame) -> dict[str, DataFrame]:
-    """Of word counts (word, tox, plain), for each order: c by gram, (a, b) for
-    the classes; n by history, their sums (na, nb) and how many grams (ta, tb)."""
-    hashes = ", ".join(f"{x}{n} bigint" for n in ORDERS for x in "gh")
-    found = words.mapInArrow(_gram_counts, f"{hashes}, tox bigint, plain bigint")
-    g6 = written(found.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")], F.sum("tox").alias("a"), F.sum("plain").alias("b")))
+def _count_tables(g6: DataFrame) -> dict[str, DataFrame]:
+    """Of six-gram counts (g6, h6, g4, h4, g2, h2, a, b), for each order: c by gram,
+    (a, b) for the classes; n by history, their sums (na, nb) and how many grams (ta, tb)."""
     g4 = g6.groupBy("g4").agg(*[F.first(c).alias(c) for c in ("h4", "g2", "h2")], F.sum((F.col("a") > 0).cast("bigint")).alias("a"), F.sum((F.col("b") > 0).cast("bigint")).alias("b"))
     g4 = written(g4)
     g2 = written(g4.groupBy("g2").agg(F.first("h2").alias("h2"), F.count("*").alias("a"), F.lit(0).cast("bigint").alias("b")))
@@ -294,10 +311,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     is the share of toxic ones (0 if there are none at all)."""
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, id_col, text_col)
-    words = rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "y").mapInArrow(_word_counts, "word string, y int, n bigint")
-    words = words.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("tox"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("plain"))
-
-    model = ToxicityModel(_count_tables(words), np.zeros(5), 0.0)
+    mine = rows.select("text", (F.col("y") + F.when(F.col("fold") == CALIBRATION_FOLD, 2).otherwise(0)).cast("int").alias("y"))
+    words = mine.mapInArrow(_word_counts, "word string, y int, n bigint")
+    of = lambda *ys: F.sum(F.when(F.col("y").isin(*ys), F.col("n")).otherwise(0))
+    words = words.groupBy("word").agg(*[of(*ys).alias(c) for c, ys in zip(COUNTS, ((1,), (0,), (1, 3), (0, 2)), strict=True)])
+    found = words.mapInArrow(_gram_counts, ", ".join(f"{c} bigint" for c in (*[f"{x}{n}" for n in ORDERS for x in "gh"], *COUNTS)))
+    grams = written(found.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")], *[F.sum(c).alias(c) for c in COUNTS]))
+    tables = lambda a, b: _count_tables(grams.select("g6", "h6", "g4", "h4", "g2", "h2", F.col(a).alias("a"), F.col(b).alias("b")).where("a + b > 0"))
+
+    model = ToxicityModel(tables("tox", "plain"), np.zeros(5), 0.0)
     sample = rows.where(F.col("fold") == CALIBRATION_FOLD).withColumn("o", F.xxhash64("id", F.lit(11)))
     n = sample.count()
     if n > CALIBRATION_ROWS:  # by hash, twice over in case it runs short
@@ -307,4 +329,4 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     x = np.stack([told.column(f"f{i}").to_numpy() for i in range(4)], axis=1) if len(y) else np.zeros((0, 4))
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros(5), float(y.mean()) if len(y) else 0.0)
-    return ToxicityModel(model.tables, logistic(x, y), float(y.mean()))
+    return ToxicityModel(tables("all_tox", "all_plain"), logistic(x, y), float(y.mean()))
