@@ -25,16 +25,65 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 BUCKETS, WIDTH = 1 << 17, 8
 #: Labelled documents the model is fitted on, at most, and passes over them.
 FIT_ROWS, EPOCHS = 6000, 4
-#: Characters of a token that its grams cover; the token itself counts whole.
-GRAM_CHARS = 40
+#: Characters that are hashed at a time; a longer token is taken in pieces.
+PIECE = 1 << 18
+#: Longer tokens aren't kept from one text to the next.
+CACHED_CHARS = 200
 _BASE = 0xC2B2AE3D27D4EB4F
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _groups(tokens: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of tokens of at most PIECE characters, or one longer token, and
+    where each run begins."""
+    lo = held = 0
+    for i, t in enumerate(tokens):
+        if held and held + len(t) + 2 > PIECE:
+            yield lo, tokens[lo:i]
+            lo, held = i, 0
+        held += len(t) + 2
+    if tokens:
+        yield lo, tokens[lo:]
+
+
+def gram_groups(tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, token number) as of ``token_grams``, in parts of bounded size."""
+    for lo, some in _groups(tokens):
+        if len(some) > 1 or len(some[0]) + 2 <= PIECE:
+            bucket, owner = token_grams(some)
+            yield bucket, owner + lo
+        else:
+            for bucket in _long_grams(some[0]):
+                yield bucket, np.full(len(bucket), lo)
+
+
+def _long_grams(token: str) -> Iterator[np.ndarray]:
+    """Buckets of one token of any length; pieces overlap by four characters."""
+    text, whole = f"<{token}>", np.zeros(1, dtype=np.uint64)
+    w = powers(_BASE, 8)
+    for lo in range(0, len(text), PIECE):
+        codes = _codes(text[lo : lo + PIECE + 4]) + np.uint64(1)
+        for n in (3, 4, 5):
+            size = min(PIECE, len(codes) - n + 1)
+            if size > 0:
+                h = np.zeros(size, dtype=np.uint64)
+                for k in range(n):
+                    h += codes[k : k + size] * w[k]
+                yield (_mix(h + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        mine = codes[:PIECE]
+        place = np.arange(lo, lo + len(mine)).astype(np.uint64)
+        whole += _mix(mine * np.uint64(31) + place * np.uint64(_BASE)).sum()
+    yield (_mix(whole + np.uint64(len(token))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, token number) of the whole token and each character gram."""
-    flat = "".join(f"<{t[:GRAM_CHARS]}>" for t in tokens)
-    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-    lengths = np.array([min(len(t), GRAM_CHARS) + 2 for t in tokens])
+    flat = "".join(f"<{t}>" for t in tokens)
+    codes = _codes(flat) + np.uint64(1)
+    lengths = np.array([len(t) + 2 for t in tokens])
     owner = np.repeat(np.arange(len(tokens)), lengths)
     w = powers(_BASE, 8)
     buckets, owners = [], []
@@ -65,12 +114,18 @@ def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _token_hash(tokens: list[str]) -> np.ndarray:
     out = np.zeros(len(tokens), dtype=np.uint64)
-    flat = "".join(tokens)
-    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(7)
-    lengths = np.array([len(t) for t in tokens])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(codes)) - np.repeat(starts, lengths)
-    out[:] = np.add.reduceat(_mix(codes + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), starts)
+    for lo, some in _groups(tokens):
+        if len(some) == 1:
+            for at in range(0, len(some[0]), PIECE):
+                codes = _codes(some[0][at : at + PIECE]) + np.uint64(7)
+                place = np.arange(at, at + len(codes)).astype(np.uint64)
+                out[lo : lo + 1] += _mix(codes + place * np.uint64(0xD1342543DE82EF95)).sum()
+            continue
+        codes = _codes("".join(some)) + np.uint64(7)
+        lengths = np.array([len(t) for t in some])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        out[lo : lo + len(some)] = np.add.reduceat(_mix(codes + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), starts)
     return out
 
 
@@ -89,11 +144,17 @@ class QualityModel:
             return self.bias
         new = [t for t in dict.fromkeys(tokens) if t not in cache]
         if new:
-            bucket, owner = token_grams(new)
-            sums = np.bincount(owner, weights=self.odds[bucket], minlength=len(new))
-            counts = np.bincount(owner, minlength=len(new))
+            sums, counts = np.zeros(len(new)), np.zeros(len(new), dtype=np.int64)
+            for bucket, owner in gram_groups(new):
+                first = int(owner.min())
+                part = np.bincount(owner - first, weights=self.odds[bucket])
+                sums[first : first + len(part)] += part
+                counts[first : first + len(part)] += np.bincount(owner - first)
             cache.update(zip(new, zip(sums.tolist(), counts.tolist(), _token_hash(new).tolist(), strict=True), strict=True))
         got = [cache[t] for t in tokens]
+        for t in new:
+            if len(t) > CACHED_CHARS:
+                del cache[t]
         sums = np.array([g[0] for g in got])
         counts = np.array([g[1] for g in got])
         names = np.array([g[2] for g in got], dtype=np.uint64)
@@ -129,19 +190,21 @@ def _document(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     kinds = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
     number = np.array([kinds[t] for t in tokens])
-    bucket, owner = token_grams(list(kinds))
     names = _token_hash(list(kinds))[number]
-    size = np.bincount(owner, minlength=len(kinds))
+    size = np.zeros(len(kinds), dtype=np.int64)
+    for _, owner in gram_groups(list(kinds)):
+        size += np.bincount(owner, minlength=len(kinds))
     # A token counts its pair too, but for the first, which has none.
     each = np.full(len(tokens), 1.0)
     each[1:] = 1 / (size[number[1:]] + 1)
     each[0] = 1 / size[number[0]]
     per_kind = np.bincount(number, weights=each, minlength=len(kinds))
-    pairs = pair_bucket(names[:-1], names[1:])
-    all_buckets = np.concatenate([bucket, pairs])
-    weight = np.concatenate([per_kind[owner], each[1:]]) / len(tokens)
-    kept, inv = np.unique(all_buckets, return_inverse=True)
-    return kept, np.bincount(inv, weights=weight)
+    sums = np.zeros(BUCKETS)
+    sums += np.bincount(pair_bucket(names[:-1], names[1:]), weights=each[1:], minlength=BUCKETS)
+    for bucket, owner in gram_groups(list(kinds)):
+        sums += np.bincount(bucket, weights=per_kind[owner], minlength=BUCKETS)
+    kept = np.flatnonzero(sums)
+    return kept, sums[kept] / len(tokens)
 
 
 def train(texts: list[str], y: np.ndarray, rate: float = 12.0, seed: int = 7) -> QualityModel:
