@@ -24,6 +24,7 @@ by counts without that fold; the fold is then added to the counts.
 
 from __future__ import annotations
 
+import gc
 import re
 import secrets
 import zlib
@@ -42,7 +43,7 @@ from .shared import _mix, powers, small_batches, written
 
 TOKEN = re.compile(r"[^\W_]+")
 #: A chunk of documents ends after so many tokens, one of words after so many.
-CHUNK_TOKENS, CHUNK_WORDS = 250_000, 16_000
+CHUNK_TOKENS, CHUNK_WORDS = 250_000, 64_000
 ORDERS = (6, 4, 2)
 #: Of a word or gram, by class: without the calibration fold and with it.
 COUNTS = ("tox", "plain", "all_tox", "all_plain")
@@ -177,6 +178,15 @@ def _distinct_grams(n: int):
     return run
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` written; shuffle files of what led to it are let go at once rather
+    than when the driver happens to collect its garbage."""
+    out = written(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _looked_up(chunks: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """``chunks`` (chunk, keys, ...) with the value of each of its keys, in
     order, from ``values`` (key, value)."""
@@ -251,7 +261,7 @@ class ToxicityModel:
         for n, cols in ((6, ("g6", "h6", "g4")), (4, ("g4", "h4", "g2", "h2"))):
             each = chunks.select("words").mapInArrow(_distinct_grams(n), ", ".join(f"{c} bigint" for c in cols))
             grams.append(written(each.groupBy(cols[0]).agg(*[F.first(c).alias(c) for c in cols[1:]])))
-        found = _looked_up(chunks, written(self._gram_values(*grams)), "g6")
+        found = _looked_up(chunks, _settled(self._gram_values(*grams)), "g6")
         return found.mapInArrow(_word_values, "word string, value double")
 
     def features(self, rows: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ class ToxicityModel:
         kind = dict(rows.dtypes)["id"]
         chunks = written(rows.select("id", "text").mapInArrow(_document_chunks, f"chunk bigint, ids array<{kind}>, keys array<string>, sizes array<int>, tokens binary"))
         words = chunks.select(F.explode("keys").alias("word")).distinct()
-        found = _looked_up(chunks, written(self.word_scores(words)), "word")
+        found = _looked_up(chunks, _settled(self.word_scores(words)), "word")
         return found.mapInArrow(_features, f"id {kind}, f0 double, f1 double, f2 double, f3 double")
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +326,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     of = lambda *ys: F.sum(F.when(F.col("y").isin(*ys), F.col("n")).otherwise(0))
     words = words.groupBy("word").agg(*[of(*ys).alias(c) for c, ys in zip(COUNTS, ((1,), (0,), (1, 3), (0, 2)), strict=True)])
     found = words.mapInArrow(_gram_counts, ", ".join(f"{c} bigint" for c in (*[f"{x}{n}" for n in ORDERS for x in "gh"], *COUNTS)))
-    grams = written(found.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")], *[F.sum(c).alias(c) for c in COUNTS]))
+    grams = _settled(found.groupBy("g6").agg(*[F.first(c).alias(c) for c in ("h6", "g4", "h4", "g2", "h2")], *[F.sum(c).alias(c) for c in COUNTS]))
     tables = lambda a, b: _count_tables(grams.select("g6", "h6", "g4", "h4", "g2", "h2", F.col(a).alias("a"), F.col(b).alias("b")).where("a + b > 0"))
 
     model = ToxicityModel(tables("tox", "plain"), np.zeros(5), 0.0)
