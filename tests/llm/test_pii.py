@@ -58,3 +58,46 @@ def test_contexts_find_new_identifiers(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, base string, found int")
     assert personal_data(df).count() == 0
+
+
+def test_adjacent_identifiers_have_the_words_of_the_text_as_context(spark):
+    # The second of two addresses is introduced by the first, not by a bare space.
+    df = spark.createDataFrame([(1, "reach one@b.cc two@d.ee, now")], "doc_id int, text string")
+    first, second = personal_data(df).collect()[0]["base"]
+    assert (first["before"], first["after"], second["before"], second["after"]) == ("reach ", " ", "reach one@b.cc ", ",")
+
+
+def test_hidden_identifiers_are_recovered(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeiounstr") for _ in range(r.randrange(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(r.randrange(5, 40)))
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts, hidden, plain = [], {}, []
+    for i in range(400):
+        cue = ("password=", 'token = "', "api_key: ", "call my phone ")[i % 4]
+        known = f"+1 (555) 01{i % 10}-{digits(4)}" if i % 4 == 3 else hexa((18, 40, 32, 0)[i % 4])
+        if i % 3 == 0:  # of a shape that is no seed
+            known = digits(9) if i % 4 == 3 else f"zx{digits(4)}-{digits(3)}q"
+            hidden[i] = known
+        texts.append(f"{prose()} {cue}{known}{'"' if i % 4 == 1 else ''} {prose()}")
+    for i in range(400, 600):
+        plain.append(i)
+        texts.append(f"{prose()} order {digits(8)} {prose()} {word()}{digits(5)}x {prose()}")
+    got = {row["id"]: [m["text"] for m in row["found"]] for row in personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert sum(got[i] == [t] for i, t in hidden.items()) >= 0.9 * len(hidden)
+    assert all(not got[i] for i in plain)
+
+
+def test_shape_alone_makes_no_find(spark):
+    r = random.Random(5)
+    hexa = lambda: "".join(r.choice("0123456789abcdef") for _ in range(20))
+    texts = [f"w{'xyz'[i % 3] * (i + 1)} {hexa()} end" for i in range(12)]
+    got = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert not any(r["found"] for r in got)
+
+
+def test_very_long_text(spark):
+    text = "word " * 200_000 + "a@b.cc " * 2_000 + "password=" + "0af9" * 6
+    row = personal_data(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()[0]
+    assert len(row["base"]) == 2_000 and row["base"][-1]["end"] == len(text) - 34

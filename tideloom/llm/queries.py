@@ -61,7 +61,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_data(_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, m -> m.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in PATTERNS]
     both = F.concat_ws(",", F.expr(f"nullif({joined('base')}, '')"), F.expr(f"nullif({joined('found')}, '')"))
-    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), both.alias("spans"))
+    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), both.alias("spans"), F.size("found").cast("bigint").alias("n_found"), (F.size("base") + F.size("found")).cast("bigint").alias("n_spans"))
 
 
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
