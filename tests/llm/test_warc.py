@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tideloom.llm.warc import read_archive, records, write_archive
+from tideloom.llm.warc import PROFILE, parsed, read_archive, records, write_archive
 
 
 def pages(spark):
@@ -27,14 +27,30 @@ def test_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
 
 
-def test_record_bytes(spark, tmp_path):
-    _, df = pages(spark)
+def test_a_file_of_records_is_read_record_by_record(spark, tmp_path):
+    rows, df = pages(spark)
     write_archive(df, str(tmp_path / "b"))
-    for x in records(read_archive(spark, str(tmp_path / "b"))).collect():
-        head, _, body = bytes(x["record"]).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and body.endswith(b"\r\n\r\n")
-        size = int(dict(h.split(b": ", 1) for h in head.split(b"\r\n")[1:])[b"Content-Length"])
-        assert len(body) - 4 in (0, size)
+    made = records(read_archive(spark, str(tmp_path / "b")))
+    file = b"".join(bytes(x["record"]) for x in made.collect())
+    found = []
+    while file:
+        head, _, rest = file.partition(b"\r\n\r\n")
+        version, *lines = head.split(b"\r\n")
+        fields = dict(h.split(b": ", 1) for h in lines)
+        size = int(fields[b"Content-Length"])
+        block, end, file = rest[:size], rest[size : size + 4], rest[size + 4 :]
+        assert version == b"WARC/1.1" and end == b"\r\n\r\n" and len(block) == size
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and fields[b"Content-Type"] == b"application/http; msgtype=response"
+        again = fields[b"WARC-Type"] == b"revisit"
+        assert (fields.get(b"WARC-Profile") == PROFILE.encode()) == again and (not again or payload == b"")
+        assert again or fields[b"WARC-Payload-Digest"] == b"sha256:" + hashlib.sha256(payload).hexdigest().encode()
+        found.append((fields.get(b"WARC-Page-ID"), again))
+    assert len(found) == len(rows) and sum(again for _, again in found) == 3
+    for x in parsed(made).collect():
+        assert x["payload_bytes"] in (0, 5, 270, 100_000) and (x["record_type"] == "revisit") == (x["refers_to"] == "1")
+    with pytest.raises(Exception, match="broken record"):
+        parsed(made.withColumn("record", F.expr("substring(record, 1, length(record) - 5)"))).collect()
 
 
 def test_damage_is_noticed(spark, tmp_path):

@@ -19,7 +19,7 @@ from .shared import shared_dir
 from .sharding import shards
 from .substring import repeated_passages
 from .toxicity import fit_toxicity
-from .warc import read_archive, write_archive
+from .warc import parsed, read_archive, records, write_archive
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 8 << 20
@@ -67,7 +67,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(_table(spark, sf_dir, "pages"), path)
-    back = read_archive(spark, path)
+    back = parsed(records(read_archive(spark, path)))
     return back.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
