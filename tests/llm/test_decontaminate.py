@@ -42,7 +42,7 @@ def test_every_match_within_budget(spark):
         leak = edited(r, t, r.choice([0, 0, 1, k // 2, k, k + 3, 3 * k])) if r.random() < 0.7 else ""
         docs.append((i, body[0] + r.choice(["\n", " ", ""]) + (leak.upper() if r.random() < 0.3 else leak) + "  \t" + body[1]))
     docs += [(900, None), (901, ""), (902, "é" * 20_000), (None, items[0][1])]
-    got = {(x["id"], x["item"]): x["distance"] for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (50, None), (51, ""), (52, "tiny")], "item_id bigint, text string")).collect()}
+    got = {(x["id"], x["item"]): x["distance"] for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (50, None), (51, ""), (52, " \t")], "item_id bigint, text string")).collect()}
     want = {}
     for i, t in docs:
         for n, item in items:
@@ -63,3 +63,40 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks(docs, items).count() == 0
+
+
+def test_short_items(spark):
+    docs = [(1, "so the answer here is 42 ok and more"), (2, "So the Answer  here is 421"), (3, "an art of a party"), (4, "art"), (5, "the answre here is 42"), (6, "(art)")]
+    items = [(1, "the answer here is 42"), (2, "the answer here is 42 ok"), (3, "art"), (4, "x"), (5, None), (6, " ")]
+    got = {(x["id"], x["item"]): (x["distance"], x["start"], x["end"]) for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got.pop((2, 1))[0] == 1  # one digit more, and the word ends there
+    assert got == {(1, 1): (0, 3, 24), (1, 2): (0, 3, 27), (3, 3): (0, 3, 6), (4, 3): (0, 0, 3), (5, 1): (2, 0, 21), (6, 3): (0, 1, 4)}
+
+
+def test_short_items_against_all_substrings(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abc1") for _ in range(r.randrange(1, 5)))
+    items = [(i, " ".join(word() for _ in range(r.randrange(1, 6)))[:23].strip()) for i in range(30)]
+    docs = [(i, " ".join(word() for _ in range(r.randrange(0, 25)))) for i in range(60)]
+    want = {}
+    for i, t in docs:
+        t = normal(t)
+        edge = lambda k, t=t: k in (0, len(t)) or not (t[k - 1].isalnum() and t[k].isalnum())
+        for n, item in items:
+            for a in range(len(t)):
+                for b in range(a + 1, min(len(t), a + len(item) + 3) + 1) if edge(a) else ():
+                    if edge(b) and abs(b - a - len(item)) <= budget(len(item)):
+                        d = whole_distance(item, t[a:b])
+                        if d <= budget(len(item)):
+                            want[i, n] = min(want.get((i, n), d), d)
+    got = {(x["id"], x["item"]): x["distance"] for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == want and len(want) > 40
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        last, row = row, [i]
+        for j, c in enumerate(b, 1):
+            row.append(min(last[j - 1] + (p != c), last[j] + 1, row[-1] + 1))
+    return row[-1]

@@ -9,6 +9,7 @@ piece, hence nothing is lost by giving up at the first node that isn't. Nodes
 are checked by Myers' bit-parallel distance.
 
 Texts and items are compared in lower case with white space as single spaces.
+An item of under ten characters has no edits to spare and is one piece.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small_batches
 
-#: Items below this many characters are too short to tell from chance.
-LEAST_CHARS = 24
-#: Characters of items that are sent out at a time; more items go in blocks.
-BLOCK_CHARS = 8_000_000
+#: Items below this many characters must match whole words of the document, so
+#: that they aren't found inside of longer ones by chance.
+SHORT_CHARS = 24
+#: Characters of items that are sent out at a time; more items go in blocks. A
+#: worker needs about 200 bytes a character for the pieces and their masks.
+BLOCK_CHARS = 500_000
 
 
 def normal(text: str | None) -> str:
@@ -118,7 +121,7 @@ class Matcher:
     """All items of one block, ready to be searched for in texts."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in items if len(t) >= LEAST_CHARS]
+        self.items = [(i, t) for i, t in items if t]
         self.auto = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, _Node]]] = {}
         self.roots: list[_Node] = []
@@ -149,6 +152,7 @@ class Matcher:
         if not self.items:
             return []
         ends: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, tuple[int, int, int]] = {}
         seen: set[tuple[int, int]] = set()
         for last, (size, owners) in self.auto.iter(text):
             at = last + 1 - size
@@ -169,10 +173,15 @@ class Matcher:
                     continue
                 seen.add((n, base))
                 root = self.roots[n]
+                if root.end < SHORT_CHARS:
+                    found = _whole_words(root, text, base)
+                    if found:
+                        short[n] = min(short.get(n, found), found)
+                    continue
                 lo = max(0, base - root.most)
                 d, end = best_end(root.pattern, root.masks or _masks(root.pattern), text[lo : base + root.end + root.most])
                 ends.setdefault(n, []).append((d, lo + end))
-        out = []
+        out = [(n, d, start, end) for n, (d, start, end) in short.items()]
         for n, found in ends.items():
             d, end = min(found)
             pattern = self.items[n][1]
@@ -181,6 +190,25 @@ class Matcher:
         return out
 
 
+def _whole_words(root: _Node, text: str, base: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the best match near ``base`` of a short item
+    that neither begins nor ends inside of a word; none if over the budget."""
+    edge = lambda i: i in (0, len(text)) or not (text[i - 1].isalnum() and text[i].isalnum())
+    best = None
+    for start in range(max(0, base - root.most), min(len(text), base + root.most) + 1):
+        if not edge(start):
+            continue
+        row = list(range(len(root.pattern) + 1))  # edits from each head of the item to text[start:end]
+        for end in range(start + 1, min(len(text), start + len(root.pattern) + root.most) + 1):
+            c, diagonal = text[end - 1], row[0]
+            row[0] += 1
+            for i, x in enumerate(root.pattern, 1):
+                diagonal, row[i] = row[i], min(diagonal + (x != c), row[i] + 1, row[i - 1] + 1)
+            if row[-1] <= root.most and edge(end) and (best is None or (row[-1], start, end) < best):
+                best = row[-1], start, end
+    return best
+
+
 def _origins(text: str) -> list[int]:
     """For each character of ``normal(text)`` its place in ``text``."""
     out: list[int] = []
@@ -202,7 +230,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     contains within the item's budget, with the place of its best match in
     characters of the document, the end exclusive.
 
-    Null, empty and very short items match nothing, nor do null or empty texts.
+    Null and empty items match nothing, nor do null or empty texts. Items under
+    SHORT_CHARS match where they neither begin nor end inside of a word.
     Repeated rows of ``docs`` give rows each; an item id that occurs with
     several texts is searched for with each, and the best is told. A null id is
     kept. Items are collected in blocks of bounded size, each of which is
@@ -211,7 +240,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    queries = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") >= LEAST_CHARS).distinct()
+    queries = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length("text") > 0).distinct()
     item_type = to_arrow_type(queries.schema["item"].dataType)
     kinds, item_kind = dict(rows.dtypes)["id"], dict(queries.dtypes)["item"]
     chars = queries.agg(F.sum(F.length("text"))).first()[0] or 0
