@@ -27,8 +27,11 @@ from .components import components
 from .shared import _mix, shingle_sets, small_batches, written
 
 BANDS, ROWS = 32, 4
-#: Sets of one bucket that are compared in one step; larger buckets are split.
-BLOCK = 1024
+#: Sets of one bucket that are compared in one step, and their shingles; larger
+#: buckets are split.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Texts to fetch whose keys are broadcast at most; more are shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -197,20 +200,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # One representative of each distinct set; copies go no further.
     distinct = rows.where("set_id is not null").groupBy("set_id").agg(
-        F.min("id").alias("least_id"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("id").alias("least_id"), F.min(F.struct("id", "text_key")).alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     distinct = written(distinct)
     spread = distinct.select("set_id", "n", F.explode("bands").alias("bucket"))
     # Buckets that more than one set falls in, each with its centre.
-    centres = spread.groupBy("bucket").agg(F.min("set_id").alias("centre"), F.count("*").alias("members"), F.sum(F.xxhash64("set_id").bitwiseXOR(F.lit(77))%F.lit(1 << 40)).alias("print")).where("members > 1")
+    centres = spread.groupBy("bucket").agg(F.min("set_id").alias("centre"), F.count("*").alias("members"), F.sum("n").alias("total"), F.sum(F.xxhash64("set_id").bitwiseXOR(F.lit(77)) % F.lit(1 << 40)).alias("print")).where("members > 1")
     # The same group meets in many bands: once is enough.
-    centres = centres.groupBy("centre", "members", "print").agg(F.min("bucket").alias("bucket"))
-    members = written(spread.join(centres, "bucket").select("bucket", "members", "set_id", "n", "centre"))
+    centres = centres.groupBy("centre", "members", "total", "print").agg(F.min("bucket").alias("bucket"))
+    members = written(spread.join(centres, "bucket").select("bucket", "members", "total", "set_id", "n", "centre"))
     stars = members.where("set_id != centre").select("set_id", "centre").distinct()
 
-    wanted = members.select("set_id").distinct().join(distinct.select("set_id", "text_key"), "set_id")
-    picked = texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = written(picked.select("text").mapInArrow(_full_sets(shingle), "set_id binary, shingles array<bigint>").dropDuplicates(["set_id"]))
+    # One row of each set is read again: by text and id, so that copies of a text
+    # don't gather anywhere.
+    wanted = written(members.select("set_id").distinct().join(distinct.select("set_id", "one"), "set_id").select(F.col("one.id").alias("k_id"), F.col("one.text_key").alias("k_text")))
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    picked = texts.join(wanted, (F.col("text_key") == F.col("k_text")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates(["text_key", "id"])
+    sets = written(picked.select("text").mapInArrow(_full_sets(shingle), "set_id binary, shingles array<bigint>"))
 
     sized = stars.join(sets.select("set_id", "shingles"), "set_id")
     sized = sized.join(sets.select(F.col("set_id").alias("centre"), F.col("shingles").alias("others")), "centre")
@@ -221,11 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets that stars left in several parts.
     known = members.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "bucket", "members", "set_id", F.coalesce("component", "set_id").alias("part")
+        "bucket", "members", "total", "set_id", F.coalesce("component", "set_id").alias("part")
     )
     open_ = known.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("bucket")
     todo = known.join(open_, "bucket").where("members > 2")  # of two, the star saw the only pair
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     todo = todo.withColumn("own", F.pmod(F.hash("set_id"), blocks)).withColumn("blocks", blocks)
     dealt = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
