@@ -362,13 +362,11 @@ def repeated_passages(docs: DataFrame, length: int = 200, id_col: str = "doc_id"
     copied = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("key", "n_bytes", "copies")
     lists = marks.unionByName(spots).join(copied.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     some = with_text(lists).select("key", "n_bytes", "text", "ranges").mapInArrow(_removed, "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
+    # What becomes of a text, in one small table: a single join, which is split where a text has very many copies.
     nothing = F.sha2(F.lit(""), 256)
-    out = rows.join(written(some), ["key", "n_bytes"], "left").join(copied, ["key", "n_bytes"], "left")
-    gone = F.col("copies").isNotNull()
+    gone = copied.select("key", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), nothing.alias("kept_sha256"), F.array(F.lit(0).cast("bigint"), F.col("n_bytes")).alias("spans"))
+    out = rows.join(written(some.unionByName(gone)), ["key", "n_bytes"], "left")
     return out.select(
-        "id", "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(gone, nothing).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
-        F.when(gone, F.array(F.lit(0).cast("bigint"), F.col("n_bytes"))).otherwise(F.coalesce("spans", F.expr("cast(array() as array<bigint>)"))).alias("spans"),
+        "id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"),
+        F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).alias("spans"),
     )
