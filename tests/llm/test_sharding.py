@@ -57,3 +57,21 @@ def test_equal_rows_go_to_pages(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert shards(df, 10).count() == 0 and with_shards(df, 10).count() == 0
+
+
+def test_many_equal_rows_over_many_parts(spark):
+    df = spark.createDataFrame([(7, "x" * 10, i) for i in range(3000)] + [(i, "y" * (i % 40), i) for i in range(500)], "doc_id bigint, text string, n int").repartition(13)
+    for rows in (shards(df, 1000).where("id = 7 and bytes = 10").collect(), with_shards(df, 1000).where("doc_id = 7 and n >= 0 and length(text) = 10").collect()):
+        pages = Counter(x["page"] if "page" in x else x["shard_page"] for x in rows)
+        assert sorted(pages.values()) in ([100] * 30, [1] + [100] * 30)
+
+
+def test_columns_that_clash_and_very_long_texts(spark):
+    rows = [(1, "a", 5, 6, 7, "h"), (1, "a" * 400_000, 5, 6, 7, "h"), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, shard_depth int, shard_prefix bigint, shard_page bigint, h string")
+    out = with_shards(df, 1000)
+    assert out.columns == ["doc_id", "text", "h", "shard_depth", "shard_prefix", "shard_page"]
+    assert sorted((x["doc_id"], len(x["text"] or "")) for x in out.collect()) == [(1, 1), (1, 400_000), (2, 0)]
+    assert Counter((x["shard_depth"], x["shard_prefix"], x["shard_page"]) for x in out.collect()) == Counter((x["depth"], x["prefix"], x["page"]) for x in shards(df, 1000).collect())
+    again = with_shards(out, 1000)
+    assert again.columns == out.columns and sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
