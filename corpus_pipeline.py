@@ -21,6 +21,8 @@ from tideloom.llm.toxicity import fit_toxicity
 TOXIC = 0.3
 #: Bytes of text in a shard.
 SHARD_BYTES = 8 << 20
+#: Keys of rejected rows, of about 80 bytes each, that are broadcast at most.
+BROADCAST_KEYS = 200_000
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -32,7 +34,9 @@ def _with_key(docs: DataFrame) -> DataFrame:
 
 def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
     """``keyed`` less the rows whose key is in ``rejected(id)``."""
-    gone = rejected.select(F.col("id").alias("_gone")).distinct()
+    gone = written(rejected.select(F.col("id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     return keyed.join(gone, keyed["_row"] == gone["_gone"], "left_anti")
 
 
@@ -40,7 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Score every text with models learned from the labels; reject by row."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keyed = _with_key(docs)
-    return _without(keyed, written(model.score(keyed, "_row").where(F.col("score") >= TOXIC).select("id"))).drop("_row")
+    return _without(keyed, model.score(keyed, "_row").where(F.col("score") >= TOXIC)).drop("_row")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, within its edit budget, go."""
     keyed = _with_key(docs)
-    return _without(keyed, written(leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row").select("id"))).drop("_row")
+    return _without(keyed, leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row")).drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

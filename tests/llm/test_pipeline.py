@@ -45,7 +45,9 @@ def test_stages(spark, tmp_path):
     assert set(kept[1]) - set(kept[2]) == {502}
     assert max(kept[3].count(i) for i in set(kept[3])) <= 2 and len(kept[3]) == len(kept[4])
     assert {"shard_depth", "shard_prefix", "shard_page"} <= set(frame.columns)
-    assert spark.createDataFrame([], frame_schema()).count() == 0
+    empty = spark.createDataFrame([], frame_schema())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, at).count() == 0
 
 
 def test_rows_not_ids_are_rejected(spark, tmp_path):

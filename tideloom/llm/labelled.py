@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Label tables of at most this many rows are broadcast; larger ones shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Label tables of at most this many rows, an id and a number each, are broadcast;
+#: larger ones are shuffled.
+BROADCAST_ROWS = 250_000
 HELD_OUT = 2
 
 
