@@ -36,6 +36,12 @@ def test_matching():
     assert matched(Order(1, -1, "Limit", 10.8), **bar) == 10.8 and matched(Order(1, -1, "Limit", 12.0), **bar) is None
     assert matched(Order(1, 1, "Stop", 10.8), **bar) == 10.8 and matched(Order(1, -1, "Stop", 8.0), **bar) is None
     assert matched(Order(1, 1, "StopLimit", 10.8, 10.9), **bar) == 10.9
+    waits = Order(1, 1, "StopLimit", 12.0, 12.5)
+    assert matched(waits, **bar, instant=False) is None and not waits.triggered
+    above = {"high": 13.0, "low": 12.2, "open_": 12.6, "close": 12.9}
+    assert matched(waits, **above, instant=False) is None and waits.triggered
+    assert matched(waits, **above, instant=False) == 12.5
+    assert matched(Order(1, 1, "StopLimit", 10.4, 10.6), **bar, instant=False) == 10.6
 
 
 def test_sizers_and_fillers():
@@ -82,3 +88,48 @@ def test_drawdown(spark):
     got = analyzers.drawdown(e).orderBy("ts").collect()
     assert [x["money"] for x in got] == [0, 0, 3, 6, 0, 1] and [x["length"] for x in got] == [0, 0, 1, 2, 0, 1]
     assert analyzers.max_drawdown(e).first()["drawdown"] == 50.0
+
+
+def series(spark, rows):
+    return spark.createDataFrame([(s, dt.datetime(2024, 1, d), *[float(p)] * 4, 100.0, o, k, x) for s, d, p, o, k, x in rows], "symbol string, ts timestamp, open double, high double, low double, close double, volume double, order double, order_type string, order_price double")
+
+
+def test_portfolio_has_one_cash(spark):
+    rows = [("a", 1, 10, 60.0, None, None), ("b", 1, 20, 30.0, None, None), ("a", 2, 11, None, None, None), ("b", 2, 20, 5.0, None, None), ("a", 3, 12, -60.0, None, None), ("b", 3, 21, None, None, None), ("a", 4, 12, None, None, None)]
+    got = {(r["symbol"], r["ts"].day): r for r in broker.run_portfolio(series(spark, rows), Rules(cash=1000.0)).collect()}
+    assert got["a", 2]["cash"] == 340 and got["a", 2]["value"] == 1000
+    assert got["b", 2]["cash"] == -260 and got["b", 2]["value"] == 1000 and got["b", 2]["rejected"] == 1
+    assert got["b", 2]["gross"] == pytest.approx(1260 / 1000)
+    assert got["a", 4]["cash"] == 460 and got["a", 4]["value"] == 460 + 30 * 21
+    two = series(spark, rows).withColumn("book", F.col("symbol"))
+    apart = broker.run_portfolio(two, Rules(cash=1000.0), by=("book",))
+    assert apart.where("symbol = 'b'").agg(F.min("cash")).first()[0] == 1000 - 30 * 20 - 5 * 21
+
+
+def test_cancel_and_sizes(spark):
+    rows = [("a", 1, 10, 5.0, "Limit", 8.0), ("a", 2, 9, None, "Cancel", None), ("a", 3, 7, None, None, None)]
+    assert broker.fills(broker.run(series(spark, rows))).count() == 0
+    kept = broker.fills(broker.run(series(spark, [rows[0], ("a", 2, 9, None, None, None), rows[2]]))).collect()
+    assert [(r["size"], r["price"]) for r in kept] == [(5.0, 8.0)]
+    rules = Rules(cash=1000.0, sizer=lambda cash, price, position, size: broker.percent(cash, price, position, 50.0), filler=lambda left, volume, high, low, price: broker.fixed_size(left, volume, 20.0))
+    rows = [("a", 1, 10, 1.0, None, None)] + [("a", d, 10, None, None, None) for d in range(2, 6)]
+    assert [r["size"] for r in broker.fills(broker.run(series(spark, rows), rules)).orderBy("ts").collect()] == [20.0, 20.0, 10.0]
+
+
+def test_a_fill_of_a_million_shares_is_one_row(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t, 1e6, 10.0), ("a", t + dt.timedelta(1), -4e5, 11.0), ("a", t + dt.timedelta(2), 1e5, 9.0), ("a", t + dt.timedelta(3), -7e5, 12.0), ("b", t, -5.0, 1.0)]
+    got = analyzers.round_trips(spark.createDataFrame(rows, "symbol string, ts timestamp, size double, price double")).collect()
+    assert sorted((r["buy_ts"].day, r["sell_ts"].day, r["quantity"], r["pnl"]) for r in got) == [(1, 2, 4e5, 4e5), (1, 4, 6e5, 1.2e6), (3, 4, 1e5, 3e5)]
+
+
+def test_sweep_of_a_hundred_lengths(spark):
+    from tideloom.plans import optimize
+
+    r = [100 + (i * 37 % 41) - 20 for i in range(150)]
+    bars = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(i), *[float(p)] * 4, 1.0) for i, p in enumerate(r)], "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    out = optimize.sweep(bars, list(range(2, 102)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("avg(") <= 2 * 100 and out.count() == 100
+    one = optimize.backtest(bars, 20).orderBy(F.desc("ts")).first()["value"]
+    assert out.where("period = 20").first()["value"] == pytest.approx(one)

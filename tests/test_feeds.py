@@ -93,3 +93,63 @@ def test_streams(spark, tmp_path):
 
     want = folds.Ema(5).push(np.arange(30.0))
     assert [x["ema"] for x in spark.table("emas").orderBy("ts").collect()] == [None if w != w else w for w in want]
+
+
+def _days(spark, symbol, first, n, volume):
+    import datetime as dt
+
+    return spark.createDataFrame([(symbol, dt.datetime(2024, 1, 1) + dt.timedelta(first + i), *[float(first + i)] * 4, float(volume(i)), 0.0) for i in range(n)], "symbol string, ts timestamp, open double, high double, low double, close double, volume double, openinterest double")
+
+
+def test_roll_over_of_24_contracts(spark):
+    from tideloom.operators import resample
+
+    contracts = [_days(spark, "x", 10 * k, 25, lambda i: 100 - abs(i - 12) * 5) for k in range(24)]
+    out = resample.roll_over(contracts)
+    assert out._jdf.queryExecution().analyzed().toString().count("LogicalRDD") <= 4 * 24
+    got = out.orderBy("ts").collect()
+    assert len({r["ts"] for r in got}) == len(got) == 255
+    # The next one has more volume from its seventh day after the middle of both on.
+    turn = {r["contract"]: r["ts"] for r in reversed(got)}
+    assert [(turn[k] - turn[0]).days for k in range(1, 24)] == [10 * (k - 1) + 18 for k in range(1, 24)]
+
+
+def test_roll_over_passes_over_ended_contracts(spark):
+    from tideloom.operators import resample
+
+    out = resample.roll_over([_days(spark, "x", 0, 20, lambda i: 9), _days(spark, "x", 5, 5, lambda i: 1), _days(spark, "x", 10, 30, lambda i: 5)])
+    assert [(r["contract"], r["n"]) for r in out.groupBy("contract").agg(F.count("*").alias("n")).orderBy("contract").collect()] == [(0, 20), (2, 20)]
+
+
+def test_align_by_symbol(spark):
+    from tideloom.operators import resample
+
+    three = _days(spark, "a", 0, 5, lambda i: 1).unionByName(_days(spark, "b", 0, 5, lambda i: 2)).unionByName(_days(spark, "c", 2, 5, lambda i: 3))
+    assert resample.align(three, three, ["volume"]).where("volume != volume2").count() == 0
+    assert resample.align(three, three, ["volume"]).count() == 15
+    out = resample.align(three, three, ["volume"], pairs=[("a", "b"), ("a", "c"), ("b", "c")])
+    assert sorted((r["symbol"], r["symbol2"], r["n"]) for r in out.groupBy("symbol", "symbol2").agg(F.count("*").alias("n")).collect()) == [("a", "b", 5), ("a", "c", 3), ("b", "c", 3)]
+    assert resample.align(three, three, ["close"], by_number=True, pairs=[("a", "c")]).count() == 5
+
+
+def test_binary_charts(spark, tmp_path):
+    import numpy as np
+
+    day = np.zeros(3, dtype=np.dtype(readers.CHART_DAY))
+    day["day"] = [2006 * 500 + 1 * 32 + 2, 2006 * 500 + 12 * 32 + 31, 2007 * 500 + 2 * 32 + 28]
+    for i, f in enumerate(("open", "high", "low", "close", "volume", "openinterest")):
+        day[f] = np.arange(3) + i
+    (tmp_path / "ABC.fd").write_bytes(day.tobytes() + b"xx")
+    got = readers.chart_binary(spark, str(tmp_path / "ABC.fd")).orderBy("ts").collect()
+    assert [(r["symbol"], str(r["ts"])[:10], r["open"], r["openinterest"]) for r in got] == [("ABC", "2006-01-02", 0.0, 5.0), ("ABC", "2006-12-31", 1.0, 6.0), ("ABC", "2007-02-28", 2.0, 7.0)]
+    minute = np.zeros(1, dtype=np.dtype(readers.CHART_MINUTE))
+    minute["day"], minute["second"] = day["day"][0], 9 * 3600 + 1800
+    (tmp_path / "X.min").write_bytes(minute.tobytes())
+    assert str(readers.chart_binary(spark, str(tmp_path / "X.min"), intraday=True).first()["ts"]) == "2006-01-02 09:30:00"
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    _days(spark, "x", 0, 9, lambda i: i).select("symbol", F.col("ts").alias("at"), "open", "high", "low", "close", "volume").write.format("jdbc").options(url=url, dbtable="bars", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    got = readers.jdbc(spark, url, "bars", {"AT": "ts", "at": "ts"}, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").where("close >= 4")
+    assert got.count() == 5 and set(got.columns) == {"symbol", "ts", "open", "high", "low", "close", "volume", "openinterest"}

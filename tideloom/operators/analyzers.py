@@ -182,20 +182,40 @@ def transactions(fills: DataFrame, unit: str = "day", by=("symbol",)) -> DataFra
 
 
 def round_trips(fills: DataFrame, by=("symbol",)) -> DataFrame:
-    """Buys matched with sells first in, first out: an interval of quantity
-    bought meets the intervals sold that overlap it. Joined on whole-quantity
-    buckets of the running totals, so no series is compared as a whole."""
+    """Buys matched with sells first in, first out. Running totals of both sides
+    cut the quantity into stretches, each of which lies in one buy and one sell:
+    those that end next, which one window from the highest total down finds."""
     w = _w((*by, "_side")).rowsBetween(W.unboundedPreceding, 0)
-    f = fills.withColumn("_side", F.signum("size")).withColumn("_q", F.abs("size"))
-    f = f.withColumn("_hi", F.sum("_q").over(w)).withColumn("_lo", F.col("_hi") - F.col("_q"))
-    f = f.withColumn("_cell", F.explode(F.sequence(F.floor("_lo"), F.floor(F.col("_hi") - F.lit(1e-9)))))
-    side = lambda s, n: f.where(f"_side = {s}").select(*by, "_cell", F.col("ts").alias(f"{n}_ts"), F.col("price").alias(f"{n}_price"), F.col("_lo").alias(f"_{n}_lo"), F.col("_hi").alias(f"_{n}_hi"))
-    m = side(1, "buy").join(side(-1, "sell"), [*by, "_cell"])
-    lo = F.greatest("_buy_lo", "_sell_lo", F.col("_cell").cast("double"))
-    hi = F.least("_buy_hi", "_sell_hi", F.col("_cell").cast("double") + 1)
-    m = m.withColumn("_n", hi - lo).where("_n > 0")
-    g = m.groupBy(*by, "buy_ts", "sell_ts", "buy_price", "sell_price").agg(F.sum("_n").alias("quantity"))
-    return g.withColumn("pnl", F.col("quantity") * (F.col("sell_price") - F.col("buy_price")))
+    f = fills.where("size != 0").withColumn("_side", F.signum("size")).withColumn("_at", F.sum(F.abs("size")).over(w))
+    mine = lambda s: F.when(F.col("_side") == s, F.struct("ts", "price"))
+    down = W.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_side"))
+    so_far = down.rowsBetween(W.unboundedPreceding, 0)
+    f = f.withColumns({"_buy": F.last(mine(1), ignorenulls=True).over(so_far), "_sell": F.last(mine(-1), ignorenulls=True).over(so_far), "quantity": F.col("_at") - F.coalesce(F.lead("_at").over(down), F.lit(0.0))})
+    m = f.where("quantity > 1e-9 and _buy is not null and _sell is not null")
+    m = m.select(*by, F.col("_buy.ts").alias("buy_ts"), F.col("_sell.ts").alias("sell_ts"), F.col("_buy.price").alias("buy_price"), F.col("_sell.price").alias("sell_price"), "quantity")
+    return m.withColumn("pnl", F.col("quantity") * (F.col("sell_price") - F.col("buy_price")))
+
+
+def position_stats(equity: DataFrame, by=("symbol",)) -> DataFrame:
+    """Figures over all bars of what is held: mean, deviation, extremes of value
+    and unrealised gain, the share of bars long and short."""
+    p = positions(equity, by)
+    return p.groupBy(*by).agg(
+        F.avg("value").alias("average"), F.stddev_samp("value").alias("stddev"), F.max("value").alias("most"), F.min("value").alias("least"),
+        F.max("pnl").alias("best"), F.min("pnl").alias("worst"), F.avg((F.col("value") > 0).cast("double")).alias("long_share"), F.avg((F.col("value") < 0).cast("double")).alias("short_share"),
+    )
+
+
+def leverage_stats(equity: DataFrame, by=("symbol",), column: str | None = None) -> DataFrame:
+    """Mean, deviation and extremes of leverage, of ``column`` if it is there already."""
+    lev = equity.select(*by, F.col(column).alias("leverage")) if column else leverage(equity, by)
+    return lev.groupBy(*by).agg(F.avg("leverage").alias("average"), F.stddev_samp("leverage").alias("stddev"), F.max("leverage").alias("most"), F.min("leverage").alias("least"))
+
+
+def value_stats(equity: DataFrame, by=("symbol",), value: str = "value") -> DataFrame:
+    """Total value: first, last, extremes, mean, deviation and growth."""
+    g = equity.groupBy(*by).agg(F.min_by(value, "ts").alias("first"), F.max_by(value, "ts").alias("last"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("average"), F.stddev_samp(value).alias("stddev"))
+    return g.withColumn("growth", ratio(F.col("last"), F.col("first")) - 1)
 
 
 def positions(equity: DataFrame, by=("symbol",)) -> DataFrame:

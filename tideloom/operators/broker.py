@@ -8,7 +8,7 @@ rows sorted by series and time with a state of a few numbers.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,8 +32,13 @@ class Commission:
     def stock(self) -> bool:
         return self.margin is None
 
-    def fee(self, size: float, price: float) -> float:
-        if self.fixed:
+    #: Tiers of traded volume, maker and taker rate, in place of ``commission``.
+    tiers: tuple[tuple[float, float, float], ...] = ()
+
+    def fee(self, size: float, price: float, traded: float = 0.0, maker: bool = False) -> float:
+        if self.tiers:
+            fee = crypto_fee(size * price, traded, maker, self.tiers)
+        elif self.fixed:
             fee = self.commission
         else:
             fee = abs(size) * self.commission * (price if self.stock else 1.0)
@@ -127,6 +132,7 @@ class Order:
     price: float | None = None
     limit: float | None = None
     created: float = 0.0
+    triggered: bool = False
     left: float = field(init=False)
 
     def __post_init__(self):
@@ -142,11 +148,19 @@ class Rules:
     #: long: buy only when flat, sell only what is held; both: as told.
     mode: str = "both"
     fill_percent: float | None = None
+    #: (remaining, volume, high, low, price) to how much a bar can fill.
+    filler: Callable[[float, float, float, float, float], float] | None = None
+    #: (cash, price, position, size asked for) to how much to trade; the sign of the order stays.
+    sizer: Callable[[float, float, float, float], float] | None = None
+    #: A stop with a limit executes at once at its limit, without a trigger.
+    instant_stop_limit: bool = False
 
 
-def matched(o: Order, high: float, low: float, open_: float, close: float) -> float | None:
+def matched(o: Order, high: float, low: float, open_: float, close: float, instant: bool = True) -> float | None:
     """Price at which a bar executes an order, or None. Limits and stops
-    execute at their own price."""
+    execute at their own price. A stop with a limit waits for its stop, unless
+    ``instant``; on that bar it executes if the close is within the limit, and
+    from then on it is a limit order."""
     buy = o.left > 0
     if o.kind == "Market":
         return open_
@@ -158,39 +172,64 @@ def matched(o: Order, high: float, low: float, open_: float, close: float) -> fl
         return o.price if (low <= o.price if buy else high >= o.price) else None
     if o.kind == "Stop":
         return o.price if (high >= o.price if buy else low <= o.price) else None
-    return o.limit if o.limit is not None else o.price  # StopLimit
+    limit = o.limit if o.limit is not None else o.price  # StopLimit
+    if instant:
+        return limit
+    if not o.triggered:
+        if high < o.price if buy else low > o.price:
+            return None
+        o.triggered = True
+        return limit if (close <= limit if buy else close >= limit) else None
+    return limit if (low <= limit if buy else high >= limit) else None
+
+
+@dataclass
+class Book:
+    """Cash that one or several accounts draw on, and what has been traded."""
+
+    cash: float
+    traded: float = 0.0
 
 
 class Account:
-    """Cash, position, pending orders and the open trade of one series."""
+    """Position, pending orders and the open trade of one series, and the book
+    its cash is in."""
 
-    def __init__(self, rules: Rules):
-        self.r, self.cash, self.position = rules, rules.cash, Position()
+    def __init__(self, rules: Rules, book: Book | None = None):
+        self.r, self.book, self.position = rules, book or Book(rules.cash), Position()
         self.pending: list[Order] = []
         self.orders = 0
         self.mark = 0.0
         self.trade: dict | None = None
         self.bar = 0
 
+    @property
+    def cash(self) -> float:
+        return self.book.cash
+
     def value(self, close: float) -> float:
+        return self.book.cash + self.worth(close)
+
+    def worth(self, close: float) -> float:
         c, p = self.r.commission, self.position
-        return self.cash + (p.size * close if c.stock else abs(p.size) * c.margin)
+        return p.size * close if c.stock else abs(p.size) * c.margin
 
     def _execute(self, ts, o: Order, size: float, price: float, fills: list, trades: list) -> None:
         c, p = self.r.commission, self.position
         was = p.price
         opened, closed = p.update(size, price)
-        fee = c.fee(size, price)
+        fee = c.fee(size, price, self.book.traded, o.kind in ("Limit", "StopLimit"))
+        self.book.traded += abs(size * price)
         pnl = c.pnl(-closed, was, price) if closed else 0.0
         if c.stock:
-            self.cash -= size * price
+            self.book.cash -= size * price
         else:
-            self.cash -= (abs(opened) - abs(closed)) * c.margin
-            self.cash += c.pnl(-closed, self.mark, price) if closed else 0.0
+            self.book.cash -= (abs(opened) - abs(closed)) * c.margin
+            self.book.cash += c.pnl(-closed, self.mark, price) if closed else 0.0
             if opened and not closed and p.size != opened:
-                self.cash += c.pnl(p.size - opened, self.mark, price)
+                self.book.cash += c.pnl(p.size - opened, self.mark, price)
             self.mark = price
-        self.cash -= fee
+        self.book.cash -= fee
         fills.append((o.id, size, price, fee, pnl))
         closing = abs(closed) / (abs(opened) + abs(closed)) if closed else 0.0
         if closed and self.trade:
@@ -215,7 +254,7 @@ class Account:
         self.bar += 1
         still: list[Order] = []
         for x in self.pending:
-            at = matched(x, h, lo, o, c)
+            at = matched(x, h, lo, o, c, self.r.instant_stop_limit)
             if at is None:
                 still.append(x)
                 continue
@@ -225,6 +264,8 @@ class Account:
             size = x.left
             if self.r.fill_percent is not None:
                 size = math.copysign(bar_percent(abs(x.left), volume or 0.0, self.r.fill_percent), x.left)
+            if self.r.filler is not None:
+                size = math.copysign(max(0.0, self.r.filler(abs(size), volume or 0.0, h, lo, at)), x.left)
             if size:
                 self._execute(ts, x, size, at, fills, trades)
                 x.left -= size
@@ -232,22 +273,26 @@ class Account:
                 still.append(x)
         self.pending = still
         if not self.r.commission.stock and self.position.size:
-            self.cash += self.r.commission.pnl(self.position.size, self.mark, c)
+            self.book.cash += self.r.commission.pnl(self.position.size, self.mark, c)
             self.mark = c
+        if kind == "Cancel":
+            self.pending, order = [], 0.0
         if order:
             held = self.position.size
             go = order
+            if self.r.sizer is not None:
+                go = math.copysign(abs(self.r.sizer(self.book.cash, c, held, abs(order))), order)
             if self.r.mode == "long":
                 busy = held + sum(x.left for x in self.pending)
-                go = order if order > 0 and busy == 0 else (-held if order < 0 and held > 0 and busy == held else 0.0)
+                go = go if order > 0 and busy == 0 else (-held if order < 0 and held > 0 and busy == held else 0.0)
             if go:
-                cost = self.r.commission.cost(go, c) + self.r.commission.fee(go, c)
-                if go * held >= 0 and cost > self.cash:
+                cost = self.r.commission.cost(go, c) + self.r.commission.fee(go, c, self.book.traded)
+                if go * held >= 0 and cost > self.book.cash:
                     rejected = 1
                 else:
                     self.orders += 1
                     self.pending.append(Order(self.orders, go, kind or "Market", price, limit, c))
-        return self.cash, self.value(c), self.position.size, self.position.price, rejected, fills, trades
+        return self.book.cash, self.value(c), self.position.size, self.position.price, rejected, fills, trades
 
 
 FILL = "struct<order:int,size:double,price:double,fee:double,pnl:double>"
@@ -256,37 +301,64 @@ TRADE = "struct<opened:timestamp,closed:timestamp,size:double,entry:double,exit:
 
 def run(bars: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Bars with an ``order`` column (signed size, null or 0 for none; optional
-    order_type, order_price and order_limit) to one row a bar: cash, value,
-    position, price, rejected, fills and trades."""
+    order_type, order_price and order_limit; type Cancel withdraws what is
+    pending) to one row a bar: cash, value, position, price, rejected, fills and
+    trades. Each series has cash of its own."""
+    return _run(bars, rules, by, by, ())
+
+
+def run_portfolio(bars: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = (), feed: str = "symbol") -> DataFrame:
+    """``run`` with one cash account over all feeds of a portfolio: ``by`` tells
+    portfolios apart (none: all is one). Rows are worked in order of time, then
+    feed; cash and value are the portfolio's after the row, a feed without a bar
+    at that time counting at its last close. ``gross`` is the worth of all
+    positions, long or short, over the value. Portfolios run side by side; one
+    portfolio is sequential."""
+    one = bars if by else bars.withColumn("_portfolio", F.lit(0))
+    out = _run(one, rules, by or ("_portfolio",), (*(by or ("_portfolio",)), feed), (feed,))
+    return out if by else out.drop("_portfolio")
+
+
+def _run(bars: DataFrame, rules: Rules, by: tuple[str, ...], keys: tuple[str, ...], feed: tuple[str, ...]) -> DataFrame:
     extra = {"order_type": "string", "order_price": "double", "order_limit": "double"}
     df = bars
     for c, kind in extra.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(kind))
     cols = ["ts", "open", "high", "low", "close", "volume", "order", *extra]
-    df = df.select(*by, *[F.col(c) if c in ("ts", "order_type") else F.col(c).cast("double").alias(c) for c in cols]).where("open is not null and high is not null and low is not null and close is not null")
+    df = df.select(*keys, *[F.col(c) if c in ("ts", "order_type") else F.col(c).cast("double").alias(c) for c in cols]).where("open is not null and high is not null and low is not null and close is not null")
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + f", ts timestamp, close double, cash double, value double, position double, price double, rejected int, fills array<{FILL}>, trades array<{TRADE}>"
-    ordered = df.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by, "ts")
+    more = ["gross"] if feed else []
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", ts timestamp, close double, cash double, value double, position double, price double, rejected int, fills array<{FILL}>, trades array<{TRADE}>" + "".join(f", {c} double" for c in more)
+    ordered = df.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by, "ts", *feed)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, account = None, None
+        current, book, accounts, worth, total, gross = None, None, {}, {}, 0.0, 0.0
         for b in batches:
-            keys = list(zip(*(b.column(k).to_pylist() for k in by), strict=True))
+            owners = list(zip(*(b.column(k).to_pylist() for k in by), strict=True))
+            feeds = b.column(feed[0]).to_pylist() if feed else [None] * len(owners)
             rows = zip(*(b.column(c).to_pylist() for c in cols), strict=True)
             out = []
-            for key, row in zip(keys, rows, strict=True):
-                if account is None or key != current:
-                    current, account = key, Account(rules)
-                out.append(account.next(*row))
-            cash, value, position, price, rejected, fills, trades = zip(*out, strict=True) if out else ((),) * 7
+            for owner, name, row in zip(owners, feeds, rows, strict=True):
+                if book is None or owner != current:
+                    current, book, accounts, worth, total, gross = owner, Book(rules.cash), {}, {}, 0.0, 0.0
+                account = accounts.get(name) or accounts.setdefault(name, Account(rules, book))
+                cash, value, *rest = account.next(*row)
+                if feed:
+                    before, now = worth.get(name, 0.0), account.worth(row[4])
+                    worth[name] = now
+                    total, gross = total + now - before, gross + abs(now) - abs(before)
+                    value = cash + total
+                    rest.append(gross / value if value else None)
+                out.append((cash, value, *rest))
+            cash, value, position, price, rejected, fills, trades, *gross_ = zip(*out, strict=True) if out else ((),) * (7 + len(more))
             f = pa.struct([("order", pa.int32()), *[(c, pa.float64()) for c in ("size", "price", "fee", "pnl")]])
             ts = b.schema.field("ts").type
             t = pa.struct([("opened", ts), ("closed", ts), *[(c, pa.float64()) for c in ("size", "entry", "exit", "pnl", "pnlcomm")], ("bars", pa.int32())])
             as_dicts = lambda kind, rows: [[dict(zip([x.name for x in kind], r, strict=True)) for r in rr] for rr in rows]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in by), b.column("ts"), b.column("close"), *(pa.array(x, pa.float64()) for x in (cash, value, position, price)), pa.array(rejected, pa.int32()), pa.array(as_dicts(f, fills), pa.list_(f)), pa.array(as_dicts(t, trades), pa.list_(t))],
-                [*by, "ts", "close", "cash", "value", "position", "price", "rejected", "fills", "trades"],
+                [*(b.column(k) for k in keys), b.column("ts"), b.column("close"), *(pa.array(x, pa.float64()) for x in (cash, value, position, price)), pa.array(rejected, pa.int32()), pa.array(as_dicts(f, fills), pa.list_(f)), pa.array(as_dicts(t, trades), pa.list_(t)), *(pa.array(x, pa.float64()) for x in gross_)],
+                [*keys, "ts", "close", "cash", "value", "position", "price", "rejected", "fills", "trades", *more],
             )
 
     return ordered.mapInArrow(go, schema)

@@ -93,14 +93,19 @@ def asof(fast: DataFrame, slow: DataFrame, columns: Sequence[str], prefix: str =
     return out.select(*fast.columns, *[F.col(f"_held.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
-def align(a: DataFrame, b: DataFrame, columns: Sequence[str], suffix: str = "2", by_number: bool = False) -> DataFrame:
-    """Two feeds side by side: rows of the same time, or of the same number."""
+def align(a: DataFrame, b: DataFrame, columns: Sequence[str], suffix: str = "2", by_number: bool = False, pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Two feeds side by side, symbol by symbol: rows of the same time, or of the
+    same number. ``pairs`` names the symbol of ``b`` that goes beside each of
+    ``a`` (several, if it is named several times), as ``symbol`` with the suffix."""
     key = "ts"
     if by_number:
         n = F.row_number().over(W.partitionBy("symbol").orderBy("ts"))
         a, b, key = a.withColumn("_n", n), b.withColumn("_n", n), "_n"
-    other = b.select(key, *[F.col(c).alias(f"{c}{suffix}") for c in columns])
-    return a.join(other, key).drop("_n")
+    other = b.select("symbol", key, *[F.col(c).alias(f"{c}{suffix}") for c in columns])
+    if pairs:
+        beside = F.create_map(*[x for right in dict.fromkeys(r for _, r in pairs) for x in (F.lit(right), F.array(*[F.lit(left) for left, r in pairs if r == right]))])
+        other = other.withColumnRenamed("symbol", f"symbol{suffix}").withColumn("symbol", F.explode(beside[F.col(f"symbol{suffix}")]))
+    return a.join(other, ["symbol", key]).drop("_n")
 
 
 def chain(feeds: Sequence[DataFrame], strict: bool = True) -> DataFrame:
@@ -121,18 +126,25 @@ def roll_over(contracts: Sequence[DataFrame], condition: Column | None = None) -
     """One continuous series from contracts in order. The series moves to the
     next contract on the first day both trade on which ``condition`` over the
     columns of the current and, with suffix ``_next``, the next one holds
-    (default: the next has more volume), or when the current one ends."""
+    (default: the next has more volume), or when the current one ends. A
+    contract that has ended before its turn is passed over.
+
+    Contracts are one frame; the days on which one may roll come from one join,
+    and the rolls of a symbol from one pass over its contracts."""
     condition = condition if condition is not None else F.col("volume_next") > F.col("volume")
-    out, since = None, None
-    for i, c in enumerate(contracts):
-        mine = c if since is None else c.join(since, "symbol").where("ts >= _from").drop("_from")
-        if i + 1 < len(contracts):
-            nxt = contracts[i + 1].select("symbol", "ts", *[F.col(x).alias(f"{x}_next") for x in ("open", "high", "low", "close", "volume", "openinterest")])
-            met = mine.join(nxt, ["symbol", "ts"]).where(condition).groupBy("symbol").agg(F.min("ts").alias("_roll"))
-            end = mine.groupBy("symbol").agg(F.max("ts").alias("_end"))
-            until = end.join(met, "symbol", "left").select("symbol", F.coalesce("_roll", F.col("_end") + F.expr("INTERVAL 1 MICROSECOND")).alias("_from"))
-            mine = mine.join(until, "symbol").where("ts < _from").drop("_from")
-            since = until
-        mine = mine.withColumn("contract", F.lit(i))
-        out = mine if out is None else out.unionByName(mine)
-    return out
+    both = contracts[0].withColumn("contract", F.lit(0))
+    for i, c in enumerate(contracts[1:], 1):
+        both = both.unionByName(c.withColumn("contract", F.lit(i)))
+    fields = ("open", "high", "low", "close", "volume", "openinterest")
+    nxt = both.select("symbol", "ts", (F.col("contract") - 1).alias("contract"), *[F.col(x).alias(f"{x}_next") for x in fields])
+    met = both.join(nxt, ["symbol", "contract", "ts"]).where(condition).groupBy("symbol", "contract").agg(F.array_sort(F.collect_set("ts")).alias("met"))
+    ends = both.groupBy("symbol", "contract").agg(F.max("ts").alias("end")).join(met, ["symbol", "contract"], "left")
+    turns = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("contract", "end", "met"))).alias("all"))
+    start = "timestamp'0001-01-01 00:00:00'"
+    rolls = F.expr(f"""aggregate(all, named_struct('since', {start}, 'out', cast(array() as array<struct<contract:int,since:timestamp,until:timestamp>>)), (s, c) ->
+        transform(array(coalesce(filter(c.met, t -> t >= s.since)[0], greatest(c.end + interval 1 microsecond, s.since))), u ->
+            named_struct('since', u, 'out', concat(s.out, array(named_struct('contract', c.contract, 'since', s.since, 'until', u)))))[0]).out""")
+    spans = turns.select("symbol", F.explode(rolls).alias("r")).select("symbol", "r.contract", "r.since", "r.until")
+    last = F.col("contract") == len(contracts) - 1
+    out = both.join(spans, ["symbol", "contract"]).where((F.col("ts") >= F.col("since")) & (last | (F.col("ts") < F.col("until"))))
+    return out.select(*contracts[0].columns, "contract")

@@ -302,6 +302,15 @@ def find_index(b: Bars, n: int = 14, x: str = "close", best: str = "max", newest
     return b.put(**{out: ago.cast("double")}).drop("_a")
 
 
+def find_where(b: Bars, f: Callable[[Column, Column], Column], n: int = 14, x: str = "close", newest: bool = True, out: str = "findindex") -> Bars:
+    """Bars since the newest (or oldest) value v of the window for which
+    ``f(v, now)`` holds, now being the value of the bar itself; null if none."""
+    b = b.put(_a=b.values(x, n))
+    hits = F.filter(F.transform("_a", lambda v, i: F.when(f(v, F.col(x)), i)), lambda i: i.isNotNull())
+    at = F.array_max(hits) if newest else F.array_min(hits)
+    return b.put(**{out: (F.lit(n - 1) - at).cast("double")}).drop("_a")
+
+
 def apply_n(b: Bars, f: Callable[[Column], Column], n: int = 14, x: str = "close", out: str = "applyn") -> Bars:
     """``f`` of the array of the last n values, oldest first."""
     b = b.put(_a=b.values(x, n))
@@ -333,13 +342,15 @@ def crossover(b: Bars, x: str, y: str, out: str = "cross") -> Bars:
     return b.put(**{f"{out}_up": up, f"{out}_down": down, out: up - down}).drop("_z", "_before")
 
 
-def pivots(b: Bars, kind: str = "classic", levels: Sequence[float] = (0.382, 0.618, 1.0), out: str = "pivot") -> Bars:
-    """Support and resistance of each bar: classic, fibonacci or demark."""
+def pivots(b: Bars, kind: str = "classic", levels: Sequence[float] = (0.382, 0.618, 1.0), out: str = "pivot", use_open: bool = False, use_close: bool = False) -> Bars:
+    """Support and resistance of each bar: classic, fibonacci or demark. The
+    pivot of the first two is the mean of high, low and close; ``use_open`` takes
+    the open too and ``use_close`` the close once more."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     if kind == "demark":
         x = F.when(c < o, h + 2 * lo + c).when(c > o, 2 * h + lo + c).otherwise(h + lo + 2 * c)
         return b.put(**{f"{out}_p": x / 4, f"{out}_s1": x / 2 - h, f"{out}_r1": x / 2 - lo})
-    p = (h + lo + c) / 3
+    p = (h + lo + c + (o if use_open else 0) + (c if use_close else 0)) / (3 + use_open + use_close)
     if kind == "fibonacci":
         made = {f"{out}_p": p}
         for i, level in enumerate(levels, 1):

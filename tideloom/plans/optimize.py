@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import analyzers
@@ -31,25 +32,39 @@ def backtest(bars: DataFrame, n: int = 15, rules: Rules = Rules(mode="long"), si
 
 
 def sweep(bars: DataFrame, periods: Sequence[int], rules: Rules = Rules(mode="long"), size: float = 1.0) -> DataFrame:
-    """Final value, drawdown and trades for every mean length and symbol. Bars
-    are multiplied by the few lengths and folded by (symbol, period); the mean
-    of any length comes from differences of positions in one sorted window."""
-    p = F.explode(F.array(*[F.lit(int(n)) for n in periods])).alias("period")
-    b = Bars(bars.select("*", p), ("symbol", "period"))
-    mean: Column = F.lit(None).cast("double")
-    for n in periods:
-        mean = F.when(F.col("period") == n, b.mean("close", n)).otherwise(mean)
-    b = crossover(b.put(_m=mean), "close", "_m", "_x")
+    """Final value, drawdown and trades of the close crossing its mean, for every
+    mean length and symbol."""
+    out = sweep_grid(bars, [{"fast": 1, "slow": n} for n in periods], rules, size)
+    return out.withColumnRenamed("slow", "period").drop("fast")
+
+
+def sweep_grid(bars: DataFrame, combinations: Sequence[dict], rules: Rules = Rules(mode="long"), size: float = 1.0) -> DataFrame:
+    """A fast mean crossing a slow one, for every combination (``fast`` and
+    ``slow`` lengths, 1 being the close itself) and symbol: final value, cash,
+    trades, return and drawdown.
+
+    The mean of each length is one window column, all in one pass over the
+    bars; only then is a bar multiplied by the combinations, with the two means
+    each needs, and the orders are worked by (symbol, combination) in one job."""
+    lengths = sorted({n for c in combinations for n in (c["fast"], c["slow"])})
+    b = Bars(bars)
+    b = b.put(**{f"_m{n}": F.col("close") if n == 1 else b.mean("close", n) for n in lengths})
+    each = F.explode(F.array(*[F.struct(F.lit(int(c["fast"])).alias("fast"), F.lit(int(c["slow"])).alias("slow"), F.col(f"_m{c['fast']}").alias("a"), F.col(f"_m{c['slow']}").alias("b")) for c in combinations]))
+    by = ("symbol", "fast", "slow")
+    wide = b.df.select(*bars.columns, each.alias("_c")).select(*bars.columns, "_c.fast", "_c.slow", F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b"))
+    b = crossover(Bars(wide, by), "_a", "_b", "_x")
     orders = b.put(order=F.when(F.col("_x") > 0, F.lit(float(size))).when(F.col("_x") < 0, F.lit(-float(size)))).tidy().df
-    result = run(orders, rules, ("symbol", "period"))
-    by = ("symbol", "period")
-    last = result.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max_by("cash", "ts").alias("cash"), F.sum(F.size("trades")).alias("trades"))
+    result = run(orders, rules, by)
+    peak = F.max("value").over(W.partitionBy(*by).orderBy("ts"))
+    result = result.withColumn("_down", 100 * (peak - F.col("value")) / peak)
+    last = result.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max_by("cash", "ts").alias("cash"), F.sum(F.size("trades")).alias("trades"), F.max("_down").alias("drawdown"))
     return last.withColumn("total_return", F.col("value") / F.lit(rules.cash) - 1)
 
 
-def ranked(results: DataFrame, metric: str = "total_return", most: int | None = None) -> DataFrame:
-    """Best first, ties by symbol and period."""
-    out = results.orderBy(F.desc(metric), "symbol", "period")
+def ranked(results: DataFrame, metric: str = "total_return", most: int | None = None, ascending: bool = False) -> DataFrame:
+    """Best first by any column, ties by symbol and parameters."""
+    rest = [c for c in ("symbol", "period", "fast", "slow") if c in results.columns]
+    out = results.orderBy(F.asc(metric) if ascending else F.desc(metric), *rest)
     return out.limit(most) if most else out
 
 

@@ -12,35 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import lines
 from ..operators import analyzers as an
-from ..operators import broker, filters, folds, resample, signals, timers
+from ..operators import filters, folds, resample, signals, timers
 from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources import readers
 from ..streaming import bars as streams
-from . import optimize
-from .sql import DAYS, ORDER, SO_FAR, WEEKS, Sql, agg, lag, mean, over, ratio, values, weighted
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver, its times as timestamps of the session's zone."""
-    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return t.withColumns({c: F.col(c).cast("timestamp") for c, kind in t.dtypes if kind == "timestamp_ntz"})
-
-
-def days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", (F.col("l_extendedprice") / 997).alias("p"), "l_quantity", "l_orderkey", "l_linenumber")
-    return resample.from_ticks(li, "l_returnflag", "l_shipdate", "p", "day", volume="l_quantity", ties=("l_orderkey", "l_linenumber", "p"))
-
-
-def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(days(spark, sf_dir), "week")
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    return df.select("symbol", "ts", *[F.round(F.col(c).cast("double"), digits).alias(c) for c in columns])
-
+from . import optimize, trading
+from . import recursive as rec
+from . import sources as files
+from . import units
+from .bars import Query, days, rounded, table, ticks, weeks
+from .sql import DAYS, ORDER, SO_FAR, WEEKS, Sql, agg, cross, lag, mean, over, ratio, values, weighted
 
 def on(source: Callable, f: Callable[[Bars], Bars], *columns: str) -> Query:
     return lambda spark, sf_dir: rounded(f(Bars(source(spark, sf_dir))).tidy().df, *columns)
@@ -50,20 +32,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event prices by day, two means and their crossing."""
     ev = table(spark, sf_dir, "events")
     b = Bars(resample.from_ticks(ev, "event_type", "ts", "value", "day", ties=("event_id",)))
-    b = b.put(sma10=b.mean("close", 10), sma30=b.mean("close", 20))
-    b = win.crossover(b, "sma10", "sma30", "cross")
-    return rounded(b.df, "open", "high", "low", "close", "volume", "sma10", "sma30", "cross")
+    b = b.put(sma10=b.mean("close", 10), sma20=b.mean("close", 20))
+    b = win.crossover(b, "sma10", "sma20", "cross")
+    return rounded(b.df, "open", "high", "low", "close", "volume", "sma10", "sma20", "cross")
 
 
 FLAGSHIP_SQL = f"""WITH bars AS (
   SELECT event_type AS symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
          last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM events WHERE value IS NOT NULL GROUP BY event_type, date_trunc('day', events.ts)
-), m AS (SELECT *, {mean("close", 10)} AS sma10, {mean("close", 20)} AS sma30 FROM bars
-), z AS (SELECT *, CASE WHEN sma10 - sma30 IS NOT NULL THEN coalesce(last_value(nullif(sma10 - sma30, 0) IGNORE NULLS) {SO_FAR}, 0) END AS z FROM m
+), m AS (SELECT *, {mean("close", 10)} AS sma10, {mean("close", 20)} AS sma20 FROM bars
+), z AS (SELECT *, CASE WHEN sma10 - sma20 IS NOT NULL THEN coalesce(last_value(nullif(sma10 - sma20, 0) IGNORE NULLS) {SO_FAR}, 0) END AS z FROM m
 ), b AS (SELECT *, {lag("z")} AS before FROM z)
-SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, round(sma10, 4) AS sma10, round(sma30, 4) AS sma30,
-       CASE WHEN before IS NOT NULL AND z IS NOT NULL THEN CASE WHEN before < 0 AND sma10 > sma30 THEN 1.0 WHEN before > 0 AND sma10 < sma30 THEN -1.0 ELSE 0.0 END END::DOUBLE AS cross
+SELECT symbol, ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, round(sma10, 4) AS sma10, round(sma20, 4) AS sma20,
+       CASE WHEN before IS NOT NULL AND z IS NOT NULL THEN CASE WHEN before < 0 AND sma10 > sma20 THEN 1.0 WHEN before > 0 AND sma10 < sma20 THEN -1.0 ELSE 0.0 END END::DOUBLE AS cross
 FROM b"""
 
 OHLC = ["open", "high", "low", "close"]
@@ -74,13 +56,6 @@ TR = f"(greatest(high, {lag('close')}) - least(low, {lag('close')}))"
 TRN = f"CASE WHEN {lag('close')} IS NOT NULL THEN {TR} END"
 
 
-def _cross(s: Sql, x: str, y: str, out: str) -> Sql:
-    s.put(_z=f"CASE WHEN {x} - {y} IS NOT NULL THEN coalesce(last_value(nullif({x} - {y}, 0) IGNORE NULLS) {SO_FAR}, 0) END").put(_before=lag("_z"))
-    there = "_before IS NOT NULL AND _z IS NOT NULL"
-    s.put(**{f"{out}_up": f"CASE WHEN {there} THEN CASE WHEN _before < 0 AND {x} > {y} THEN 1.0 ELSE 0.0 END END", f"{out}_down": f"CASE WHEN {there} THEN CASE WHEN _before > 0 AND {x} < {y} THEN 1.0 ELSE 0.0 END END"})
-    return s.put(**{out: f"{out}_up - {out}_down"})
-
-
 def _vortex(s: Sql) -> str:
     s.put(_p=f"abs(high - {lag('low')})", _m=f"abs(low - {lag('high')})", _t=TRN)
     total = agg("sum", "_t", 14)
@@ -187,7 +162,7 @@ WINDOWS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "win_find_index": (on(days, lambda b: win.find_index(win.find_index(b, out="first_high"), best="min", newest=False, out="last_low"), "first_high", "last_low"), lambda s: s.put(_a=values("close", 14)).put(first_high="list_position(list_reverse(_a), list_max(_a)) - 1", last_low="14 - list_position(_a, list_min(_a))").select("first_high", "last_low")),
     "win_apply": (on(days, lambda b: win.apply_n(b, lambda a: F.array_max(a) - F.array_min(a)), "applyn"), lambda s: s.put(_a=values("close", 14)).put(applyn="list_max(_a) - list_min(_a)").select("applyn")),
     "win_accum": (on(days, lambda b: win.accum(b, seed=100), "accum"), lambda s: s.put(accum=f"100 + sum(close) {SO_FAR}").select("accum")),
-    "sig_crossover": (on(days, lambda b: win.crossover(b.put(m=b.mean("close", 10)), "close", "m", "crossing"), "crossing_up", "crossing_down", "crossing"), lambda s: _cross(s.put(m=mean("close", 10)), "close", "m", "crossing").select("crossing_up", "crossing_down", "crossing")),
+    "sig_crossover": (on(days, lambda b: win.crossover(b.put(m=b.mean("close", 10)), "close", "m", "crossing"), "crossing_up", "crossing_down", "crossing"), lambda s: cross(s.put(m=mean("close", 10)), "close", "m", "crossing").select("crossing_up", "crossing_down", "crossing")),
     "sig_pivots": (on(days, win.pivots, "pivot_p", "pivot_s1", "pivot_r1", "pivot_s2", "pivot_r2"), lambda s: s.put(pivot_p=TP).put(pivot_s1="2 * pivot_p - high", pivot_r1="2 * pivot_p - low", pivot_s2="pivot_p - (high - low)", pivot_r2="pivot_p + (high - low)").select("pivot_p", "pivot_s1", "pivot_r1", "pivot_s2", "pivot_r2")),
     "sig_pivots_fibonacci": (on(days, lambda b: win.pivots(b, "fibonacci"), *[f"pivot_{k}" for k in ("p", "s1", "s2", "s3", "r1", "r2", "r3")]), lambda s: s.put(pivot_p=TP).put(**{f"pivot_{k}{i}": f"pivot_p {op} {v} * (high - low)" for i, v in enumerate((0.382, 0.618, 1.0), 1) for k, op in (("s", "-"), ("r", "+"))}).select(*[f"pivot_{k}" for k in ("p", "s1", "s2", "s3", "r1", "r2", "r3")])),
     "sig_pivots_demark": (on(days, lambda b: win.pivots(b, "demark"), "pivot_p", "pivot_s1", "pivot_r1"), lambda s: s.put(_x="CASE WHEN close < open THEN high + 2 * low + close WHEN close > open THEN 2 * high + low + close ELSE high + low + 2 * close END").put(pivot_p="_x / 4", pivot_s1="_x / 2 - high", pivot_r1="_x / 2 - low").select("pivot_p", "pivot_s1", "pivot_r1")),
@@ -273,22 +248,33 @@ def _heikin_bars() -> str:
     return f"{s.text} SELECT symbol, ts, {cells} FROM {s.table}"
 
 
-#: name: (Spark, SQL or None) over weekly bars by folds.
-FOLDS: dict[str, tuple[Query, Callable[[Sql], str] | None]] = {
+def _chart(_: Sql) -> str:
+    w = lambda f: f(Sql(WEEKS, "weeks"))
+    one = lambda name, f: w(lambda s: f(s).put(**{name: "v"}).select(name))
+    named = lambda sql, old, new: f"SELECT symbol, ts, {old} AS {new} FROM ({sql})"
+    return rec.together(
+        one("ema", lambda s: s.ema("close", 30, "v")), one("smma", lambda s: s.smma("close", 30, "v")), one("kama", rec.kama), named(w(lambda s: _rsi(s, 14, 1)), "v", "rsi"), named(w(_macd), "macd", "macd"),
+        named(w(lambda s: _ppo(s, "_b")), "ppo", "ppo"), named(w(_trix), "trix", "trix"), named(w(_tsi), "v", "tsi"), one("atr", lambda s: _atr(s).put(v="_atr")),
+        one("pgo", lambda s: _atr(s).put(v=ratio(f"close - ({mean('close', 14)})", "_atr"))), named(w(_directional), "adx", "adx"),
+    )
+
+
+#: name: (Spark, SQL) over weekly bars by folds.
+FOLDS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "ma_ema": (_ema_on("ema"), lambda s: s.ema("close", 30, "v").select("v")),
     "ma_smma": (_ema_on("smma"), lambda s: s.smma("close", 30, "v").select("v")),
     "ma_dema": (_ema_on("dema"), lambda s: _dema(s).select("v")),
     "ma_tema": (_ema_on("tema"), lambda s: _tema(s).select("v")),
     "ma_zlema": (_ema_on("zlema"), _zlema),
-    "ma_kama": (_ema_on("kama"), None),
-    "ma_zlind": (_ema_on("zlind"), None),
-    "ma_dma": (_ema_on("dma"), None),
+    "ma_kama": (_ema_on("kama"), lambda s: rec.kama(s).select("v")),
+    "ma_zlind": (_ema_on("zlind"), lambda s: rec.zero_lag(s).select("v")),
+    "ma_dma": (_ema_on("dma"), rec.dickson),
     "ma_exponential_smoothing": (_fold_on(lambda: folds.Ema(10, 0.3), ["close"], "v"), lambda s: s.ema("close", 10, "v", 0.3).select("v")),
-    **{f"env_{k}": (on(weeks, lambda b, k=k: folds.envelope(b, k), "env_mid", "env_top", "env_bot"), (lambda s, f=f: f(s).put(env_top="env_mid * 1.025", env_bot="env_mid * 0.975").select("env_mid", "env_top", "env_bot")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "env_mid")), ("smma", lambda s: s.smma("close", 30, "env_mid")), ("dema", lambda s: _dema(s, "env_mid")), ("tema", lambda s: _tema(s, "env_mid")), ("wma", lambda s: s.put(env_mid=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", None))},
-    **{f"osc_{k}": (on(weeks, lambda b, k=k: folds.oscillator(b, k), "osc"), (lambda s, f=f: f(s).put(osc="close - _avg").select("osc")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "_avg")), ("smma", lambda s: s.smma("close", 30, "_avg")), ("dema", lambda s: _dema(s, "_avg")), ("tema", lambda s: _tema(s, "_avg")), ("wma", lambda s: s.put(_avg=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", None))},
+    **{f"env_{k}": (on(weeks, lambda b, k=k: folds.envelope(b, k), "env_mid", "env_top", "env_bot"), (lambda s, f=f: f(s).put(env_top="env_mid * 1.025", env_bot="env_mid * 0.975").select("env_mid", "env_top", "env_bot")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "env_mid")), ("smma", lambda s: s.smma("close", 30, "env_mid")), ("dema", lambda s: _dema(s, "env_mid")), ("tema", lambda s: _tema(s, "env_mid")), ("wma", lambda s: s.put(env_mid=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", lambda s: rec.kama(s, "env_mid", stepped=True)))},
+    **{f"osc_{k}": (on(weeks, lambda b, k=k: folds.oscillator(b, k), "osc"), (lambda s, f=f: f(s).put(osc="close - _avg").select("osc")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "_avg")), ("smma", lambda s: s.smma("close", 30, "_avg")), ("dema", lambda s: _dema(s, "_avg")), ("tema", lambda s: _tema(s, "_avg")), ("wma", lambda s: s.put(_avg=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", lambda s: rec.kama(s, "_avg")))},
     "mom_rsi": (_fold_on(folds.Rsi, ["close"], "v"), lambda s: _rsi(s, 14, 1)),
     "mom_rmi": (_fold_on(lambda: folds.Rsi(20, 5), ["close"], "v"), lambda s: _rsi(s, 20, 5)),
-    "mom_laguerre": (_fold_on(folds.Laguerre, ["close"], "lagf", "lrsi"), None),
+    "mom_laguerre": (_fold_on(folds.Laguerre, ["close"], "lagf", "lrsi"), rec.laguerre),
     "mom_macd": (_fold_on(folds.Macd, ["close"], "macd", "signal", "histo"), _macd),
     "mom_price_oscillator": (_fold_on(folds.PriceOscillator, ["close"], "v"), lambda s: s.ema("close", 12, "_a").ema("close", 26, "_b").put(v="_a - _b").select("v")),
     "mom_ppo": (_fold_on(folds.Ppo, ["close"], "ppo", "signal", "histo"), lambda s: _ppo(s, "_b")),
@@ -297,12 +283,12 @@ FOLDS: dict[str, tuple[Query, Callable[[Sql], str] | None]] = {
     "mom_tsi": (_fold_on(folds.Tsi, ["close"], "v"), _tsi),
     "mom_pretty_good": (_fold_on(folds.PrettyGood, HLC, "v"), lambda s: _atr(s).put(v=ratio(f"close - ({mean('close', 14)})", "_atr")).select("v")),
     "trend_directional": (_fold_on(folds.Directional, HLC, "adx", "adxr", "plus_di", "minus_di"), _directional),
-    "trend_parabolic": (_fold_on(folds.Parabolic, HLC, "sar", "side"), None),
+    "trend_parabolic": (_fold_on(folds.Parabolic, HLC, "sar", "side"), rec.parabolic),
     "vol_atr": (_fold_on(folds.Atr, HLC, "v"), lambda s: _atr(s).put(v="_atr").select("v")),
-    "vol_hurst": (on(weeks, win.hurst, "hurst"), None),
+    "vol_hurst": (on(weeks, win.hurst, "hurst"), rec.hurst),
     "sig_heikin_ashi": (_fold_on(folds.HeikinAshi, OHLC, "ho", "hh", "hl", "hc"), _heikin),
-    "sig_counting": (on(weeks, lambda b: signals.counting(b.put(up=signals.simple(F.col("close") > F.col("open"))), "up", 3, 4), "signal"), None),
-    "talib_chart": (on(weeks, folds.chart, "ema", "smma", "kama", "rsi", "macd", "ppo", "trix", "tsi", "atr", "pgo", "adx"), None),
+    "sig_counting": (on(weeks, lambda b: signals.counting(b.put(up=signals.simple(F.col("close") > F.col("open"))), "up", 3, 4), "signal"), rec.counting),
+    "talib_chart": (on(weeks, folds.chart, "ema", "smma", "kama", "rsi", "macd", "ppo", "trix", "tsi", "atr", "pgo", "adx"), _chart),
 }
 
 
@@ -319,10 +305,6 @@ def _period(unit: str) -> str:
 FROM bars GROUP BY symbol, date_trunc('{unit}', ts)"""
 
 
-def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), "event_id")
-
-
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)
     out = resample.chain([d.where("ts < '1998-01-01'"), d.where("ts >= '1997-06-01' and ts < '2000-01-01'"), d.where("ts >= '1999-01-01'")])
@@ -343,8 +325,8 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _align(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)
-    a, b = d.where("symbol = 'A'"), d.where("symbol = 'R'")
-    return rounded(resample.align(a, b, ["close"]), "close", "close2")
+    out = resample.align(d, d, ["close"], pairs=[("A", "R"), ("N", "A"), ("R", "N")])
+    return out.select("symbol", "symbol2", "ts", F.round("close", 4).alias("close"), F.round("close2", 4).alias("close2"))
 
 
 def _measure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,10 +334,6 @@ def _measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("ts", F.round("mean_value", 4).alias("mean_value"))
 
 
-def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimize.backtest(days(spark, sf_dir), 15, broker.Rules(mode="long", commission=broker.Commission(0.001)))
-
-
 def _equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closes as a value curve, for figures that SQL can repeat."""
     return days(spark, sf_dir).select("symbol", "ts", F.col("close").alias("value"))
@@ -369,16 +347,16 @@ def _table_of(f: Callable[[DataFrame], DataFrame], digits: int = 4) -> Query:
     return run
 
 
-def _trips(spark: SparkSession, sf_dir: str, only: str = "l_orderkey % 50 < 25") -> DataFrame:
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots of line items as fills: returned ones sell, the others buy."""
     li = table(spark, sf_dir, "lineitem")
-    f = li.where(only).groupBy(F.col("l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_returnflag") == "R").alias("sells")).agg(F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("price"))
+    f = li.groupBy(F.col("l_linestatus").alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_returnflag") == "R").alias("sells")).agg(F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("price"))
     f = f.select("symbol", "ts", F.when(F.col("sells"), -F.col("q")).otherwise(F.col("q")).alias("size"), "price")
     return an.round_trips(f).groupBy("symbol").agg(F.round(F.sum("quantity"), 4).alias("quantity"), F.count("*").alias("trips"))
 
 
 TRIPS_SQL = """WITH f AS (
-  SELECT l_linestatus AS symbol, l_shipdate AS ts, l_returnflag = 'R' AS sells, sum(l_quantity) AS q, max(l_extendedprice) AS price FROM lineitem WHERE l_orderkey % 50 < 25 GROUP BY ALL
+  SELECT l_linestatus AS symbol, l_shipdate AS ts, l_returnflag = 'R' AS sells, sum(l_quantity) AS q, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL
 ), c AS (SELECT *, sum(q) OVER (PARTITION BY symbol, sells ORDER BY ts) AS hi FROM f), d AS (SELECT *, hi - q AS lo FROM c)
 SELECT a.symbol, round(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)), 4) AS quantity, count(*) AS trips
 FROM d a JOIN d b ON a.symbol = b.symbol AND NOT a.sells AND b.sells AND least(a.hi, b.hi) > greatest(a.lo, b.lo) GROUP BY a.symbol"""
@@ -417,9 +395,6 @@ def queries() -> dict[str, Query]:
         "flt_splits": lambda s, d: rounded(filters.split_adjust(days(s, d), days(s, d).where("month(ts) = 7 and dayofmonth(ts) = 1").select("symbol", "ts", F.lit(2.0).alias("ratio"))), *BAR),
         "flt_heikin_ashi": _plain(filters.heikin_ashi, *BAR, source=weeks),
         "flt_renko": lambda s, d: filters.renko(weeks(s, d), 5.0).select("symbol", "ts", "box", *[F.round(c, 4).alias(c) for c in OHLC]),
-        "exec_backtest": lambda s, d: rounded(_test(s, d), "cash", "value", "position"),
-        "exec_trades": lambda s, d: broker.trades(_test(s, d)),
-        "exec_sweep": lambda s, d: optimize.ranked(optimize.sweep(days(s, d), [10, 15, 20, 30])),
         "an_annual_return": _table_of(an.annual_return),
         "an_time_return": _table_of(lambda e: an.time_return(e, "month").select("symbol", "period", "ret")),
         "an_returns": _table_of(lambda e: an.returns(e).select("symbol", "rtot", "ravg")),
@@ -429,34 +404,24 @@ def queries() -> dict[str, Query]:
         "an_time_drawdown": _table_of(an.time_drawdown),
         "an_calmar": _table_of(an.calmar),
         "an_sharpe": _table_of(lambda e: an.sharpe(e, "month", annualize=True)),
-        "an_sharpe_stats": _table_of(lambda e: an.sharpe_stats(e).select("symbol", "n", "mean", "std", "var95", "cvar95", "sharpe", "t")),
         "an_vwr": _table_of(an.vwr),
-        "an_period_stats": _table_of(an.period_stats),
-        "an_sqn": lambda s, d: an.sqn(broker.trades(_test(s, d))),
-        "an_trade_analyzer": lambda s, d: an.trade_analyzer(broker.trades(_test(s, d))),
-        "an_streaks": lambda s, d: an.streaks(broker.trades(_test(s, d))),
-        "an_transactions": lambda s, d: an.transactions(broker.fills(_test(s, d)), "month"),
         "an_round_trips": _trips,
-        "an_round_trips_whole": lambda s, d: _trips(s, d, "true"),  # no SQL: its range join is for half of the orders
-        "an_positions": lambda s, d: an.positions(broker.equity(_test(s, d))),
-        "an_leverage": lambda s, d: an.leverage(broker.equity(_test(s, d))),
+        "an_round_trips_whole": _trips,
         "an_total_value": _table_of(an.total_value),
         "obs_log_returns": _table_of(an.log_returns),
         "obs_fund": _table_of(an.fund),
         "obs_benchmark": lambda s, d: an.benchmark(_equity(s, d), days(s, d).select("symbol", "ts", F.col("open").alias("value"))).select("symbol", *[F.round(c, 4).alias(c) for c in ("beta", "correlation", "tracking_error")]),
-        "obs_trade_markers": lambda s, d: an.trade_markers(days(s, d), broker.trades(_test(s, d))),
         "str_timers": lambda s, d: timers.timers(resample.from_ticks(table(s, d, "events"), "event_type", "ts", "value", "hour", ties=("event_id",)), "06:30:00", repeat=6 * 3600, weekdays=(1, 3, 5)),
-        "obs_buy_sell": lambda s, d: an.buy_sell(days(s, d), broker.fills(_test(s, d))),
-        "str_tumbling": lambda s, d: rounded(streams.tumbling(_ticks(s, d), "6 hours", tie="event_id"), *BAR),
-        "str_sessions": lambda s, d: streams.sessions(_ticks(s, d), "20 minutes").select("symbol", "ts", "until", F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), "ticks"),
+        "str_tumbling": lambda s, d: rounded(streams.tumbling(ticks(s, d), "6 hours", tie="event_id"), *BAR),
+        "str_sessions": lambda s, d: streams.sessions(ticks(s, d), "20 minutes").select("symbol", "ts", "until", F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), "ticks"),
     }
-    return out
+    return out | trading.queries() | files.queries() | units.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"flagship_event_cross": FLAGSHIP_SQL}
     out |= {k: f(Sql()) for k, (_, f) in WINDOWS.items()}
-    out |= {k: f(Sql(WEEKS, "weeks")) for k, (_, f) in FOLDS.items() if f}
+    out |= {k: f(Sql(WEEKS, "weeks")) for k, (_, f) in FOLDS.items()}
     month = _returns_sql("month")
     out |= {
         "src_between": f"WITH {DAYS} SELECT symbol, ts, {RB} FROM bars WHERE ts >= '1996-01-01' AND ts <= '1997-12-31'",
@@ -468,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "agg_resample_ordinal": f"WITH {DAYS}, n AS (SELECT *, (row_number() {ORDER} - 1) // 5 AS p FROM bars) SELECT symbol, max(ts) AS ts, round(arg_min(open, ts), 4) AS open, round(max(high), 4) AS high, round(min(low), 4) AS low, round(arg_max(close, ts), 4) AS close, round(sum(volume), 4) AS volume FROM n GROUP BY symbol, p",
         "agg_replay": f"WITH {DAYS}, b AS (SELECT *, date_trunc('week', ts) AS p FROM bars) SELECT symbol, ts, round(first_value(open) OVER w, 4) AS open, round(max(high) OVER w, 4) AS high, round(min(low) OVER w, 4) AS low, round(close, 4) AS close, round(sum(volume) OVER w, 4) AS volume FROM b WINDOW w AS (PARTITION BY symbol, p ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
         "join_asof": f"WITH {DAYS}, m AS (SELECT symbol, CAST(date_trunc('month', ts) AS TIMESTAMP) AS mts, arg_max(close, ts) AS c, max(high) AS h FROM bars GROUP BY symbol, date_trunc('month', ts)) SELECT b.symbol, b.ts, round(close, 4) AS close, round(c, 4) AS slow_close, round(h, 4) AS slow_high FROM bars b ASOF LEFT JOIN m ON b.symbol = m.symbol AND b.ts >= m.mts",
-        "join_align": f"WITH {DAYS} SELECT a.symbol, a.ts, round(a.close, 4) AS close, round(b.close, 4) AS close2 FROM bars a JOIN bars b ON a.ts = b.ts WHERE a.symbol = 'A' AND b.symbol = 'R'",
+        "join_align": f"WITH {DAYS} SELECT a.symbol, b.symbol AS symbol2, a.ts, round(a.close, 4) AS close, round(b.close, 4) AS close2 FROM bars a JOIN bars b ON a.ts = b.ts WHERE (a.symbol, b.symbol) IN (('A', 'R'), ('N', 'A'), ('R', 'N'))",
         "set_chain": f"WITH {DAYS}, f AS (SELECT *, 0 AS feed FROM bars WHERE ts < '1998-01-01' UNION ALL SELECT *, 1 FROM bars WHERE ts >= '1997-06-01' AND ts < '2000-01-01' UNION ALL SELECT *, 2 FROM bars WHERE ts >= '1999-01-01'), e AS (SELECT symbol, feed, max(ts) AS e FROM f GROUP BY ALL), g AS (SELECT symbol, feed, max(e) OVER (PARTITION BY symbol ORDER BY feed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e) SELECT f.symbol, CAST(f.feed AS INTEGER) AS feed, count(*) AS n, round(sum(close), 3) AS total FROM f JOIN g ON f.symbol = g.symbol AND f.feed = g.feed WHERE b IS NULL OR ts > b GROUP BY f.symbol, f.feed",
         "set_roll_over": f"WITH {DAYS}, c AS (SELECT * FROM bars WHERE ts < '1998-01-01'), n AS (SELECT symbol, ts, volume * 2 AS volume FROM bars WHERE ts >= '1997-06-01'), r AS (SELECT c.symbol, min(c.ts) AS r FROM c JOIN n ON c.symbol = n.symbol AND c.ts = n.ts WHERE n.volume > c.volume GROUP BY c.symbol), u AS (SELECT symbol, ts, 0 AS contract FROM c JOIN r USING (symbol) WHERE ts < r UNION ALL SELECT symbol, ts, 1 FROM n JOIN r USING (symbol) WHERE ts >= r) SELECT symbol, CAST(contract AS INTEGER) AS contract, count(*) AS n, min(ts) AS first, max(ts) AS last FROM u GROUP BY symbol, contract",
         "flt_calendar_days": f"WITH {DAYS} SELECT symbol, ts, {RB} FROM bars WHERE isodow(ts) <= 5 AND month(ts) IN (1, 2, 3)",
@@ -487,6 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "an_calmar": month + f", g AS (SELECT symbol, avg(ln(last / first)) AS mean FROM r GROUP BY symbol), q AS (SELECT symbol, close, max(close) {SO_FAR} AS peak FROM bars), x AS (SELECT symbol, max(100 * (peak - close) / peak) AS drawdown FROM q GROUP BY symbol) SELECT symbol, round(mean, 4) + 0.0 AS mean, round(drawdown, 4) AS drawdown, round(CASE WHEN drawdown > 0 THEN mean / (drawdown / 100) ELSE 'inf'::DOUBLE END, 4) + 0.0 AS calmar FROM g JOIN x USING (symbol)",
         "an_vwr": month + ", l AS (SELECT symbol, ret, ln(1 + ret) AS l FROM r WHERE ret > -1), a AS (SELECT *, avg(l) OVER (PARTITION BY symbol) AS m FROM l), g AS (SELECT symbol, exp(avg(l)) - 1 AS mean, stddev_samp(l) AS std, avg(pow(l - m, 3)) / pow(avg(pow(l - m, 2)), 1.5) AS skew, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) AS downside FROM a GROUP BY symbol) SELECT symbol, round(mean, 4) + 0.0 AS mean, round(std, 4) AS std, round(skew, 4) + 0.0 AS skew, round(downside, 4) AS downside, round(mean / nullif(std, 0), 4) + 0.0 AS vwr, round(mean / nullif(std, 0) * sqrt(12), 4) + 0.0 AS vwr_annual FROM g",
         "an_round_trips": TRIPS_SQL,
+        "an_round_trips_whole": TRIPS_SQL,
         "an_total_value": f"WITH {DAYS} SELECT symbol, round(arg_min(close, ts), 4) AS first, round(arg_max(close, ts), 4) AS last, round(min(close), 4) AS least, round(max(close), 4) AS most FROM bars GROUP BY symbol",
         "obs_log_returns": f"WITH {DAYS}, l AS (SELECT symbol, ts, ln(close / {lag('close')}) AS l FROM bars) SELECT symbol, ts, round(l, 4) + 0.0 AS logret, round(sum(l) {SO_FAR}, 4) + 0.0 AS total, round(avg(l) {SO_FAR} * 252, 4) + 0.0 AS annual FROM l",
         "obs_fund": f"WITH {DAYS}, f AS (SELECT symbol, ts, close, first_value(close) {ORDER} AS f FROM bars) SELECT symbol, ts, round(close / f * 100, 4) AS fund_value, round(f / 100, 4) AS fund_shares FROM f",
@@ -495,4 +461,5 @@ def oracle_sql() -> dict[str, str]:
         "str_tumbling": "SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, round(CAST(count(*) AS DOUBLE), 4) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)",
         "str_sessions": "WITH o AS (SELECT event_type AS symbol, ts, value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events WHERE value IS NOT NULL), g AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 20 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM o) SELECT symbol, min(ts) AS ts, max(ts) + INTERVAL 20 MINUTES AS until, round(max(value), 4) AS high, round(min(value), 4) AS low, count(*) AS ticks FROM g GROUP BY symbol, s",
     }
-    return {k: v for k, v in out.items() if v}
+    out |= {"flt_day_steps": rec.day_steps(Sql(), RB), "flt_renko": rec.renko(Sql(WEEKS, "weeks"))}
+    return out | trading.oracle_sql() | files.oracle_sql() | units.oracle_sql()

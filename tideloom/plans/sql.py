@@ -3,8 +3,6 @@ each layer is a common table expression that adds columns to the one before."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 DAYS = """t AS (
   SELECT l_returnflag AS symbol, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, l_extendedprice / 997 AS p, l_quantity AS q, l_orderkey, l_linenumber
   FROM lineitem
@@ -57,7 +55,7 @@ class Sql:
     """Layers over a source; ``put`` adds one, ``ema`` the three an average takes."""
 
     def __init__(self, source: str = DAYS, table: str = "bars"):
-        self.text, self.table, self.n = "WITH " + source, table, 0
+        self.text, self.table, self.n = "WITH RECURSIVE " + source, table, 0
 
     def put(self, **columns: str) -> Sql:
         self.n += 1
@@ -80,9 +78,27 @@ class Sql:
     def smma(self, x: str, n: int, out: str) -> Sql:
         return self.ema(x, n, out, 1.0 / n)
 
+    def scan(self, first: dict[str, str], step: dict[str, str]) -> Sql:
+        """Columns that depend on their own last value: ``first`` over the first
+        row b of a symbol, ``step`` over the last state r and the row b."""
+        self.put(_n=f"row_number() {ORDER}")
+        self.n += 1
+        a, r, out = f"a{self.n}", f"r{self.n}", f"s{self.n}"
+        cells = lambda d: ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in d.items())
+        self.text += f", {a} AS MATERIALIZED (SELECT * FROM {self.table})"
+        self.text += f", {r} AS (SELECT b.symbol, b._n, {cells(first)} FROM {a} b WHERE b._n = 1 UNION ALL SELECT b.symbol, b._n, {cells(step)} FROM {r} r JOIN {a} b ON b.symbol = r.symbol AND b._n = r._n + 1)"
+        self.text += f", {out} AS (SELECT b.*, {', '.join(f'r.{c}' for c in first)} FROM {a} b JOIN {r} r ON b.symbol = r.symbol AND b._n = r._n)"
+        self.table = out
+        return self
+
     def select(self, *columns: str, digits: int = 4) -> str:
         cells = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
         return f"{self.text} SELECT symbol, ts, {cells} FROM {self.table}"
 
 
-Build = Callable[[], str]
+def cross(s: Sql, x: str, y: str, out: str) -> Sql:
+    """Columns out_up, out_down and out: where x comes to be above or below y."""
+    s.put(_z=f"CASE WHEN {x} - {y} IS NOT NULL THEN coalesce(last_value(nullif({x} - {y}, 0) IGNORE NULLS) {SO_FAR}, 0) END").put(_before=lag("_z"))
+    there = "_before IS NOT NULL AND _z IS NOT NULL"
+    s.put(**{f"{out}_up": f"CASE WHEN {there} THEN CASE WHEN _before < 0 AND {x} > {y} THEN 1.0 ELSE 0.0 END END", f"{out}_down": f"CASE WHEN {there} THEN CASE WHEN _before > 0 AND {x} < {y} THEN 1.0 ELSE 0.0 END END"})
+    return s.put(**{out: f"{out}_up - {out}_down"})

@@ -7,8 +7,10 @@ files in parallel without a pass to infer them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def _named(df: DataFrame, symbol: str | Column, ts: Column, cells: dict[str, Col
 
 
 def generic_csv(
-    spark: SparkSession, path: str | list[str], symbol: str = "data", columns: Sequence[str] = ("datetime", "open", "high", "low", "close", "volume", "openinterest"),
+    spark: SparkSession, path: str | list[str], symbol: str | Column = "data", columns: Sequence[str] = ("datetime", "open", "high", "low", "close", "volume", "openinterest"),
     date_format: str = "yyyy-MM-dd", time_format: str | None = None, sep: str = ",", header: bool = True, null: str = "",
     start: str | None = None, end: str | None = None, unix: bool = False,
 ) -> DataFrame:
@@ -55,13 +57,13 @@ def generic_csv(
     return out
 
 
-def bar_csv(spark: SparkSession, path: str | list[str], symbol: str = "data", with_time: bool = False) -> DataFrame:
+def bar_csv(spark: SparkSession, path: str | list[str], symbol: str | Column = "data", with_time: bool = False) -> DataFrame:
     """date[,time],open,high,low,close,volume,openinterest."""
     cols = ["date", "time", *FIELDS] if with_time else ["datetime", *FIELDS]
     return generic_csv(spark, path, symbol, cols, time_format="HH:mm:ss" if with_time else None)
 
 
-def yahoo_csv(spark: SparkSession, path: str | list[str], symbol: str = "data", adjust: bool = True, adjust_volume: bool = True, decimals: int | None = None, swap: bool = False) -> DataFrame:
+def yahoo_csv(spark: SparkSession, path: str | list[str], symbol: str | Column = "data", adjust: bool = True, adjust_volume: bool = True, decimals: int | None = None, swap: bool = False) -> DataFrame:
     """Date,Open,High,Low,Close,Adj Close,Volume. Adjusted prices are times
     adj / close and the volume over it; ``swap`` takes the two closes for each
     other. Any order of rows is fine."""
@@ -76,7 +78,7 @@ def yahoo_csv(spark: SparkSession, path: str | list[str], symbol: str = "data",
     return _named(raw, symbol, F.try_to_timestamp("date", F.lit("yyyy-MM-dd")), cells).where("ts is not null and close is not null")
 
 
-def mt4_csv(spark: SparkSession, path: str | list[str], symbol: str = "data", date_format: str = "yyyy.MM.dd", time_format: str = "HH:mm") -> DataFrame:
+def mt4_csv(spark: SparkSession, path: str | list[str], symbol: str | Column = "data", date_format: str = "yyyy.MM.dd", time_format: str = "HH:mm") -> DataFrame:
     """date,time,open,high,low,close,volume without a header; highs and lows are
     widened to hold open and close."""
     cols = ["date", "time", "open", "high", "low", "close", "volume"]
@@ -84,7 +86,7 @@ def mt4_csv(spark: SparkSession, path: str | list[str], symbol: str = "data", da
     return b.withColumns({"high": F.greatest("open", "high", "low", "close"), "low": F.least("open", "high", "low", "close")})
 
 
-def sierra_csv(spark: SparkSession, path: str | list[str], symbol: str = "data", date_format: str = "yyyy/M/d", time_format: str = "HH:mm:ss", validate: bool = True) -> DataFrame:
+def sierra_csv(spark: SparkSession, path: str | list[str], symbol: str | Column = "data", date_format: str = "yyyy/M/d", time_format: str = "HH:mm:ss", validate: bool = True) -> DataFrame:
     """Date, Time, Open, High, Low, Last, Volume, ...; rows whose high and low
     don't hold open and close are dropped."""
     b = generic_csv(spark, path, symbol, ["date", "time", "open", "high", "low", "close", "volume"], date_format, time_format)
@@ -102,6 +104,41 @@ def chart_csv(spark: SparkSession, path: str | list[str], intraday: bool = False
     return _named(raw, F.col("ticker"), ts, {f: _number(F.col(f)) for f in FIELDS}).where("ts is not null")
 
 
+def quandl_csv(spark: SparkSession, path: str | list[str], symbol: str | Column = "data", adjust: bool = True) -> DataFrame:
+    """Date,Open,High,Low,Close,Volume,Ex-Dividend,Split Ratio and the adjusted
+    five; the adjusted ones are taken unless told not to. Any order of rows."""
+    five = ("open", "high", "low", "close", "volume")
+    raw = _lines(spark, path, ["date", *five, "dividend", "split", *[f"adj_{c}" for c in five]])
+    cells = {c: _number(F.col(f"adj_{c}" if adjust else c)) for c in five}
+    return _named(raw, symbol, F.try_to_timestamp("date", F.lit("yyyy-MM-dd")), cells).where("ts is not null")
+
+
+#: Records of the binary chart format: little-endian, 4 bytes a field.
+CHART_DAY = [("day", "<u4"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("volume", "<u4"), ("openinterest", "<u4")]
+CHART_MINUTE = [CHART_DAY[0], ("second", "<u4"), *CHART_DAY[1:]]
+
+
+def chart_binary(spark: SparkSession, path: str | list[str], intraday: bool = False) -> DataFrame:
+    """Binary chart files: fixed records whose day is 500 times the year, 32
+    times the month and the day of the month added up, with the second of the
+    day if ``intraday``. The symbol is the file's name; an unfinished record at
+    the end is left out. A file is read by one task."""
+    kind = np.dtype(CHART_MINUTE if intraday else CHART_DAY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows = np.frombuffer(data[: len(data) // kind.itemsize * kind.itemsize], dtype=kind)
+                symbol = pa.array([name.rsplit("/", 1)[-1].rsplit(".", 1)[0]] * len(rows), pa.string())
+                second = rows["second"] if intraday else np.zeros(len(rows))
+                yield pa.RecordBatch.from_arrays([symbol, pa.array(rows["day"].astype(np.int32)), pa.array(second.astype(np.int32)), *[pa.array(rows[f].astype(float)) for f in FIELDS]], ["symbol", "day", "second", *FIELDS])
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = raw.mapInArrow(run, "symbol string, day int, second int, " + ", ".join(f"{f} double" for f in FIELDS))
+    date = F.make_date(F.floor(F.col("day") / 500).cast("int"), F.floor(F.col("day") % 500 / 32).cast("int"), F.col("day") % 500 % 32)
+    return rows.select("symbol", F.timestamp_seconds(F.unix_seconds(date.cast("timestamp")) + F.col("second")).alias("ts"), *FIELDS)
+
+
 def frame(df: DataFrame, rename: dict[str, str] | None = None, symbol: str = "data") -> DataFrame:
     """Any DataFrame as bars: columns are found by name whatever their case, or
     by ``rename``."""
