@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one fold takes, on average, and what a level divides by.
@@ -128,9 +128,9 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
     told = mixed.where("copies > 0").select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_words"), F.col("rows").alias("_mix_rows"), F.col("copies").alias("_mix_copies"))
     out = sized.join(told, F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_size") == F.col("_mix_words")))
     one = out.where("_mix_rows = 1").withColumn("_mix_take", F.col("_mix_copies"))
-    unit = W.partitionBy("_mix_id", "_mix_source", "_mix_words").orderBy(F.xxhash64(text_col))
-    many = out.where("_mix_rows > 1").withColumn("_mix_n", F.row_number().over(unit))
+    many = out.where("_mix_rows > 1").withColumns({"_mix_text": F.xxhash64(text_col), "_mix_part": F.spark_partition_id()})
+    many = numbered(written(many), ["_mix_id", "_mix_source", "_mix_words"], ["_mix_text", "_mix_part"], "_mix_n").withColumn("_mix_n", F.col("_mix_n") + 1)
     more = F.when(F.col("_mix_n") <= F.col("_mix_copies") % F.col("_mix_rows"), 1).otherwise(0)
-    many = many.withColumn("_mix_take", F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + more).drop("_mix_n")
+    many = many.withColumn("_mix_take", F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + more).drop("_mix_n", "_mix_text", "_mix_part")
     out = one.unionByName(many).where("_mix_take > 0").withColumn("_mix_each", F.explode(F.sequence(F.lit(1), F.col("_mix_take").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

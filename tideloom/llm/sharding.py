@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import numbered, written
 
 BITS = 60
 #: Cells of the directory, of about 40 bytes each, that are broadcast at most.
@@ -55,18 +55,11 @@ def _placed(rows: DataFrame, directory: DataFrame, bits: int, h: str) -> DataFra
 
 
 def _paged(rows: DataFrame, limit: int, h: str) -> DataFrame:
-    """``rows``, written ones of buckets that no bit splits, with ``_shard_page``.
-    They are numbered within the parts they were written in, and parts begin
-    where those before end, so that no task has all rows of a bucket."""
-    mine = W.partitionBy(h, "_shard_part").orderBy("_shard_part")
-    sizes = rows.groupBy(h, "_shard_part").agg(F.count("*").alias("n"))
-    before = W.partitionBy(h).orderBy("_shard_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(F.col(h).alias("_shard_of"), F.col("_shard_part").alias("_shard_in"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shard_start"))
-    numbered = rows.withColumn("_shard_n", F.row_number().over(mine) - 1)
-    numbered = numbered.join(starts, (F.col(h) == F.col("_shard_of")) & (F.col("_shard_part") == F.col("_shard_in")))
+    """``rows``, written ones of buckets that no bit splits, with ``_shard_page``,
+    numbered by the parts they were written in."""
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("_shard_most"), F.lit(1))))
-    page = F.floor((F.col("_shard_n") + F.col("_shard_start")) / per_page).cast("bigint")
-    return numbered.withColumn("_shard_page", page).drop("_shard_n", "_shard_start", "_shard_of", "_shard_in")
+    page = F.floor(F.col("_shard_n") / per_page).cast("bigint")
+    return numbered(rows, [h], ["_shard_part"], "_shard_n").withColumn("_shard_page", page).drop("_shard_n")
 
 
 def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,8 +11,9 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-_MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """``rows`` with their number from 0 within ``by``, in ``order``, which must
+    tell many parts of a large group apart and be the same whenever it is read.
+    Rows are numbered within their part, and a part begins where those before
+    it end, so that no task has all rows of a group."""
+    keys = [*by, *order]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n_part"))
+    before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(k).alias(f"_n_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n_part").over(before), F.lit(0)).alias("_n_start"))
+    mine = W.partitionBy(*keys).orderBy(F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"_n_{i}")) for i, k in enumerate(keys)]
+    joined = rows.withColumn("_n_row", F.row_number().over(mine) - 1).join(starts, same)
+    return joined.withColumn(out, F.col("_n_row") + F.col("_n_start")).drop("_n_row", "_n_start", *[f"_n_{i}" for i in range(len(keys))])
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, in place of a copy."""
     x = x ^ (x >> np.uint64(30))
