@@ -104,15 +104,18 @@ def trusted_strings(graph: DataFrame) -> DataFrame:
     """(instance, kind) of strings that bootstrapping puts in a kind, from the
     links (pattern, instance, kind) of a graph, the kind being that of a seed and
     null for others. Seeds whose patterns don't bear them out aren't told."""
+    kinds = [*PATTERNS, "key"]
+    best = lambda x: F.coalesce(*[F.when(F.col(f"{x}_{k}") == F.greatest(*[F.col(f"{x}_{j}") for j in kinds]), k) for k in kinds])
     label = graph.withColumn("label", F.col("kind"))
     for turn in range(ROUNDS):
-        each = label.groupBy("pattern", "label").agg(F.count("*").alias("n"))
-        against = F.col("n") * F.when(F.col("label").isNull(), UNKNOWN).otherwise(1.0)
-        all_ = each.groupBy("pattern").agg(F.sum(against).alias("n"), F.max_by(F.struct("n", "label"), F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("best"))
-        trust = all_.select("pattern", F.col("best.label").alias("by"), (F.col("best.n") / (F.col("n") + 1)).alias("trust"), F.col("best.n").alias("support"))
-        trust = trust.where((F.col("support") >= SUPPORT) & (F.col("trust") >= HEARD)).select("pattern", "by", "trust")
-        heard = graph.join(trust, "pattern").groupBy("instance", "by").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
-        heard = heard.where(F.col("score") >= TRUSTED).groupBy("instance").agg(F.max_by("by", F.struct("score", "by")).alias("by"))
+        # By kind in columns of plain numbers, which add up before the shuffle.
+        counts = [F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(f"n_{k}") for k in kinds]
+        against = F.sum(F.when(F.col("label").isNull(), UNKNOWN).otherwise(1.0)).alias("n")
+        trust = label.groupBy("pattern").agg(against, *counts).withColumn("most", F.greatest(*[f"n_{k}" for k in kinds]))
+        trust = trust.withColumn("trust", F.col("most") / (F.col("n") + 1)).where((F.col("most") >= SUPPORT) & (F.col("trust") >= HEARD)).select("pattern", best("n").alias("by"), "trust")
+        scores = [(1 - F.exp(F.sum(F.when(F.col("by") == k, F.log1p(-F.col("trust"))).otherwise(0.0)))).alias(f"score_{k}") for k in kinds]
+        heard = graph.join(trust, "pattern").groupBy("instance").agg(*scores)
+        heard = heard.where(F.greatest(*[f"score_{k}" for k in kinds]) >= TRUSTED).select("instance", best("score").alias("by"))
         if turn == ROUNDS - 1:
             return heard.select("instance", F.col("by").alias("kind"))
         label = written(graph.join(heard, "instance", "left").select("pattern", "instance", "kind", F.coalesce("kind", "by").alias("label")))
