@@ -40,3 +40,36 @@ def test_odd_rows(spark, label):
     nothing = FITS[label](docs, told.limit(0)).score(docs).collect()
     assert {x["score"] for x in nothing} == {0.0}
     assert FITS[label](docs.limit(0), told).score(docs.limit(0)).count() == 0
+
+
+def test_quality_as_means_of_vectors():
+    import numpy as np
+
+    from tideloom.llm import quality
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdé日") for _ in range(r.randrange(1, 12))) for _ in range(60)]
+    texts = [" ".join(r.choice(words[:30] if i % 2 else words[20:]) for _ in range(r.randrange(1, 40))) for i in range(80)]
+    model = quality.train(texts, np.array([i % 2 for i in range(80)]))
+    cache = {}
+    for text in [*texts, "", "  ", "new " * 3, "x" * 500]:
+        tokens = quality.TOKEN.findall(text)
+        names = quality._token_hash(tokens)
+        means = []
+        for i, t in enumerate(tokens):
+            buckets = quality.token_grams([t])[0].tolist()
+            if i:
+                buckets.append(int(quality.pair_bucket(names[i - 1 : i], names[i : i + 1])[0]))
+            means.append(np.mean([float(model.odds[b]) for b in buckets]))
+        want = (np.mean(means) if means else 0.0) + model.bias
+        assert abs(model._logit(text, cache) - want) < 1e-6
+
+
+@pytest.mark.parametrize("label", FITS)
+def test_columns_that_clash(spark, label):
+    names = "y int, fold int, id string, score double, difference double, o bigint, hi bigint"
+    rows = [(i, "good words here" if i % 2 else "vile words here", *[None] * 7) for i in range(60)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {names}")
+    told = spark.createDataFrame([(i, (i + 1) % 2, *[None] * 3) for i in range(60)], f"doc_id bigint, {label} int, text string, y int, fold int")
+    got = FITS[label](docs, told).score(docs).collect()
+    assert len(got) == 60 and got[0].asDict().keys() == {"id", "score"}

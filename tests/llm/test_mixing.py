@@ -77,3 +77,12 @@ def test_repeated_rows_come_out(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert mix(df).count() == 0 and repeated(df, mix(df)).count() == 0
+
+
+def test_very_long_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "w " * 300_000, "a"), (2, "x y", "a"), (3, "z " * 1000, "b"), (4, None, None)]
+    out = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {r["id"]: r["size"] for r in out.collect()} == {1: 300_000, 2: 2, 3: 1000, 4: 0}
+    assert out.where(F.col("copies") > 2 * F.col("rows")).count() == 0

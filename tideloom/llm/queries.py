@@ -138,6 +138,32 @@ SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CAST(depth AS INTEGER) AS depth,
 FROM paged
 """
 
+#: Bytes as pairs of hex digits, since strings are cut by characters; windows are
+#: taken from pieces that hold 400 of them. Starts of repeated windows that are 200 bytes apart or less belong to one removed run.
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), piece AS (
+  SELECT r, o, h[2 * o + 1:2 * o + 1198] AS t FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199, 400)) AS o FROM d WHERE len(h) >= 400)
+), w AS (
+  SELECT r, o + j AS i, md5(t[2 * j + 1:2 * j + 400]) AS k FROM (SELECT r, o, t, unnest(range(0, len(t) // 2 - 199)) AS j FROM piece)
+), twice AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), hit AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w JOIN twice USING (k)
+), cut AS (
+  SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hit
+), span AS (
+  SELECT r, g, min(i) AS lo, max(i) + 200 AS hi FROM cut GROUP BY r, g
+), kept AS (
+  SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS since FROM span
+), told AS (
+  SELECT d.r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(h[2 * since + 1:2 * lo], '' ORDER BY lo) || any_value(h)[2 * max(hi) + 1:] AS rest FROM kept JOIN d USING (r) GROUP BY d.r
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN told USING (r)
+"""
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
@@ -191,4 +217,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_extendible_sharding": OP3_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_extendible_sharding": OP3_SQL, "op5_repeated_passages": OP5_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL}
