@@ -36,9 +36,9 @@ def test_same_as_sql(spark, duck, name):
     assert cells(got) == cells(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
-def test_runs(spark, name):
-    assert core.queries()[name](spark, DATA).collect()
+def test_the_rest_runs(spark):
+    for name in sorted(set(core.queries()) - set(core.oracle_sql())):
+        assert core.queries()[name](spark, DATA).collect(), name
 
 
 def test_entry(spark):

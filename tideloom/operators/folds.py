@@ -460,21 +460,22 @@ def fold(b: Bars, steps: Sequence[Step]) -> Bars:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, current = None, None
         for batch in batches:
-            key = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             inputs = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names}
             outs: dict[str, list] = {o: [] for o in made}
-            at = 0
-            while at < len(key):
-                to = at + 1
-                while to < len(key) and key[to] == key[at]:
-                    to += 1
-                if states is None or key[at] != current:
-                    states, current = [make() for make, _, _ in steps], key[at]
+            # A new run begins where the code of any key column changes.
+            codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(len(batch), dtype=bool)
+            for c in codes:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()] if len(batch) else []
+            for at, to in zip(starts, [*starts[1:], len(batch)], strict=False):
+                key = tuple(batch.column(k)[at].as_py() for k in keys)
+                if states is None or key != current:
+                    states, current = [make() for make, _, _ in steps], key
                 for state, (_, ins, out) in zip(states, steps, strict=True):
                     got = state.push(*[inputs[c][at:to] for c in ins])
                     for o, v in zip(out, got if isinstance(got, tuple) else (got,), strict=True):
                         outs[o].append(v)
-                at = to
             cols = [pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64(), from_pandas=True) for v in outs.values()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *made])
 
