@@ -105,7 +105,8 @@ def _phi(x: Column) -> Column:
 
 def sharpe_stats(equity: DataFrame, benchmark: float = 0.0, by=("symbol",), value: str = "value") -> DataFrame:
     """Sharpe ratio of bar returns with skew, excess kurtosis, t, its two-sided
-    normal p, the probability that it exceeds ``benchmark``, the least track
+    normal p, the probability that it exceeds ``benchmark``, the same deflated by
+    the number of returns, the least track
     record for 95 %, and value and expected shortfall at 5 %."""
     e = equity.withColumn("_r", ratio(F.col(value), F.lag(value).over(_w(by))) - 1)
     g = e.groupBy(*by).agg(F.count("_r").alias("n"), F.avg("_r").alias("mean"), F.stddev_samp("_r").alias("std"), F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurtosis"), F.percentile("_r", F.lit(0.05)).alias("var95"))
@@ -116,6 +117,7 @@ def sharpe_stats(equity: DataFrame, benchmark: float = 0.0, by=("symbol",), valu
     t = sr * F.sqrt(n)
     return g.withColumns({
         "t": t, "p": 2 * (1 - _phi(F.abs(t))), "psr": _phi((sr - benchmark) * F.sqrt(n - 1) / spread),
+        "dsr": _phi((sr - benchmark) * F.sqrt(n - 1) / spread) * (1 - math.log(2) / F.log(n.cast("double"))),
         "min_track": 1 + spread * spread * (1.6448536269514722 / F.nullif(sr - benchmark, F.lit(0.0))) ** 2,
         "low95": sr - 1.959963984540054 * spread / F.sqrt(n - 1), "high95": sr + 1.959963984540054 * spread / F.sqrt(n - 1),
     })
@@ -136,7 +138,9 @@ def vwr(equity: DataFrame, unit: str = "month", by=("symbol",), value: str = "va
 
 def period_stats(equity: DataFrame, unit: str = "month", by=("symbol",), value: str = "value") -> DataFrame:
     """Mean, deviation, best, worst, share of gains, compound and downside
-    figures of period returns, with the longest runs of gains and losses."""
+    figures of period returns, with the longest runs of gains and losses, the
+    yearly return and deviation, the return over the deepest drawdown, and a
+    score of consistency: 50 for gains always, 50 for gains without deviation."""
     r = time_return(equity, unit, by, value)
     w = W.partitionBy(*by).orderBy("period")
     sign = F.signum("ret")
@@ -150,7 +154,12 @@ def period_stats(equity: DataFrame, unit: str = "month", by=("symbol",), value:
         F.sqrt(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")).otherwise(0.0))).alias("downside"),
     )
     g = g.withColumns({"sharpe": ratio(F.col("average"), F.col("stddev")), "sortino": ratio(F.col("average"), F.col("downside"))})
-    return g.join(runs, list(by))
+    f = PER_YEAR[unit]
+    deepest = drawdown(equity, by, value).groupBy(*by).agg((F.max("drawdown") / 100).alias("_deepest"))
+    g = g.join(runs, list(by)).join(deepest, list(by))
+    g = g.withColumns({"annual": F.pow(1 + F.col("compound"), F.lit(f) / F.col("periods")) - 1, "volatility": F.col("stddev") * math.sqrt(f)})
+    steady = F.when((F.col("average") > 0) & (F.col("stddev") > 0), F.greatest(F.lit(0.0), 50 * (1 - F.col("stddev") / F.col("average")))).otherwise(0.0)
+    return g.withColumns({"calmar": F.when(F.col("_deepest") > 0, F.col("annual") / F.col("_deepest")).otherwise(0.0), "consistency": 50 * F.col("win_rate") + steady}).drop("_deepest")
 
 
 def trade_analyzer(trades: DataFrame, by=("symbol",)) -> DataFrame:

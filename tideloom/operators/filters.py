@@ -47,9 +47,17 @@ def split_adjust(bars: DataFrame, splits: DataFrame) -> DataFrame:
     return b.drop("_ratio")
 
 
+def _price_of(price: str) -> Column:
+    four = [F.col(c) for c in ("open", "high", "low", "close")]
+    total = four[0] + four[1] + four[2] + four[3]
+    if price == "median":
+        return (total - F.greatest(*four) - F.least(*four)) / 2
+    return total / 4 if price == "mean" else F.col(price)
+
+
 def fill(bars: DataFrame, step_seconds: int, price: str = "close", volume: float = 0.0, most: float = 1.5) -> DataFrame:
     """Missing bars, where two are further apart than ``most`` steps: prices are
-    the last bar's ``price``, the volume is given. Each bar makes the rows of
+    the last bar's ``price`` (a column, or mean or median of its four prices), the volume is given. Each bar makes the rows of
     its own gap, so nothing is gathered."""
     w = W.partitionBy("symbol").orderBy("ts")
     nxt = F.lead("ts").over(w)
@@ -57,11 +65,24 @@ def fill(bars: DataFrame, step_seconds: int, price: str = "close", volume: float
     n = F.when(gap > most * step_seconds, F.ceil(gap / step_seconds) - 1).otherwise(0).cast("int")
     b = bars.withColumn("_n", F.coalesce(n, F.lit(0))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     made = F.col("_i") > 0
-    cells = {c: F.when(made, F.col(price)).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
+    cells = {c: F.when(made, _price_of(price)).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
     cells |= {"volume": F.when(made, F.lit(float(volume))).otherwise(F.col("volume")), "ts": F.timestamp_micros(F.unix_micros("ts") + F.col("_i").cast("bigint") * step_seconds * 1_000_000), "filled": made}
     return b.select(*[cells.get(c, F.col(c)).alias(c) for c in [*bars.columns, "filled"]])
 
 
+def repair(bars: DataFrame, price: str = "close") -> DataFrame:
+    """Prices that are missing or zero become the ``price`` (as of ``fill``) of
+    the last bar that has it, with ``repaired`` where a bar had any; bars before
+    the first such bar stay as they are."""
+    four = ("open", "high", "low", "close")
+    b = bars.withColumns({f"_{c}": F.col(c) for c in four}).withColumns({c: F.when((F.col(c) != 0) & ~F.isnan(c), F.col(c)) for c in four})
+    known = F.last(_price_of(price), ignorenulls=True).over(W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, -1))
+    b = b.withColumn("_known", known)
+    had = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
+    cells = {c: F.coalesce(F.col(c), F.col("_known"), F.col(f"_{c}")) for c in four}
+    return b.select(*[cells.get(c, F.col(c)).alias(c) for c in bars.columns], had.alias("repaired"))
+
+
 def session_fill(bars: DataFrame, step_seconds: int, opens: str = "09:30:00", closes: str = "16:00:00") -> DataFrame:
     """Bars of each day's session that are missing, at the previous close."""
     day = F.to_date("ts")

@@ -48,10 +48,12 @@ def from_ticks(df: DataFrame, symbol: str, ts: str, price: str, unit: str, n: in
     return _bars(df.where(F.col(price).isNotNull()), keys, [ts, *ties], price, volume)
 
 
-def resample(bars: DataFrame, unit: str, n: int = 1, right_edge: bool = False, sunday: bool = False) -> DataFrame:
+def resample(bars: DataFrame, unit: str, n: int = 1, right_edge: bool = False, sunday: bool = False, offset: int = 0) -> DataFrame:
     """Bars to larger bars by calendar; the bar's time is the start of its
-    period, or with ``right_edge`` that of its last bar."""
-    b = bars.withColumn("_p", bucket(F.col("ts"), unit, n, sunday))
+    period, or with ``right_edge`` that of its last bar. Periods begin
+    ``offset`` seconds later than those of the calendar."""
+    shifted = F.timestamp_micros(F.unix_micros("ts") - offset * 1_000_000)
+    b = bars.withColumn("_p", F.timestamp_micros(F.unix_micros(bucket(shifted, unit, n, sunday)) + offset * 1_000_000) if offset else bucket(F.col("ts"), unit, n, sunday))
     out = b.groupBy("symbol", "_p").agg(F.max("ts").alias("_last"), *_parts())
     return out.select("symbol", F.col("_last" if right_edge else "_p").alias("ts"), "open", "high", "low", "close", "volume", "openinterest")
 

@@ -240,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "an_bundle": f"{text}, u AS (SELECT symbol, ts, 'return' AS what, value / coalesce({lag('value')}, value) - 1 AS value FROM {rows} UNION ALL SELECT symbol, ts, 'position', position * close FROM {rows} UNION ALL SELECT symbol, ts, 'transaction', size * px FROM {rows} WHERE size <> 0 UNION ALL SELECT symbol, ts, 'leverage', position * close / value FROM {rows}) SELECT symbol, ts, what, {_r(value='value')} FROM u",
         "an_own_annual_return": f"WITH {DAYS} SELECT symbol, CAST(year(ts) AS INTEGER) AS year, round(arg_max(close, ts) / arg_min(close, ts) - 1, 4) + 0.0 AS ret FROM bars GROUP BY symbol, year(ts)",
         "an_sharpe_stats": f"WITH {DAYS}, r AS (SELECT symbol, close / {lag('close')} - 1 AS r FROM bars), g AS (SELECT symbol, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS std, quantile_cont(r, 0.05) AS var95 FROM r GROUP BY symbol), c AS (SELECT symbol, avg(r) AS cvar95 FROM r JOIN g USING (symbol) WHERE r <= var95 GROUP BY symbol) SELECT symbol, n, {_r(mean='mean', std='std', var95='var95', cvar95='cvar95', sharpe='mean / std', t='mean / std * sqrt(n)')} FROM g JOIN c USING (symbol)",
-        "an_period_stats": f"{month}, l AS (SELECT *, sign(ret) AS s, lag(sign(ret)) OVER (PARTITION BY symbol ORDER BY px) AS before FROM r), u AS (SELECT *, {runs('s')} FROM l), n AS (SELECT symbol, run, any_value(s) AS s, count(*) AS n FROM u GROUP BY symbol, run), m AS (SELECT symbol, CAST(max(CASE WHEN s > 0 THEN n ELSE 0 END) AS BIGINT) AS win_run, CAST(max(CASE WHEN s < 0 THEN n ELSE 0 END) AS BIGINT) AS loss_run FROM n GROUP BY symbol), g AS (SELECT symbol, count(*) AS periods, avg(ret) AS average, stddev_pop(ret) AS stddev, max(ret) AS best, min(ret) AS worst, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win_rate, exp(sum(ln(1 + ret))) - 1 AS compound, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) AS downside FROM r GROUP BY symbol) SELECT symbol, periods, {_r(average='average', stddev='stddev', best='best', worst='worst', win_rate='win_rate', compound='compound', downside='downside', sharpe='average / nullif(stddev, 0)', sortino='average / nullif(downside, 0)')}, win_run, loss_run FROM g JOIN m USING (symbol)",
+        "an_period_stats": f"{month}, l AS (SELECT *, sign(ret) AS s, lag(sign(ret)) OVER (PARTITION BY symbol ORDER BY px) AS before FROM r), u AS (SELECT *, {runs('s')} FROM l), n AS (SELECT symbol, run, any_value(s) AS s, count(*) AS n FROM u GROUP BY symbol, run), m AS (SELECT symbol, CAST(max(CASE WHEN s > 0 THEN n ELSE 0 END) AS BIGINT) AS win_run, CAST(max(CASE WHEN s < 0 THEN n ELSE 0 END) AS BIGINT) AS loss_run FROM n GROUP BY symbol), g AS (SELECT symbol, count(*) AS periods, avg(ret) AS average, stddev_pop(ret) AS stddev, max(ret) AS best, min(ret) AS worst, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win_rate, exp(sum(ln(1 + ret))) - 1 AS compound, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) AS downside FROM r GROUP BY symbol), q AS (SELECT symbol, close, max(close) {SO_FAR} AS peak FROM bars), x AS (SELECT symbol, max((peak - close) / peak) AS deepest FROM q GROUP BY symbol), y AS (SELECT *, pow(1 + compound, 12.0 / periods) - 1 AS annual FROM g) SELECT symbol, periods, {_r(annual='annual', volatility='stddev * sqrt(12)', calmar='CASE WHEN deepest > 0 THEN annual / deepest ELSE 0 END', consistency='50 * win_rate + CASE WHEN average > 0 AND stddev > 0 THEN greatest(0, 50 * (1 - stddev / average)) ELSE 0 END', average='average', stddev='stddev', best='best', worst='worst', win_rate='win_rate', compound='compound', downside='downside', sharpe='average / nullif(stddev, 0)', sortino='average / nullif(downside, 0)')}, win_run, loss_run FROM y JOIN m USING (symbol) JOIN x USING (symbol)",
         "obs_trade_markers": f"{trades}, tt AS (SELECT symbol, closed AS ts, sum(CASE WHEN pnlcomm >= 0 THEN pnlcomm END) AS gain, sum(CASE WHEN pnlcomm < 0 THEN pnlcomm END) AS loss FROM trades GROUP BY ALL) SELECT symbol, ts, {_r(close='close', gain='gain', loss='loss')} FROM bars LEFT JOIN tt USING (symbol, ts)",
         "obs_buy_sell": f"{text} SELECT symbol, ts, {_r(close='close', buy='CASE WHEN size > 0 THEN px END', sell='CASE WHEN size < 0 THEN px END')} FROM {rows}",
     }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, lines
-from ..operators import filters, folds, signals
+from ..operators import filters, folds, resample, signals
 from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources.scratch import scratch
@@ -86,6 +86,10 @@ def _on(f: Callable[[Bars], Bars], *columns: str, source: Callable = days) -> Qu
     return lambda s, d: rounded(f(Bars(source(s, d))).df, *columns)
 
 
+def _holes(bars: DataFrame) -> DataFrame:
+    return bars.withColumns({"close": F.when(F.dayofmonth("ts") % 7 == 3, 0.0).otherwise(F.col("close")), "open": F.when(F.dayofmonth("ts") % 5 != 2, F.col("open"))})
+
+
 def _numbers(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select("event_id", "ts", dates.date2num(F.col("ts")).alias("num"), dates.time2num(F.col("ts")).alias("part"))
     back = F.unix_micros(dates.num2date(F.col("num"))) - F.unix_micros("ts")
@@ -114,6 +118,9 @@ def queries() -> dict[str, Query]:
         "dat_zones": _zones,
         "dat_calendar": _calendar,
         "flt_session_fill": lambda s, d: filters.session_fill(hours(s, d), 3600, "09:00:00", "16:00:00").select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "filled"),
+        "flt_fill_median": lambda s, d: filters.fill(days(s, d).where("dayofmonth(ts) > 3"), 86400, "median", 1.0).select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "filled"),
+        "flt_repair": lambda s, d: filters.repair(_holes(days(s, d))).select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "repaired"),
+        "agg_resample_offset": lambda s, d: rounded(resample.resample(hours(s, d), "day", offset=6 * 3600), *BAR),
         "sig_kinds": _on(lambda b: b.put(**{k.lower(): signals.direction(k, F.col("close") - F.col("open")) for k in signals.KINDS}), *[k.lower() for k in signals.KINDS]),
         "sig_crossing": _on(lambda b: signals.crossing(signals.crossing(b.put(f=b.mean("close", 5), s=b.mean("close", 10)), "f", "s"), "f", "s", False, "fall"), "signal", "fall"),
         "sig_delayed": _on(lambda b: signals.delayed(b.put(up=signals.simple(F.col("close") > F.col("open"))), "up", 2), "signal"),
@@ -168,6 +175,9 @@ def oracle_sql() -> dict[str, str]:
         "dat_zones": "SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS here, CAST(ts AS TIMESTAMP) AS back FROM events",
         "dat_calendar": "WITH d AS (SELECT CAST(g AS DATE) AS date FROM generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) t(g) WHERE isodow(g) <= 5 AND CAST(g AS DATE) NOT IN (DATE '2023-12-25', DATE '2024-01-01', DATE '2024-07-04', DATE '2024-12-25')), n AS (SELECT *, lead(date) OVER (ORDER BY date) AS next_day FROM d) SELECT CAST(date AS TIMESTAMP) AS date, date + INTERVAL 570 MINUTES AS opens, date + CASE WHEN date = DATE '2024-07-03' THEN INTERVAL 13 HOURS ELSE INTERVAL 16 HOURS END AS closes, CAST(next_day AS TIMESTAMP) AS next_day, coalesce(date_trunc('week', date) <> date_trunc('week', next_day), true) AS last_of_week, coalesce(date_trunc('month', date) <> date_trunc('month', next_day), true) AS last_of_month, coalesce(year(date) <> year(next_day), true) AS last_of_year FROM n",
         "flt_session_fill": f"WITH {HOURS}, g AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS d FROM bars), grid AS (SELECT symbol, CAST(d AS TIMESTAMP) + to_hours(h) AS ts FROM g, range(9, 17) t(h)), f AS (SELECT symbol, ts, open, high, low, close, volume FROM grid FULL JOIN bars USING (symbol, ts)), c AS (SELECT *, last_value(close IGNORE NULLS) {SO_FAR} AS c FROM f) SELECT symbol, ts, {', '.join(f'round(coalesce({x}, c), 4) AS {x}' for x in BAR[:4])}, round(coalesce(volume, 0), 4) AS volume, close IS NULL AS filled FROM c WHERE c IS NOT NULL",
+        "flt_fill_median": f"WITH {DAYS}, b AS (SELECT *, {lag('ts', -1)} AS nxt, (open + high + low + close - greatest(open, high, low, close) - least(open, high, low, close)) / 2 AS m FROM bars WHERE day(ts) > 3), n AS (SELECT *, CASE WHEN nxt - ts > INTERVAL 36 HOURS THEN date_diff('day', ts, nxt) - 1 ELSE 0 END AS n FROM b), e AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n) SELECT symbol, ts + to_days(CAST(i AS INTEGER)) AS ts, {', '.join(f'round(CASE WHEN i > 0 THEN m ELSE {c} END, 4) AS {c}' for c in BAR[:4])}, round(CASE WHEN i > 0 THEN 1 ELSE volume END, 4) AS volume, i > 0 AS filled FROM e",
+        "flt_repair": f"WITH {DAYS}, h AS (SELECT * REPLACE (CASE WHEN day(ts) % 7 = 3 THEN NULL ELSE close END AS close, CASE WHEN day(ts) % 5 = 2 THEN NULL ELSE open END AS open) FROM bars), k AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM h) SELECT symbol, ts, round(coalesce(open, known), 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(coalesce(close, known, 0), 4) AS close, round(volume, 4) AS volume, open IS NULL OR close IS NULL AS repaired FROM k",
+        "agg_resample_offset": f"WITH {HOURS}, p AS (SELECT *, date_trunc('day', ts - INTERVAL 6 HOURS) + INTERVAL 6 HOURS AS p FROM bars) SELECT symbol, CAST(p AS TIMESTAMP) AS ts, round(arg_min(open, ts), 4) AS open, round(max(high), 4) AS high, round(min(low), 4) AS low, round(arg_max(close, ts), 4) AS close, round(sum(volume), 4) AS volume FROM p GROUP BY symbol, p",
         "sig_kinds": _kinds_sql(),
         "sig_crossing": crossing.select("signal", "fall"),
         "sig_delayed": Sql().put(_up=flag("close > open")).put(signal=f"coalesce({lag('_up', 2)}, 0)").select("signal"),
