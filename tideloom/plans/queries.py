@@ -17,7 +17,7 @@ from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources import readers
 from ..streaming import bars as streams
-from . import optimize, trading
+from . import trading
 from . import recursive as rec
 from . import sources as files
 from . import units

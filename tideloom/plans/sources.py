@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import resample
 from ..sources import readers
 from ..sources.scratch import scratch
 from .bars import Query, days, hours, rounded
