@@ -49,7 +49,7 @@ PIECE, CHUNK_CHARS, COUNT_CHARS = 1 << 18, 4_000_000, 2_000_000
 #: Distinct grams a task holds before it hands its counts on.
 HELD_GRAMS = 1_500_000
 _BEFORE = "\x02" * (ORDER - 1)
-_TWO, _ONE = (1 << 42) - 1, (1 << 21) - 1
+_TWO = (1 << 42) - 1
 
 
 def normal(text: str) -> str:
