@@ -1,5 +1,5 @@
 """Bars of the driver's tables, which the queries are about: lineitem prices by
-return flag, in days or weeks, and events as ticks."""
+return flag, in days, and events as ticks."""
 
 from __future__ import annotations
 
@@ -24,10 +24,6 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.from_ticks(li, "l_returnflag", "l_shipdate", "p", "day", volume="l_quantity", ties=("l_orderkey", "l_linenumber", "p"))
 
 
-def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(days(spark, sf_dir), "week")
-
-
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.select("symbol", "ts", *[F.round(F.col(c).cast("double"), digits).alias(c) for c in columns])
 

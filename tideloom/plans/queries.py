@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator, and their SQL.
 
-Bars are lineitem prices by return flag, in days or weeks; ticks are events.
+Bars are lineitem prices by return flag, in days; ticks are events.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from . import trading
 from . import recursive as rec
 from . import sources as files
 from . import units
-from .bars import Query, days, rounded, table, ticks, weeks
-from .sql import DAYS, ORDER, SO_FAR, WEEKS, Sql, agg, cross, lag, mean, over, ratio, values, weighted
+from .bars import Query, days, rounded, table, ticks
+from .sql import DAYS, ORDER, SO_FAR, Sql, agg, cross, lag, mean, over, ratio, values, weighted
 
 def on(source: Callable, f: Callable[[Bars], Bars], *columns: str) -> Query:
     return lambda spark, sf_dir: rounded(f(Bars(source(spark, sf_dir))).tidy().df, *columns)
@@ -177,11 +177,11 @@ WINDOWS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
 
 
 def _ema_on(kind: str, n: int = 30):
-    return on(weeks, lambda b: folds.average(b, kind, n, out="v"), "v")
+    return on(days, lambda b: folds.average(b, kind, n, out="v"), "v")
 
 
 def _fold_on(make, ins, *outs):
-    return on(weeks, lambda b: folds.fold(b, [(make, ins, list(outs))]), *outs)
+    return on(days, lambda b: folds.fold(b, [(make, ins, list(outs))]), *outs)
 
 
 def _dema(s: Sql, out: str = "v") -> Sql:
@@ -242,14 +242,14 @@ def _heikin(s: Sql) -> str:
 
 
 def _heikin_bars() -> str:
-    s = Sql(WEEKS, "weeks")
+    s = Sql()
     _heikin(s)
     cells = ", ".join(f"round({x}, 4) + 0.0 AS {c}" for x, c in (("ho", "open"), ("hh", "high"), ("hl", "low"), ("hc", "close"), ("volume", "volume")))
     return f"{s.text} SELECT symbol, ts, {cells} FROM {s.table}"
 
 
 def _chart(_: Sql) -> str:
-    w = lambda f: f(Sql(WEEKS, "weeks"))
+    w = lambda f: f(Sql())
     one = lambda name, f: w(lambda s: f(s).put(**{name: "v"}).select(name))
     named = lambda sql, old, new: f"SELECT symbol, ts, {old} AS {new} FROM ({sql})"
     return rec.together(
@@ -259,7 +259,7 @@ def _chart(_: Sql) -> str:
     )
 
 
-#: name: (Spark, SQL) over weekly bars by folds.
+#: name: (Spark, SQL) over daily bars by folds.
 FOLDS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "ma_ema": (_ema_on("ema"), lambda s: s.ema("close", 30, "v").select("v")),
     "ma_smma": (_ema_on("smma"), lambda s: s.smma("close", 30, "v").select("v")),
@@ -270,8 +270,8 @@ FOLDS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "ma_zlind": (_ema_on("zlind"), lambda s: rec.zero_lag(s).select("v")),
     "ma_dma": (_ema_on("dma"), rec.dickson),
     "ma_exponential_smoothing": (_fold_on(lambda: folds.Ema(10, 0.3), ["close"], "v"), lambda s: s.ema("close", 10, "v", 0.3).select("v")),
-    **{f"env_{k}": (on(weeks, lambda b, k=k: folds.envelope(b, k), "env_mid", "env_top", "env_bot"), (lambda s, f=f: f(s).put(env_top="env_mid * 1.025", env_bot="env_mid * 0.975").select("env_mid", "env_top", "env_bot")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "env_mid")), ("smma", lambda s: s.smma("close", 30, "env_mid")), ("dema", lambda s: _dema(s, "env_mid")), ("tema", lambda s: _tema(s, "env_mid")), ("wma", lambda s: s.put(env_mid=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", lambda s: rec.kama(s, "env_mid", stepped=True)))},
-    **{f"osc_{k}": (on(weeks, lambda b, k=k: folds.oscillator(b, k), "osc"), (lambda s, f=f: f(s).put(osc="close - _avg").select("osc")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "_avg")), ("smma", lambda s: s.smma("close", 30, "_avg")), ("dema", lambda s: _dema(s, "_avg")), ("tema", lambda s: _tema(s, "_avg")), ("wma", lambda s: s.put(_avg=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", lambda s: rec.kama(s, "_avg")))},
+    **{f"env_{k}": (on(days, lambda b, k=k: folds.envelope(b, k), "env_mid", "env_top", "env_bot"), (lambda s, f=f: f(s).put(env_top="env_mid * 1.025", env_bot="env_mid * 0.975").select("env_mid", "env_top", "env_bot")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "env_mid")), ("smma", lambda s: s.smma("close", 30, "env_mid")), ("dema", lambda s: _dema(s, "env_mid")), ("tema", lambda s: _tema(s, "env_mid")), ("wma", lambda s: s.put(env_mid=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", lambda s: rec.kama(s, "env_mid", stepped=True)))},
+    **{f"osc_{k}": (on(days, lambda b, k=k: folds.oscillator(b, k), "osc"), (lambda s, f=f: f(s).put(osc="close - _avg").select("osc")) if f else None) for k, f in (("ema", lambda s: s.ema("close", 30, "_avg")), ("smma", lambda s: s.smma("close", 30, "_avg")), ("dema", lambda s: _dema(s, "_avg")), ("tema", lambda s: _tema(s, "_avg")), ("wma", lambda s: s.put(_avg=f"{weighted('close', range(1, 31))} * {2.0 / (30 * 31)}")), ("kama", lambda s: rec.kama(s, "_avg")))},
     "mom_rsi": (_fold_on(folds.Rsi, ["close"], "v"), lambda s: _rsi(s, 14, 1)),
     "mom_rmi": (_fold_on(lambda: folds.Rsi(20, 5), ["close"], "v"), lambda s: _rsi(s, 20, 5)),
     "mom_laguerre": (_fold_on(folds.Laguerre, ["close"], "lagf", "lrsi"), rec.laguerre),
@@ -285,10 +285,10 @@ FOLDS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "trend_directional": (_fold_on(folds.Directional, HLC, "adx", "adxr", "plus_di", "minus_di"), _directional),
     "trend_parabolic": (_fold_on(folds.Parabolic, HLC, "sar", "side"), rec.parabolic),
     "vol_atr": (_fold_on(folds.Atr, HLC, "v"), lambda s: _atr(s).put(v="_atr").select("v")),
-    "vol_hurst": (on(weeks, win.hurst, "hurst"), rec.hurst),
+    "vol_hurst": (on(days, win.hurst, "hurst"), rec.hurst),
     "sig_heikin_ashi": (_fold_on(folds.HeikinAshi, OHLC, "ho", "hh", "hl", "hc"), _heikin),
-    "sig_counting": (on(weeks, lambda b: signals.counting(b.put(up=signals.simple(F.col("close") > F.col("open"))), "up", 3, 4), "signal"), rec.counting),
-    "talib_chart": (on(weeks, folds.chart, "ema", "smma", "kama", "rsi", "macd", "ppo", "trix", "tsi", "atr", "pgo", "adx"), _chart),
+    "sig_counting": (on(days, lambda b: signals.counting(b.put(up=signals.simple(F.col("close") > F.col("open"))), "up", 3, 4), "signal"), rec.counting),
+    "talib_chart": (on(days, folds.chart, "ema", "smma", "kama", "rsi", "macd", "ppo", "trix", "tsi", "atr", "pgo", "adx"), _chart),
 }
 
 
@@ -393,8 +393,8 @@ def queries() -> dict[str, Query]:
         "flt_day_steps": _plain(lambda d: filters.day_steps(d, 10), *BAR),
         "flt_data_filler": _plain(lambda d: filters.fill(d.where("dayofmonth(ts) > 3"), 86400), *BAR),
         "flt_splits": lambda s, d: rounded(filters.split_adjust(days(s, d), days(s, d).where("month(ts) = 7 and dayofmonth(ts) = 1").select("symbol", "ts", F.lit(2.0).alias("ratio"))), *BAR),
-        "flt_heikin_ashi": _plain(filters.heikin_ashi, *BAR, source=weeks),
-        "flt_renko": lambda s, d: filters.renko(weeks(s, d), 5.0).select("symbol", "ts", "box", *[F.round(c, 4).alias(c) for c in OHLC]),
+        "flt_heikin_ashi": _plain(filters.heikin_ashi, *BAR),
+        "flt_renko": lambda s, d: filters.renko(days(s, d), 5.0).select("symbol", "ts", "box", *[F.round(c, 4).alias(c) for c in OHLC]),
         "an_annual_return": _table_of(an.annual_return),
         "an_time_return": _table_of(lambda e: an.time_return(e, "month").select("symbol", "period", "ret")),
         "an_returns": _table_of(lambda e: an.returns(e).select("symbol", "rtot", "ravg")),
@@ -421,7 +421,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = {"flagship_event_cross": FLAGSHIP_SQL}
     out |= {k: f(Sql()) for k, (_, f) in WINDOWS.items()}
-    out |= {k: f(Sql(WEEKS, "weeks")) for k, (_, f) in FOLDS.items()}
+    out |= {k: f(Sql()) for k, (_, f) in FOLDS.items()}
     month = _returns_sql("month")
     out |= {
         "src_between": f"WITH {DAYS} SELECT symbol, ts, {RB} FROM bars WHERE ts >= '1996-01-01' AND ts <= '1997-12-31'",
@@ -461,5 +461,5 @@ def oracle_sql() -> dict[str, str]:
         "str_tumbling": "SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, round(CAST(count(*) AS DOUBLE), 4) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)",
         "str_sessions": "WITH o AS (SELECT event_type AS symbol, ts, value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events WHERE value IS NOT NULL), g AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 20 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM o) SELECT symbol, min(ts) AS ts, max(ts) + INTERVAL 20 MINUTES AS until, round(max(value), 4) AS high, round(min(value), 4) AS low, count(*) AS ticks FROM g GROUP BY symbol, s",
     }
-    out |= {"flt_day_steps": rec.day_steps(Sql(), RB), "flt_renko": rec.renko(Sql(WEEKS, "weeks"))}
+    out |= {"flt_day_steps": rec.day_steps(Sql(), RB), "flt_renko": rec.renko(Sql())}
     return out | trading.oracle_sql() | files.oracle_sql() | units.oracle_sql()

@@ -12,11 +12,6 @@ DAYS = """t AS (
   FROM t GROUP BY symbol, ts
 )"""
 
-WEEKS = DAYS + """, days AS (SELECT * FROM bars), weeks AS (
-  SELECT symbol, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume
-  FROM days GROUP BY symbol, date_trunc('week', ts)
-)"""
-
 
 def over(n: int) -> str:
     return f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -66,11 +61,16 @@ class Sql:
         return self
 
     def ema(self, x: str, n: int, out: str, alpha: float | None = None) -> Sql:
-        """Seeded average in closed form; fit for short series only, since the
-        weights grow with the length."""
+        """Seeded average: in closed form, or row by row where the weights, which
+        grow with the length, would leave the range of numbers within some
+        thousand rows."""
         a = 2.0 / (n + 1) if alpha is None else alpha
         self.put(**{f"{out}_k": f"CASE WHEN {x} IS NOT NULL THEN count({x}) {SO_FAR} END"})
         self.put(**{f"{out}_s": f"avg(CASE WHEN {out}_k <= {n} THEN {x} END) OVER (PARTITION BY symbol)"})
+        if a > 0.2:
+            seed = f"CASE WHEN b.{out}_k = {n} THEN b.{out}_s"
+            step = f"WHEN b.{out}_k IS NULL THEN r.{out}_r WHEN b.{out}_k > {n} THEN {a!r} * b.{x} + {1 - a!r} * r.{out}_r"
+            return self.scan({f"{out}_r": f"{seed} END"}, {f"{out}_r": f"{seed} {step} END"}).put(**{out: f"CASE WHEN {out}_k >= {n} THEN {out}_r END"})
         k = f"({out}_k - {n})"
         total = f"sum(CASE WHEN {out}_k > {n} THEN {a!r} * {x} * pow({1 - a!r}, -{k}) ELSE 0 END) {SO_FAR}"
         return self.put(**{out: f"CASE WHEN {out}_k >= {n} THEN pow({1 - a!r}, {k}) * ({out}_s + {total}) END"})

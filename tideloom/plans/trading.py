@@ -9,8 +9,8 @@ from ..operators import analyzers as an
 from ..operators import broker
 from ..operators.broker import Commission, Rules
 from . import optimize
-from .bars import Query, days, weeks
-from .sql import DAYS, ORDER, SO_FAR, WEEKS, Sql, cross, lag, mean
+from .bars import Query, days
+from .sql import DAYS, ORDER, SO_FAR, Sql, cross, lag, mean
 
 FEE = 0.001
 LONG = Rules(mode="long", commission=Commission(FEE))
@@ -35,10 +35,10 @@ def on(f) -> Query:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars with their number."""
+    """Daily bars with their number."""
     from ..operators.frame import Bars
 
-    b = Bars(weeks(spark, sf_dir))
+    b = Bars(days(spark, sf_dir))
     return b.put(k=b.number()).df
 
 
@@ -46,7 +46,7 @@ KINDS = ("Market", "Close", "Limit", "Stop", "StopLimit")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth week an order to buy one, of each kind in turn."""
+    """Every tenth bar an order to buy one, of each kind in turn."""
     b = _marked(spark, sf_dir)
     turn = F.pmod(F.floor(F.col("k") / 10), F.lit(5))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (turn + 1).cast("int"))
@@ -56,7 +56,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Limits that are withdrawn three weeks later if they are still there."""
+    """Limits that are withdrawn three bars later if they are still there."""
     b = _marked(spark, sf_dir)
     b = b.withColumns({"order": F.when(F.col("k") % 10 == 1, 1.0), "order_type": F.when(F.col("k") % 10 == 1, "Limit").when(F.col("k") % 10 == 4, "Cancel"), "order_price": F.col("close") * 0.8})
     return near(broker.fills(broker.run(b, Rules(cash=RICH))).drop("pnl"))
@@ -182,7 +182,7 @@ def _sweep_sql(combinations: list[tuple[int, int]], names: str) -> str:
 
 
 def _orders_sql() -> str:
-    return f"""WITH {WEEKS}, b AS MATERIALIZED (SELECT *, row_number() {ORDER} AS k FROM weeks), o AS (
+    return f"""WITH {DAYS}, b AS MATERIALIZED (SELECT *, row_number() {ORDER} AS k FROM bars), o AS (
   SELECT symbol, k, close, (k // 10) % 5 AS turn, CAST(row_number() OVER (PARTITION BY symbol ORDER BY k) AS INTEGER) AS id FROM b WHERE k % 10 = 1
 ), hit AS (
   SELECT o.symbol, o.id, o.turn, o.close, min(b.k) AS k FROM o JOIN b ON b.symbol = o.symbol AND b.k > o.k
@@ -214,8 +214,8 @@ def oracle_sql() -> dict[str, str]:
         "exec_backtest": f"{text} SELECT symbol, ts, {_r(cash='cash', value='value', position='position')} FROM {rows}",
         "exec_trades": f"{trades} SELECT symbol, opened, closed, size, {_r(entry='entry', exit='exit', pnl='pnl', pnlcomm='pnlcomm')}, bars FROM trades",
         "exec_orders": _orders_sql(),
-        "exec_cancel": f"WITH {WEEKS}, b AS MATERIALIZED (SELECT *, row_number() {ORDER} AS k FROM weeks), o AS (SELECT symbol, k, close * 0.8 AS price, CAST(row_number() OVER (PARTITION BY symbol ORDER BY k) AS INTEGER) AS id FROM b WHERE k % 10 = 1), f AS (SELECT o.symbol, o.id, o.price, min(b.ts) AS ts FROM o JOIN b ON b.symbol = o.symbol AND b.k BETWEEN o.k + 1 AND o.k + 3 AND b.low <= o.price GROUP BY ALL) SELECT symbol, ts, id AS \"order\", 1.0::DOUBLE AS size, round(price, 4) AS price, 0.0::DOUBLE AS fee FROM f",
-        "exec_fillers": f"WITH {WEEKS}, b AS (SELECT *, row_number() {ORDER} AS k FROM weeks), c AS (SELECT symbol, ts, k, open, unnest([{{'f': 'fixed', 'n': least(volume, 7)}}, {{'f': 'percent', 'n': floor(volume * 10 / 100)}}, {{'f': 'points', 'n': floor(floor(volume * 50 / 100) / greatest(1, round_even((high - low) / 1.0, 0) + 1))}}]) AS x FROM b WHERE k > 1), d AS (SELECT *, least(x.n, 5000 - coalesce(sum(x.n) OVER (PARTITION BY symbol, x.f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS n FROM c) SELECT symbol, ts, x.f AS filler, {_r(size='n', price='open')} FROM d WHERE n > 0",
+        "exec_cancel": f"WITH {DAYS}, b AS MATERIALIZED (SELECT *, row_number() {ORDER} AS k FROM bars), o AS (SELECT symbol, k, close * 0.8 AS price, CAST(row_number() OVER (PARTITION BY symbol ORDER BY k) AS INTEGER) AS id FROM b WHERE k % 10 = 1), f AS (SELECT o.symbol, o.id, o.price, min(b.ts) AS ts FROM o JOIN b ON b.symbol = o.symbol AND b.k BETWEEN o.k + 1 AND o.k + 3 AND b.low <= o.price GROUP BY ALL) SELECT symbol, ts, id AS \"order\", 1.0::DOUBLE AS size, round(price, 4) AS price, 0.0::DOUBLE AS fee FROM f",
+        "exec_fillers": f"WITH {DAYS}, b AS (SELECT *, row_number() {ORDER} AS k FROM bars), c AS (SELECT symbol, ts, k, open, unnest([{{'f': 'fixed', 'n': least(volume, 7)}}, {{'f': 'percent', 'n': floor(volume * 10 / 100)}}, {{'f': 'points', 'n': floor(floor(volume * 50 / 100) / greatest(1, round_even((high - low) / 1.0, 0) + 1))}}]) AS x FROM b WHERE k > 1), d AS (SELECT *, least(x.n, 5000 - coalesce(sum(x.n) OVER (PARTITION BY symbol, x.f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS n FROM c) SELECT symbol, ts, x.f AS filler, {_r(size='n', price='open')} FROM d WHERE n > 0",
         "exec_slippage": f"{slip} SELECT symbol, ts, CAST(_order AS INTEGER) AS \"order\", {_r(size='size', price='px', fee='0.0', pnl='CASE WHEN size < 0 THEN px - entry ELSE 0 END')} FROM {slipped} WHERE size <> 0",
         "exec_futures": f"{future}, f AS (SELECT symbol, ts, position, {RICH} - 2 * _order - 1000 * position + 10 * (cash + position * close) AS cash FROM {futures}) SELECT symbol, ts, {_r(cash='cash', value='cash + 1000 * position', position='position')} FROM f",
         "exec_fixed_fee": f"{fixed} SELECT symbol, ts, {_r(cash='cash', value='value')} FROM {fixes}",

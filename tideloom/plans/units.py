@@ -15,10 +15,10 @@ from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources.scratch import scratch
 from ..streaming import bars as streams
-from .bars import Query, days, hours, rounded, table, ticks, weeks
+from .bars import Query, days, hours, rounded, table, ticks
 from .registry import indicator
 from .sources import HOURS
-from .sql import DAYS, ORDER, SO_FAR, WEEKS, Sql, agg, lag, mean, ratio, values
+from .sql import DAYS, ORDER, SO_FAR, Sql, agg, lag, mean, ratio, values
 
 BAR = ("open", "high", "low", "close", "volume")
 
@@ -69,7 +69,7 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = weeks(spark, sf_dir)
+    b = days(spark, sf_dir)
     years = [b.where(F.year("ts") <= 1994), b.where(F.year("ts").between(1995, 1996)), b.where(F.year("ts") > 1996)]
     return rounded(_streamed(years, streams.running_ema), "close", "ema")
 
@@ -125,11 +125,11 @@ def queries() -> dict[str, Query]:
         "sig_crossing": _on(lambda b: signals.crossing(signals.crossing(b.put(f=b.mean("close", 5), s=b.mean("close", 10)), "f", "s"), "f", "s", False, "fall"), "signal", "fall"),
         "sig_delayed": _on(lambda b: signals.delayed(b.put(up=signals.simple(F.col("close") > F.col("open"))), "up", 2), "signal"),
         "sig_filtered": _on(lambda b: b.put(signal=signals.filtered(lines.gt(F.col("close"), F.col("open")), F.col("volume") > 100)), "signal"),
-        "sig_ha_delta": _on(folds.ha_delta, "hadelta", "hadelta_smoothed", source=weeks),
+        "sig_ha_delta": _on(folds.ha_delta, "hadelta", "hadelta_smoothed"),
         "sig_pivots_open": _on(lambda b: win.pivots(win.pivots(b, use_open=True, out="o"), "fibonacci", use_close=True, out="c"), "o_p", "o_s1", "o_r2", "c_p", "c_s1", "c_r3"),
         "win_find_where": _on(lambda b: win.find_where(win.find_where(b, lambda v, now: v > now + 10, out="newest"), lambda v, now: v > now + 10, newest=False, out="oldest"), "newest", "oldest"),
         "ind_by_name": _on(lambda b: indicator("WilliamsR")(indicator("BollingerBands")(indicator("MovingAverage")(b, 10))), "sma", "bb_mid", "bb_top", "williamsr"),
-        "ind_custom": _on(lambda b: folds.fold(b, [(RisingRun, ["close"], ["run"])]), "run", source=weeks),
+        "ind_custom": _on(lambda b: folds.fold(b, [(RisingRun, ["close"], ["run"])]), "run"),
         "an_custom": lambda s, d: ulcer(days(s, d).select("symbol", "ts", F.col("close").alias("value"))).select("symbol", F.round("ulcer", 4).alias("ulcer")),
         "str_late": _late,
         "str_stateful": _stateful,
@@ -141,7 +141,7 @@ def _two_sql() -> Sql:
 
 
 def _ha_sql() -> str:
-    s = Sql(WEEKS, "weeks").put(_c="(open + high + low + close) / 4", _k=f"row_number() {ORDER}")
+    s = Sql().put(_c="(open + high + low + close) / 4", _k=f"row_number() {ORDER}")
     s.put(_x=f"CASE WHEN _k = 1 THEN (open + close) / 2 ELSE {lag('_c')} END").ema("_x", 1, "_o", 0.5)
     return s.put(hadelta="_c - _o").put(hadelta_smoothed=mean("hadelta", 3)).select("hadelta", "hadelta_smoothed")
 
@@ -186,8 +186,8 @@ def oracle_sql() -> dict[str, str]:
         "sig_pivots_open": Sql().put(o_p="(high + low + close + open) / 4", c_p="(high + low + 2 * close) / 4").put(o_s1="2 * o_p - high", o_r2="o_p + (high - low)", c_s1="c_p - 0.382 * (high - low)", c_r3="c_p + (high - low)").select("o_p", "o_s1", "o_r2", "c_p", "c_s1", "c_r3"),
         "win_find_where": Sql().put(_a=values("close", 14)).put(newest=find("list_max"), oldest=find("list_min")).select("newest", "oldest"),
         "ind_by_name": named.select("sma", "bb_mid", "bb_top", "williamsr"),
-        "ind_custom": Sql(WEEKS, "weeks").put(_c=lag("close")).scan({"run": "0"}, {"run": "CASE WHEN b.close > b._c THEN r.run + 1 ELSE 0 END"}).select("run"),
+        "ind_custom": Sql().put(_c=lag("close")).scan({"run": "0"}, {"run": "CASE WHEN b.close > b._c THEN r.run + 1 ELSE 0 END"}).select("run"),
         "an_custom": f"WITH {DAYS}, p AS (SELECT symbol, close, max(close) {SO_FAR} AS peak FROM bars) SELECT symbol, round(sqrt(avg(pow(100 * (peak - close) / peak, 2))), 4) AS ulcer FROM p GROUP BY symbol",
         "str_late": "SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, round(CAST(count(*) AS DOUBLE), 4) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)",
-        "str_stateful": Sql(WEEKS, "weeks").ema("close", 30, "ema").select("close", "ema"),
+        "str_stateful": Sql().ema("close", 30, "ema").select("close", "ema"),
     }
