@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines
 from ..operators import analyzers as an
-from ..operators import filters, folds, resample, signals, timers
+from ..operators import blocks, filters, folds, resample, signals, timers
 from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources import readers
@@ -198,9 +198,10 @@ def _rsi(s: Sql, n: int, back: int) -> str:
     return s.put(v="CASE WHEN _dn = 0 THEN CASE WHEN _up = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + _up / _dn) END").select("v")
 
 
-def _macd(s: Sql) -> str:
-    s.ema("close", 12, "_a").ema("close", 26, "_b").put(_m="_a - _b").ema("_m", 9, "signal").put(macd="CASE WHEN signal IS NOT NULL THEN _m END", histo="_m - signal")
-    return s.select("macd", "signal", "histo")
+def _macd(s: Sql, prefix: str = "") -> str:
+    signal, histo = f"{prefix}signal", f"{prefix}histo"
+    s.ema("close", 12, "_a").ema("close", 26, "_b").put(_m="_a - _b").ema("_m", 9, signal).put(**{"macd": f"CASE WHEN {signal} IS NOT NULL THEN _m END", histo: f"_m - {signal}"})
+    return s.select("macd", signal, histo)
 
 
 def _ppo(s: Sql, base: str) -> str:
@@ -262,6 +263,9 @@ def _chart(_: Sql) -> str:
 #: name: (Spark, SQL) over daily bars by folds.
 FOLDS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "ma_ema": (_ema_on("ema"), lambda s: s.ema("close", 30, "v").select("v")),
+    "ma_ema_blocks": (on(days, lambda b: blocks.ema(b, out="v"), "v"), lambda s: s.ema("close", 30, "v").select("v")),
+    "mom_rsi_blocks": (on(days, lambda b: blocks.rsi(b, out="v"), "v"), lambda s: _rsi(s, 14, 1)),
+    "mom_macd_blocks": (on(days, lambda b: blocks.macd(b), "macd", "macd_signal", "macd_histo"), lambda s: _macd(s, "macd_")),
     "ma_smma": (_ema_on("smma"), lambda s: s.smma("close", 30, "v").select("v")),
     "ma_dema": (_ema_on("dema"), lambda s: _dema(s).select("v")),
     "ma_tema": (_ema_on("tema"), lambda s: _tema(s).select("v")),
