@@ -243,15 +243,12 @@ def hurst(b: Bars, n: int = 40, lag_start: int = 2, lag_end: int = 0, x: str = "
     logs = [math.log10(k) for k in lags]
     mean = sum(logs) / len(logs)
     spread = sum((v - mean) ** 2 for v in logs)
-    b = b.put(_a=b.values(x, n))
+    b = b.put(**{f"_d{k}": F.col(x) - b.lag(x, k) for k in lags}, _full=b.over(n, x, F.count))
     slope: Column = F.lit(0.0)
     for k, v in zip(lags, logs, strict=True):
-        diff = F.zip_with(F.slice("_a", k + 1, n - k), F.slice("_a", 1, n - k), lambda p, q: p - q)
-        m = F.aggregate(diff, F.lit(0.0), lambda s, y: s + y) / (n - k)
-        sq = F.aggregate(diff, F.lit(0.0), lambda s, y: s + y * y) / (n - k)
-        tau = F.sqrt(F.sqrt(F.greatest(sq - m * m, F.lit(0.0))))
-        slope = slope + F.lit((v - mean) / spread) * F.when(tau > 0, F.log10(tau))
-    return b.put(**{out: 2 * slope}).drop("_a")
+        tau = F.sqrt(F.sqrt(F.var_pop(f"_d{k}").over(b.last(n - k))))
+        slope = slope + F.lit((v - mean) / spread) * F.when(F.col("_full").isNotNull() & (tau > 0), F.log10(tau))
+    return b.put(**{out: 2 * slope}).drop("_full", *[f"_d{k}" for k in lags])
 
 
 def ols(b: Bars, n: int = 10, y: str = "close", x: str = "close2", out: str = "ols") -> Bars:
