@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode, n_tokens
+from .collocations import collocations
 from .decontaminate import leaks
 from .embedding import near_vectors
+from .fim import fill_in_middle, restored
 from .labelled import HELD_OUT, fold
 from .minhash import near_duplicates
 from .mixing import mix
@@ -91,6 +94,29 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the encoding query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    codes = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    return codes.select(F.col("id").alias("doc_id"), n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_table(spark, sf_dir, "documents"))
+    again = F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -200,6 +226,51 @@ SELECT v.vec_id, coalesce(k, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id
 FROM v LEFT JOIN least ON v.vec_id = least.n LEFT JOIN degree ON v.vec_id = degree.a
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM d
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2
+), cut AS (
+  SELECT lang, c.k, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM c, range(1, 4) t(j) WHERE j < c.k
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM scored
+), held AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, range(2, 4) t(m), range(1, 4) u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN held USING (lang, phrase) WHERE o = 1 AND NOT coalesce(100 * most >= 80 * a, FALSE)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents
+), x AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) for i in range(0, 4)] AS h FROM d
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x
+), p AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def queries() -> dict:
     return {
@@ -213,8 +284,11 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_bpe_round_trip": op12_bpe_round_trip,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_extendible_sharding": OP3_SQL, "op5_repeated_passages": OP5_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_extendible_sharding": OP3_SQL, "op5_repeated_passages": OP5_SQL, "op7_warc_archive": OP7_SQL, "op10_embedding_near_dedup": OP10_SQL, "op11_phrase_collocations": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
