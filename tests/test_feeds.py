@@ -86,13 +86,6 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("hours").groupBy("symbol", "ts").agg(F.max("volume")).count()
     assert got == streams.tumbling(ticks, "1 hour").count()
-    bars = spark.readStream.schema(ticks.schema).parquet(src).select("symbol", "ts", F.col("price").alias("close"))
-    q = streams.running_ema(bars, 5).writeStream.outputMode("append").format("memory").queryName("emas").trigger(availableNow=True).start()
-    q.awaitTermination()
-    import numpy as np
-
-    want = folds.Ema(5).push(np.arange(30.0))
-    assert [x["ema"] for x in spark.table("emas").orderBy("ts").collect()] == [None if w != w else w for w in want]
 
 
 def _days(spark, symbol, first, n, volume):

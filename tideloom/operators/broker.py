@@ -170,9 +170,9 @@ def matched(o: Order, high: float, low: float, open_: float, close: float, insta
         return None
     if o.kind == "Limit":
         return o.price if (low <= o.price if buy else high >= o.price) else None
-    if o.kind == "Stop":
+    if o.kind in ("Stop", "StopTrail"):
         return o.price if (high >= o.price if buy else low <= o.price) else None
-    limit = o.limit if o.limit is not None else o.price  # StopLimit
+    limit = o.limit if o.limit is not None else o.price  # StopLimit, StopTrailLimit
     if instant:
         return limit
     if not o.triggered:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import analyzers
 from ..operators.broker import Rules, equity, run, trades
 from ..operators.frame import Bars
+from ..operators.strategy import Strategy, run_strategy
 from ..operators.windows import crossover
 
 
@@ -54,11 +55,26 @@ def sweep_grid(bars: DataFrame, combinations: Sequence[dict], rules: Rules = Rul
     wide = b.df.select(*bars.columns, each.alias("_c")).select(*bars.columns, "_c.fast", "_c.slow", F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b"))
     b = crossover(Bars(wide, by), "_a", "_b", "_x")
     orders = b.put(order=F.when(F.col("_x") > 0, F.lit(float(size))).when(F.col("_x") < 0, F.lit(-float(size)))).tidy().df
-    result = run(orders, rules, by)
+    return outcomes(run(orders, rules, by), by, rules.cash)
+
+
+def sweep_strategy(bars: DataFrame, make: Callable[..., Strategy], combinations: Sequence[dict], rules: Rules = Rules(), columns: Sequence[str] = ()) -> DataFrame:
+    """A strategy with every combination of its parameters, on every symbol: final
+    value, cash, trades, return and drawdown. Bars are multiplied by the combinations
+    after the strategy's columns are made, and one job is dealt by (symbol, parameters)."""
+    names = list(combinations[0])
+    each = F.explode(F.array(*[F.struct(*[F.lit(c[n]).alias(n) for n in names]) for c in combinations]))
+    by = ("symbol", *names)
+    wide = bars.withColumn("_c", each).select(*bars.columns, *[F.col(f"_c.{n}").alias(n) for n in names])
+    return outcomes(run_strategy(wide, make, rules, columns, by, params=names), by, rules.cash)
+
+
+def outcomes(result: DataFrame, by: tuple[str, ...], cash: float) -> DataFrame:
+    """One row a series of a result: where it ended, its trades and its deepest drawdown."""
     peak = F.max("value").over(W.partitionBy(*by).orderBy("ts"))
     result = result.withColumn("_down", 100 * (peak - F.col("value")) / peak)
     last = result.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max_by("cash", "ts").alias("cash"), F.sum(F.size("trades")).alias("trades"), F.max("_down").alias("drawdown"))
-    return last.withColumn("total_return", F.col("value") / F.lit(rules.cash) - 1)
+    return last.withColumn("total_return", F.col("value") / F.lit(cash) - 1)
 
 
 def ranked(results: DataFrame, metric: str = "total_return", most: int | None = None, ascending: bool = False) -> DataFrame:

@@ -13,8 +13,6 @@ from ..functions import dates, lines
 from ..operators import filters, folds, resample, signals
 from ..operators import windows as win
 from ..operators.frame import Bars
-from ..sources.scratch import scratch
-from ..streaming import bars as streams
 from .bars import Query, days, hours, rounded, table, ticks
 from .registry import indicator
 from .sources import HOURS
@@ -45,35 +43,6 @@ def ulcer(equity: DataFrame) -> DataFrame:
     return drawdown(equity).groupBy("symbol").agg(F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))).alias("ulcer"))
 
 
-def _streamed(batches: list[DataFrame], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream gives that gets ``batches`` one after another."""
-    spark = batches[0].sparkSession
-    at = scratch(spark)
-    for i, b in enumerate(batches):
-        b.coalesce(1).write.mode("append").parquet(f"{at}/in/{i:03d}")
-    source = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
-    query = change(source).writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").format("parquet").start(f"{at}/out")
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
-
-
-def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ticks; then copies of them, which come days too late; then two ticks
-    of a far later time, by which every bar is complete."""
-    t = ticks(spark, sf_dir)
-    last = t.agg(F.max("ts")).first()[0]
-    end = lambda k: t.limit(1).select(F.lit("~end").alias("symbol"), (F.lit(last) + F.expr(f"INTERVAL {k} DAYS")).alias("ts"), F.lit(0.0).alias("price"), F.lit(0).cast("bigint").alias("event_id"))
-    late = t.where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS")).withColumn("price", F.col("price") * 10)
-    out = _streamed([t, end(20), late, end(40), end(60)], lambda s: streams.tumbling(s, "6 hours", "1 hour", tie="event_id"))
-    return rounded(out.where("symbol != '~end'"), *BAR)
-
-
-def _stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = days(spark, sf_dir)
-    years = [b.where(F.year("ts") <= 1994), b.where(F.year("ts").between(1995, 1996)), b.where(F.year("ts") > 1996)]
-    return rounded(_streamed(years, streams.running_ema), "close", "ema")
-
-
 def _two(b: Bars) -> Bars:
     return b.put(a=lines.gt(F.col("close"), F.col("open")), c=lines.gt(F.col("close"), F.lit(50.0)))
 
@@ -131,8 +100,6 @@ def queries() -> dict[str, Query]:
         "ind_by_name": _on(lambda b: indicator("WilliamsR")(indicator("BollingerBands")(indicator("MovingAverage")(b, 10))), "sma", "bb_mid", "bb_top", "williamsr"),
         "ind_custom": _on(lambda b: folds.fold(b, [(RisingRun, ["close"], ["run"])]), "run"),
         "an_custom": lambda s, d: ulcer(days(s, d).select("symbol", "ts", F.col("close").alias("value"))).select("symbol", F.round("ulcer", 4).alias("ulcer")),
-        "str_late": _late,
-        "str_stateful": _stateful,
     }
 
 
@@ -188,6 +155,4 @@ def oracle_sql() -> dict[str, str]:
         "ind_by_name": named.select("sma", "bb_mid", "bb_top", "williamsr"),
         "ind_custom": Sql().put(_c=lag("close")).scan({"run": "0"}, {"run": "CASE WHEN b.close > b._c THEN r.run + 1 ELSE 0 END"}).select("run"),
         "an_custom": f"WITH {DAYS}, p AS (SELECT symbol, close, max(close) {SO_FAR} AS peak FROM bars) SELECT symbol, round(sqrt(avg(pow(100 * (peak - close) / peak, 2))), 4) AS ulcer FROM p GROUP BY symbol",
-        "str_late": "SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, round(CAST(count(*) AS DOUBLE), 4) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)",
-        "str_stateful": Sql().ema("close", 30, "ema").select("close", "ema"),
     }

@@ -1,13 +1,9 @@
-"""Bars and indicators over streams."""
+"""Bars over streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tumbling(ticks: DataFrame, width: str = "1 day", late: str = "1 hour", symbol: str = "symbol", ts: str = "ts", price: str = "price", volume: str | None = None, tie: str | None = None) -> DataFrame:
@@ -30,29 +26,3 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 hour", sy
     g = t.groupBy(F.col(symbol).alias("symbol"), F.session_window(ts, gap).alias("_w"))
     out = g.agg(F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"), F.count("*").alias("ticks"))
     return out.select("symbol", F.col("_w.start").alias("ts"), F.col("_w.end").alias("until"), "open", "high", "low", "close", "ticks")
-
-
-def running_ema(bars: DataFrame, n: int = 30, x: str = "close") -> DataFrame:
-    """Seeded EMA of a stream of bars, its count, sum and value kept per symbol
-    from batch to batch. Bars of a micro-batch are taken in order of time."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, total, y = state.get if state.exists else (0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for v in rows[x]:
-            if v != v or v is None:
-                out.append(None)
-                continue
-            if seen >= n:
-                y += 2.0 / (n + 1) * (v - y)
-            else:
-                seen, total = seen + 1, total + v
-                y = total / n if seen == n else y
-            out.append(y if seen >= n else None)
-        state.update((seen, total, y))
-        yield pd.DataFrame({"symbol": rows["symbol"], "ts": rows["ts"], x: rows[x], "ema": out})
-
-    return bars.select("symbol", "ts", x).groupBy("symbol").applyInPandasWithState(
-        step, f"symbol string, ts timestamp, {x} double, ema double", "seen int, total double, y double", "append", GroupStateTimeout.NoTimeout
-    )
