@@ -18,6 +18,8 @@ words which begin with such a character are no meeting places.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .shared import _mix, small_batches, written
 
@@ -103,8 +105,6 @@ class Part(NamedTuple):
 @cache
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer of a file, once a process, on one thread."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     out = Tokenizer.from_file(path)
     out.no_truncation()
@@ -119,8 +119,87 @@ def _composes(c: str) -> bool:
     return not (o < 0x300 or 0x370 <= o < 0x483 or 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7A3)
 
 
+#: What a plain text may not hold: anything but printable ASCII, white space and Latin letters
+#: whose case and normal form are beyond doubt, and what may begin a special token.
+_FOREIGN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-įıĲ-ž]|<\|")
+#: The words of a plain text in lower case, as the file's splitter finds them.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Words whose ids a process remembers at most.
+WORDS = 400_000
+
+
+class Words:
+    """Ids of the words of plain texts, from the library once a word."""
+
+    def __init__(self, t: Tokenizer):
+        self.t, self.ids = t, {}
+        #: Only a file with this splitter and normaliser has plain texts.
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {o: "".join(x for x, _ in letters.pre_tokenize_str(chr(o))) for o in range(0x180)}
+        self.able = PLAIN_SPLIT in t.to_str() and '"pattern":{"Regex":"\\\\s+"},"content":" "' in t.to_str()
+
+    def of(self, text: str) -> list[bytes] | None:
+        """The packed ids of each word, or None where the text isn't plain."""
+        if not self.able or _FOREIGN.search(text):
+            return None
+        return self._packed(_WORD.findall(text.lower()))
+
+    def _packed(self, words: list[str]) -> list[bytes]:
+        known = self.ids
+        new = list(set(words).difference(known))
+        if new:
+            if len(known) + len(new) > WORDS:
+                known.clear()
+                new = list(set(words))
+            model = self.t.model
+            for word in new:
+                known[word] = np.array([k.id for k in model.tokenize(word.translate(self.letters))], dtype="<u4").tobytes()
+        return list(map(known.__getitem__, words))
+
+    def part(self, text: str) -> Part | None:
+        """Ids and places of a plain text. Those near its ends are enough: it is cut at
+        two spaces, where no word and nothing that composes is."""
+        if not self.able or _FOREIGN.search(text):
+            return None
+        low = text.lower()
+        head = low.find(" ", min(len(low), HEAD_CHARS))
+        head = len(low) if head < 0 else head
+        tail = max(head, low.rfind(" ", head, max(head, len(low) - 2 * MARGIN)))
+        found = list(_WORD.finditer(low, 0, head))
+        first = self._packed([m[0] for m in found])
+        middle, last = self._packed(_WORD.findall(low, head, tail)), self._packed(_WORD.findall(low, tail))
+        at = [m.start() for m in found[1:]]
+        before = np.cumsum([len(x) // 4 for x in first[:-1]]).tolist() if first else []
+        whole = b"".join((*first, *middle, *last))
+        if tail > head or head < len(low):
+            end = _WORD.search(low, tail)
+            if end and (not at or end.start() > at[-1]):
+                at.append(end.start())
+                before.append(len(whole) // 4 - sum(map(len, last)) // 4)
+        return Part(np.frombuffer(whole, dtype="<u4"), np.array([at, before], dtype=np.int32).T.reshape(-1, 2))
+
+
+PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"
+#: Characters at the beginning of a plain part in which all places are noted.
+HEAD_CHARS = 160
+
+
+@cache
+def _words(t: Tokenizer) -> Words:
+    return Words(t)
+
+
 def encoded(t: Tokenizer, texts: list[str]) -> list[Part]:
     """Each text on its own."""
+    words = _words(t)
+    out: list[Part | None] = [words.part(x) for x in texts]
+    others = [i for i, x in enumerate(out) if x is None]
+    for i, part in zip(others, _by_library(t, [texts[i] for i in others]), strict=True):
+        out[i] = part
+    return out
+
+
+def _by_library(t: Tokenizer, texts: list[str]) -> list[Part]:
     out = []
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         ids = np.array(e.ids, dtype=np.uint32)
@@ -197,8 +276,12 @@ def encode_text(t: Tokenizer, raw: bytes, ends: list[int], known: dict[int, Part
     """Ids of a text cut at ``ends``; ``known`` has the parts of some chunks by
     their number. The others are encoded here, neighbours together."""
     text = raw.decode()
-    if not known and len(raw) <= SEGMENT:
-        return np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    if not known:
+        plain = _words(t).of(text)
+        if plain is not None:
+            return np.frombuffer(b"".join(plain), dtype="<u4")
+        if len(raw) <= SEGMENT:
+            return np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     stops, parts, todo, at = [], [], [], 0
     begin = 0
     for k, end in enumerate(ends):
