@@ -38,7 +38,7 @@ LEAST, MEAN, MOST = 256, 1024, 8192
 #: end of a part that aren't trusted: more than the longest special token or contraction.
 WINDOW, MARGIN = 64, 16
 #: Places noted at the beginning of a shared chunk where another encoding may meet it.
-HEADS = 24
+HEADS = 12
 #: Bits of the map of shared chunks: 16 MB, whatever the corpus.
 MAP_BITS = 27
 #: Texts that take a copy of one shared chunk's ids from one row.
@@ -305,6 +305,11 @@ def encode_text(t: Tokenizer, raw: bytes, ends: list[int], known: dict[int, Part
 # Corpus
 
 
+def _narrow(t: Tokenizer) -> str:
+    """The type that holds every id of the vocabulary, for ids that are shuffled."""
+    return "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _pack(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
@@ -395,7 +400,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(names, b.schema.field("id").type), pa.array(raws, pa.binary()).cast(pa.string())], ["id", "text"])
 
     alone = rows.mapInArrow(in_place, f"id {kind}, ids binary")
-    held = written(rows.mapInArrow(others, f"id {kind}, text string").withColumn("row", F.expr("uuid()")))
+    held = written(rows.mapInArrow(others, f"id {kind}, text string").withColumn("row", F.expr("uuid()")), "zstd")
 
     def pieces(batches: Iterator[pa.RecordBatch], text: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -427,7 +432,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for p, text in zip(parts, b.column("chunk").to_pylist(), strict=True):
                 last = np.flatnonzero(p.places[:, 0] <= len(text) - MARGIN)[-1:]
                 places.append(np.concatenate([p.places[:HEADS], p.places[last[last >= HEADS]]]).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("copies"), pa.array([p.ids.astype("<u4").tobytes() for p in parts], pa.binary()), pa.array(places, pa.binary())], ["digest", "copies", "ids", "places"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("copies"), pa.array([p.ids.astype(_narrow(t)).tobytes() for p in parts], pa.binary()), pa.array(places, pa.binary())], ["digest", "copies", "ids", "places"])
 
     chunks = held.select("row", "text").mapInArrow(lambda b: pieces(b, True), "digest binary, chunk string")
     distinct = chunks.groupBy("digest").agg(F.first("chunk").alias("chunk"))
@@ -440,10 +445,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     each = held.select("row", "id", "text")
 
     def put(texts: pa.Table, given: pa.Table) -> pa.Table:
+        t = tokenizer(path)
         found: dict[int, Part] = {}
         for k, ids, places in zip(given["number"].to_pylist(), given["ids"], given["places"], strict=True):
-            found[k] = Part(np.frombuffer(ids.as_py(), dtype="<u4"), np.frombuffer(places.as_py(), dtype="<i4").reshape(-1, 2))
-        t = tokenizer(path)
+            found[k] = Part(np.frombuffer(ids.as_py(), dtype=_narrow(t)).astype("<u4"), np.frombuffer(places.as_py(), dtype="<i4").reshape(-1, 2))
         raws = [x.as_py() for x in texts["text"].cast(pa.large_binary())]
         ids = [_pack(encode_text(t, raw, cuts(raw), found)) for raw in raws]
         return pa.table([texts["id"], pa.array(ids, pa.binary())], ["id", "ids"])

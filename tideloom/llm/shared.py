@@ -32,12 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends
     there, and a lost executor costs a re-read rather than a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
