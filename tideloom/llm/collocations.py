@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .shared import small_batches, written
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Phrases that are Python strings at once.
+SLICE = 50_000
 #: Bits of the map of frequent phrases: 16 MB, whatever the corpus.
 MAP_BITS = 27
 #: Parts in which a language's phrases are ranked before the last ranking.
@@ -85,11 +87,16 @@ class Automaton:
 
     def keep(self, level: int, bits: np.ndarray) -> None:
         """Sequences of a level that aren't in the map end nothing longer."""
-        keys = self.phrases(level).to_pylist()
+        n = len(self.count[level])
+        if not n:
+            return
         head = self.lang + b"\0"
-        slot = np.fromiter((xxhash.xxh64_intdigest(head + x, 42) for x in keys), dtype=np.uint64, count=len(keys)) & np.uint64(8 * len(bits) - 1)
-        within = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        self.valid[level] = self.valid[level] & within[self.state[level]] if len(keys) else self.valid[level]
+        within = np.zeros(n, dtype=bool)
+        for at in range(0, n, SLICE):
+            keys = self.phrases(level, np.arange(at, min(n, at + SLICE))).to_pylist()
+            slot = np.fromiter((xxhash.xxh64_intdigest(head + x, 42) for x in keys), dtype=np.uint64, count=len(keys)) & np.uint64(8 * len(bits) - 1)
+            within[at : at + SLICE] = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        self.valid[level] = self.valid[level] & within[self.state[level]]
 
     def classes(self, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Sequences of ``low`` to ``high`` words by state: a sequence that ends
