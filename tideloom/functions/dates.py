@@ -42,6 +42,16 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: Sequence[str]
     """A row per trading day: date, opens, closes, next_day, and whether it is
     the last of its week, month or year. Weekdays count from Monday as 1."""
     days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}', INTERVAL 1 DAY)) AS date")
+    return _calendar(days, holidays, weekdays, open_at, close_at, early)
+
+
+def calendar_of(rows: DataFrame, ts: str = "ts", holidays: Sequence[str] = (), weekdays: Sequence[int] = (1, 2, 3, 4, 5), open_at: str = "09:30:00", close_at: str = "16:00:00", early: dict[str, str] | None = None) -> DataFrame:
+    """The calendar over all the time that a table's rows are of; without rows, none."""
+    ends = rows.agg(F.to_date(F.min(ts)).alias("a"), F.to_date(F.max(ts)).alias("b")).where("a is not null")
+    return _calendar(ends.select(F.explode(F.sequence("a", "b")).alias("date")), holidays, weekdays, open_at, close_at, early)
+
+
+def _calendar(days: DataFrame, holidays: Sequence[str], weekdays: Sequence[int], open_at: str, close_at: str, early: dict[str, str] | None) -> DataFrame:
     days = days.where(F.expr("weekday(date) + 1").isin(list(weekdays)))
     if holidays:
         days = days.where(~F.col("date").isin([dt.date.fromisoformat(h) for h in holidays]))

@@ -58,6 +58,33 @@ def resample(bars: DataFrame, unit: str, n: int = 1, right_edge: bool = False, s
     return out.select("symbol", F.col("_last" if right_edge else "_p").alias("ts"), "open", "high", "low", "close", "volume", "openinterest")
 
 
+def session_bars(ticks: DataFrame, calendar: DataFrame, symbol: str, ts: str, price: str, seconds: int | None = None, volume: str | None = None, ties: Sequence[str] = (), take_late: int = 0, edge: str = "right") -> DataFrame:
+    """Ticks to bars that keep to the sessions of a calendar (date, opens, closes):
+    a session is cut into bars of ``seconds`` from its opening, or is one bar; the last bar ends with the session, early
+    closes included. Ticks outside sessions belong nowhere, but those up to ``take_late`` seconds
+    after the close belong to the last bar, and one at the closing time is of the last bar.
+
+    A bar's time is the ``right`` edge of its slot, the ``left`` one, or that of its ``last`` tick;
+    ``session`` is its day and ``closes`` says whether the session ends with it. Ticks meet their session by
+    day, an equality join, not by a range of times; sessions don't cross midnight."""
+    at = F.col(ts)
+    days = calendar.select(F.col("date").alias("session"), F.unix_micros("opens").alias("_opens"), F.unix_micros("closes").alias("_closes"))
+    t = ticks.where(F.col(price).isNotNull()).withColumns({"session": F.to_date(at), "_at": F.unix_micros(at)}).join(days, "session")
+    t = t.where((F.col("_at") >= F.col("_opens")) & (F.col("_at") <= F.col("_closes") + take_late * 1_000_000))
+    width = F.lit(seconds * 1_000_000) if seconds else F.col("_closes") - F.col("_opens")
+    last = F.ceil((F.col("_closes") - F.col("_opens")) / width) - 1
+    t = t.withColumn("_slot", F.least(F.floor((F.col("_at") - F.col("_opens")) / width), last))
+    t = t.withColumns({"_from": F.col("_opens") + F.col("_slot") * width, "_to": F.least(F.col("_opens") + (F.col("_slot") + 1) * width, F.col("_closes"))})
+    keys = [F.col(symbol).alias("symbol"), F.col("session"), F.timestamp_micros("_from").alias("_left"), F.timestamp_micros("_to").alias("_right"), (F.col("_to") == F.col("_closes")).alias("closes")]
+    order = F.struct(ts, *ties)
+    out = t.groupBy(*keys).agg(
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
+        (F.sum(volume) if volume else F.count("*").cast("double")).alias("volume"), F.max(ts).alias("_last"),
+    )
+    when = {"right": "_right", "left": "_left", "last": "_last"}[edge]
+    return out.select("symbol", F.col(when).alias("ts"), "session", "closes", "open", "high", "low", "close", "volume")
+
+
 def _parts() -> list[Column]:
     return [F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.max_by("openinterest", "ts").alias("openinterest")]
 

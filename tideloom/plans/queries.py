@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines
 from ..operators import analyzers as an
-from ..operators import blocks, filters, folds, resample, signals, timers
+from ..operators import affine, blocks, filters, folds, resample, signals, timers
 from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources import readers
@@ -267,6 +267,9 @@ FOLDS: dict[str, tuple[Query, Callable[[Sql], str]]] = {
     "ma_ema_blocks": (on(days, lambda b: blocks.ema(b, out="v"), "v"), lambda s: s.ema("close", 30, "v").select("v")),
     "mom_rsi_blocks": (on(days, lambda b: blocks.rsi(b, out="v"), "v"), lambda s: _rsi(s, 14, 1)),
     "mom_macd_blocks": (on(days, lambda b: blocks.macd(b), "macd", "macd_signal", "macd_histo"), lambda s: _macd(s, "macd_")),
+    "ma_kama_blocks": (on(days, lambda b: affine.kama(b, out="v", rows=500), "v"), lambda s: rec.kama(s).select("v")),
+    "mom_laguerre_blocks": (on(days, lambda b: affine.laguerre(b, rows=500), "lagf", "lrsi"), rec.laguerre),
+    "trend_directional_blocks": (on(days, lambda b: affine.directional(b, rows=500), "adx", "adxr", "plus_di", "minus_di"), _directional),
     "ma_smma": (_ema_on("smma"), lambda s: s.smma("close", 30, "v").select("v")),
     "ma_dema": (_ema_on("dema"), lambda s: _dema(s).select("v")),
     "ma_tema": (_ema_on("tema"), lambda s: _tema(s).select("v")),

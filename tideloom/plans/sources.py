@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import readers
+from ..sources import charts, readers
 from ..sources.scratch import scratch
 from .bars import Query, days, hours, rounded
 from .sql import DAYS
@@ -106,10 +108,22 @@ def _times(s: SparkSession, d: str) -> DataFrame:
     return readers.between(hours(s, d), opens="09:30:00", closes="16:00:00")
 
 
+def _binary(whole: bool = False, **bounds) -> Query:
+    """Daily bars written as binary chart files, then read: whole, or in tasks of 200 records."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        at = scratch(s)
+        charts.write_charts(days(s, d), at)
+        return readers.chart_binary(s, f"{at}/*.fd") if whole else charts.read_charts(s, at, records=200, **bounds)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     made = {
         "src_generic_csv": _generic, "src_generic_csv_unix": _generic_unix, "src_bar_csv": _bar(False), "src_bar_csv_time": _bar(True), "src_yahoo_csv": _yahoo, "src_yahoo_csv_swapped": _yahoo_swapped,
         "src_mt4_csv": _mt4, "src_sierra_csv": _sierra, "src_chart_csv": _chart(False), "src_chart_csv_intraday": _chart(True), "src_quandl_csv": _quandl, "src_frame": _frame, "src_writer_csv": _written, "src_together": _together, "src_between_times": _times,
+        "src_chart_binary": _binary(whole=True), "src_chart_split": _binary(), "src_chart_split_between": _binary(start=dt.datetime(1994, 3, 1), end=dt.datetime(1996, 2, 29)),
     }
     return {k: (lambda s, d, q=q: rounded(q(s, d), *BAR)) for k, q in made.items()}
 
@@ -119,7 +133,9 @@ def oracle_sql() -> dict[str, str]:
     day = lambda where="true", **other: f"WITH {DAYS} SELECT symbol, ts, {cells(**other)} FROM bars WHERE {where}"
     hour = lambda where="true", **other: f"WITH {HOURS} SELECT symbol, ts, {cells(**other)} FROM bars WHERE {where}"
     half = {c: f"{c} / 2" for c in BAR}
+    four = {c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)" for c in BAR[:4]}
     return {
+        "src_chart_binary": day(**four), "src_chart_split": day(**four), "src_chart_split_between": day("ts BETWEEN '1994-03-01' AND '1996-02-29'", **four),
         "src_generic_csv": day(), "src_generic_csv_unix": day("ts BETWEEN '1996-01-01' AND '1997-12-31'"), "src_bar_csv": day(), "src_bar_csv_time": hour(),
         "src_yahoo_csv": day(**half | {"volume": "volume * 2"}), "src_yahoo_csv_swapped": day(**{c: f"round({c} / 2, 2)" for c in BAR[:4]}),
         "src_mt4_csv": hour(high="greatest(open, close, low)"), "src_sierra_csv": day("day(ts) % 3 <> 0"), "src_chart_csv": day(), "src_chart_csv_intraday": hour(), "src_quandl_csv": day(**half),

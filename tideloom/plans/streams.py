@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import folds, rolling
 from ..sources.scratch import scratch
 from ..streaming import bars as streams
-from ..streaming import state
+from ..streaming import replay, state
 from .bars import Query, days, hours, rounded, ticks
 from .sources import HOURS
 from .sql import Sql, agg, mean
@@ -112,6 +112,18 @@ def _timers(s: SparkSession, d: str) -> DataFrame:
     return near(out.where(F.col("symbol") != END))
 
 
+def _replay(s: SparkSession, d: str) -> DataFrame:
+    """Ticks in three parts of time; bars as they are after the last, complete ones and others."""
+    t = ticks(s, d)
+    at = scratch(s)
+    for lo, hi in ((0, 10), (10, 20), (20, 31)):
+        t.where((F.dayofmonth("ts") > lo) & (F.dayofmonth("ts") <= hi)).write.mode("append").parquet(f"{at}/in")
+        source = s.readStream.schema(t.schema).parquet(f"{at}/in")
+        replay.replay(replay.growing(source, "6 hours", "2 days", "event_id"), f"{at}/bars", f"{at}/state").awaitTermination()
+    out = replay.table(s, f"{at}/bars", "2 days")
+    return out.select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "complete")
+
+
 def queries() -> dict[str, Query]:
     windows = [(lambda: rolling.Mean(15), ["close"], ["sma"]), (lambda: rolling.Extreme(10), ["high"], ["highest"]), (lambda: rolling.Extreme(10, False), ["low"], ["lowest"])]
     averages = [(lambda: folds.Ema(30), ["close"], ["ema"])]
@@ -122,6 +134,7 @@ def queries() -> dict[str, Query]:
         "str_strategy": lambda s, d: near(bars_of(lambda b: state.traded(b, Crossing, RULES, late=LATE))(s, d).select("symbol", "ts", "cash", "value", "position")),
         "str_coupled": _coupled,
         "str_event_timers": _timers,
+        "str_replay": _replay,
     }
 
 
@@ -129,6 +142,7 @@ def oracle_sql() -> dict[str, str]:
     d = _doubling(8.0)
     return {
         "str_late": "SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, round(CAST(count(*) AS DOUBLE), 4) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)",
+        "str_replay": "WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL '6 hours', events.ts) AS ts, round(first(value ORDER BY events.ts, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY events.ts, event_id), 4) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events WHERE value IS NOT NULL GROUP BY event_type, time_bucket(INTERVAL '6 hours', events.ts)), m AS (SELECT max(ts) AS seen FROM events WHERE value IS NOT NULL) SELECT b.*, b.ts + INTERVAL 6 HOURS <= seen - INTERVAL 2 DAYS AS complete FROM b, m",
         "str_stateful": Sql().ema("close", 30, "ema").select("close", "ema"),
         "str_sliding": Sql().put(sma=mean("close", 15), highest=agg("max", "high", 10), lowest=agg("min", "low", 10)).select("close", "sma", "highest", "lowest"),
         "str_strategy": f"{d.text} SELECT symbol, ts, {_r(cash='cash', value='value', position='position')} FROM {d.table}",

@@ -71,8 +71,24 @@ def _zones(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", here.alias("here"), dates.to_utc(here, "America/New_York").alias("back"))
 
 
+HOLIDAYS, EARLY = ("2024-01-01", "2024-01-15"), {"2024-01-05": "13:00:00", "2024-01-19": "12:15:00"}
+
+
 def _calendar(s: SparkSession, d: str) -> DataFrame:
-    return dates.calendar(s, "2023-12-01", "2024-12-31", holidays=("2023-12-25", "2024-01-01", "2024-07-04", "2024-12-25"), early={"2024-07-03": "13:00:00"}).withColumns({c: F.col(c).cast("timestamp") for c in ("date", "next_day")})
+    """The trading days of the events' time, with the events of each."""
+    e = table(s, d, "events")
+    days_ = dates.calendar_of(e, holidays=HOLIDAYS, early=EARLY)
+    n = e.groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("events"))
+    return days_.join(n, "date", "left").withColumns({"events": F.coalesce("events", F.lit(0)), **{c: F.col(c).cast("timestamp") for c in ("date", "next_day")}})
+
+
+def _sessions(**options) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        e = table(s, d, "events")
+        b = resample.session_bars(e, dates.calendar_of(e, holidays=HOLIDAYS, early=EARLY), "event_type", "ts", "value", ties=("event_id",), **options)
+        return b.select("symbol", "ts", F.col("session").cast("timestamp").alias("session"), "closes", *[F.round(c, 4).alias(c) for c in BAR])
+
+    return run
 
 
 def queries() -> dict[str, Query]:
@@ -86,6 +102,8 @@ def queries() -> dict[str, Query]:
         "dat_numbers": _numbers,
         "dat_zones": _zones,
         "dat_calendar": _calendar,
+        "agg_resample_session": _sessions(seconds=5400, take_late=1800),
+        "agg_resample_session_whole": _sessions(edge="last"),
         "flt_session_fill": lambda s, d: filters.session_fill(hours(s, d), 3600, "09:00:00", "16:00:00").select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "filled"),
         "flt_fill_median": lambda s, d: filters.fill(days(s, d).where("dayofmonth(ts) > 3"), 86400, "median", 1.0).select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "filled"),
         "flt_repair": lambda s, d: filters.repair(_holes(days(s, d))).select("symbol", "ts", *[F.round(c, 4).alias(c) for c in BAR], "repaired"),
@@ -124,6 +142,16 @@ def _kinds_sql() -> str:
     return Sql().put(**{f'"{k}"': e for k, e in cells.items()}).select(*[f'"{k}"' for k in cells])
 
 
+CALENDAR = "WITH d AS (SELECT CAST(g AS DATE) AS date, CAST(g AS TIMESTAMP) + INTERVAL 570 MINUTES AS opens, CAST(g AS TIMESTAMP) + CASE CAST(g AS DATE) WHEN DATE '2024-01-05' THEN INTERVAL 780 MINUTES WHEN DATE '2024-01-19' THEN INTERVAL 735 MINUTES ELSE INTERVAL 960 MINUTES END AS closes FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS g FROM events) WHERE isodow(g) <= 5 AND CAST(g AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15'))"
+
+
+def _session_sql(width: str, late: int, when: str) -> str:
+    us = lambda x: f"(epoch_us(TIMESTAMP '2000-01-01' + ({x})) - epoch_us(TIMESTAMP '2000-01-01'))"
+    e = f"e AS (SELECT event_type AS symbol, events.ts AS came, event_id, value, date, opens, closes, {us(width)} AS w, epoch_us(closes) - epoch_us(opens) AS len, epoch_us(events.ts) - epoch_us(opens) AS x FROM events JOIN d ON CAST(events.ts AS DATE) = date WHERE value IS NOT NULL AND events.ts >= opens AND events.ts <= closes + to_seconds({late}))"
+    s = "s AS (SELECT *, least(x // w, (len + w - 1) // w - 1) AS k FROM e), t AS (SELECT *, least(opens + to_microseconds((k + 1) * w), closes) AS right_ FROM s)"
+    return f"{CALENDAR}, {e}, {s} SELECT symbol, {when} AS ts, CAST(date AS TIMESTAMP) AS session, right_ = closes AS closes, round(first(value ORDER BY came, event_id), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY came, event_id), 4) AS close, CAST(count(*) AS DOUBLE) AS volume FROM t s GROUP BY symbol, date, right_, closes"
+
+
 def oracle_sql() -> dict[str, str]:
     flag = lambda x: f"CASE WHEN {x} THEN 1.0 ELSE 0.0 END"
     zero = "WITH " + DAYS + ", z AS (SELECT *, CASE WHEN day(ts) = 1 THEN 0 ELSE open END AS x, CASE WHEN day(ts) <= 2 THEN 0 ELSE close END AS y FROM bars)"
@@ -140,7 +168,9 @@ def oracle_sql() -> dict[str, str]:
         "proj_reduce": Sql().put(total="(open * 2 + high) * 2 + low", top="greatest(open, close)", bottom="least(open, close)").select("total", "top", "bottom"),
         "dat_numbers": "WITH e AS (SELECT event_id, ts, epoch_us(ts) / 86400000000.0 AS num, (hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 86400.0 AS part FROM events) SELECT event_id, CAST(floor(num * 100000) AS BIGINT) AS num, true AS same, round(part, 8) AS part, strftime(ts, '%H:%M:%S') AS time FROM e",
         "dat_zones": "SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS here, CAST(ts AS TIMESTAMP) AS back FROM events",
-        "dat_calendar": "WITH d AS (SELECT CAST(g AS DATE) AS date FROM generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) t(g) WHERE isodow(g) <= 5 AND CAST(g AS DATE) NOT IN (DATE '2023-12-25', DATE '2024-01-01', DATE '2024-07-04', DATE '2024-12-25')), n AS (SELECT *, lead(date) OVER (ORDER BY date) AS next_day FROM d) SELECT CAST(date AS TIMESTAMP) AS date, date + INTERVAL 570 MINUTES AS opens, date + CASE WHEN date = DATE '2024-07-03' THEN INTERVAL 13 HOURS ELSE INTERVAL 16 HOURS END AS closes, CAST(next_day AS TIMESTAMP) AS next_day, coalesce(date_trunc('week', date) <> date_trunc('week', next_day), true) AS last_of_week, coalesce(date_trunc('month', date) <> date_trunc('month', next_day), true) AS last_of_month, coalesce(year(date) <> year(next_day), true) AS last_of_year FROM n",
+        "dat_calendar": f"{CALENDAR}, n AS (SELECT *, lead(date) OVER (ORDER BY date) AS next_day FROM d), c AS (SELECT CAST(ts AS DATE) AS date, count(*) AS events FROM events GROUP BY 1) SELECT CAST(date AS TIMESTAMP) AS date, opens, closes, CAST(next_day AS TIMESTAMP) AS next_day, coalesce(date_trunc('week', date) <> date_trunc('week', next_day), true) AS last_of_week, coalesce(date_trunc('month', date) <> date_trunc('month', next_day), true) AS last_of_month, coalesce(year(date) <> year(next_day), true) AS last_of_year, coalesce(events, 0) AS events FROM n LEFT JOIN c USING (date)",
+        "agg_resample_session": _session_sql("INTERVAL 90 MINUTES", 1800, "s.right_"),
+        "agg_resample_session_whole": _session_sql("closes - opens", 0, "max(came)"),
         "flt_session_fill": f"WITH {HOURS}, g AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS d FROM bars), grid AS (SELECT symbol, CAST(d AS TIMESTAMP) + to_hours(h) AS ts FROM g, range(9, 17) t(h)), f AS (SELECT symbol, ts, open, high, low, close, volume FROM grid FULL JOIN bars USING (symbol, ts)), c AS (SELECT *, last_value(close IGNORE NULLS) {SO_FAR} AS c FROM f) SELECT symbol, ts, {', '.join(f'round(coalesce({x}, c), 4) AS {x}' for x in BAR[:4])}, round(coalesce(volume, 0), 4) AS volume, close IS NULL AS filled FROM c WHERE c IS NOT NULL",
         "flt_fill_median": f"WITH {DAYS}, b AS (SELECT *, {lag('ts', -1)} AS nxt, (open + high + low + close - greatest(open, high, low, close) - least(open, high, low, close)) / 2 AS m FROM bars WHERE day(ts) > 3), n AS (SELECT *, CASE WHEN nxt - ts > INTERVAL 36 HOURS THEN date_diff('day', ts, nxt) - 1 ELSE 0 END AS n FROM b), e AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n) SELECT symbol, ts + to_days(CAST(i AS INTEGER)) AS ts, {', '.join(f'round(CASE WHEN i > 0 THEN m ELSE {c} END, 4) AS {c}' for c in BAR[:4])}, round(CASE WHEN i > 0 THEN 1 ELSE volume END, 4) AS volume, i > 0 AS filled FROM e",
         "flt_repair": f"WITH {DAYS}, h AS (SELECT * REPLACE (CASE WHEN day(ts) % 7 = 3 THEN NULL ELSE close END AS close, CASE WHEN day(ts) % 5 = 2 THEN NULL ELSE open END AS open) FROM bars), k AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM h) SELECT symbol, ts, round(coalesce(open, known), 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(coalesce(close, known, 0), 4) AS close, round(volume, 4) AS volume, open IS NULL OR close IS NULL AS repaired FROM k",
