@@ -133,3 +133,16 @@ def test_sweep_of_a_hundred_lengths(spark):
     assert plan.count("avg(") <= 2 * 100 and out.count() == 100
     one = optimize.backtest(bars, 20).orderBy(F.desc("ts")).first()["value"]
     assert out.where("period = 20").first()["value"] == pytest.approx(one)
+
+
+def test_signed_sizers_slippage_rates_and_forex():
+    assert [broker.reversing(0, 1, p, s) for p, s in ((0, 2), (5, 2), (5, -2), (-5, 2), (-5, -2))] == [2, 2, -4, 4, -2]
+    assert [broker.to_target(0, 1, p, s, 5) for p, s in ((0, 10), (3, 10), (3, -10))] == [2, -1, -5] and broker.to_target(0, 1, 0, 1, 5) == 1
+    r = broker.Rules(slip_percent=0.1, slip_fixed=5.0)
+    assert r.slipped(10, True, 12, 9) == 11 and r.slipped(10, False, 12, 9.5) == 9.5
+    assert broker.Rules(slip_fixed=5.0, slip_match=False).slipped(10, True, 12, 9) == 15 and broker.Rules().slipped(10, True, 1, 1) == 10
+    c = broker.exchange("kraken", maximum=3.0)
+    assert c.fee(2, 100, maker=True) == pytest.approx(0.32) and c.fee(-2, 100) == pytest.approx(0.52) and c.fee(100, 100) == 3.0
+    assert broker.Commission(0.01, per_share=True).fee(-7, 50) == pytest.approx(0.07)
+    f = broker.forex(2.0, 1000.0, 20.0, 10.0)
+    assert f.held == f.cost(1, 5) == 50.0 and f.fee(3, 5) == 6.0

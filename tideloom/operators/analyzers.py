@@ -269,10 +269,18 @@ def trade_markers(bars: DataFrame, trades: DataFrame, by=("symbol",)) -> DataFra
     return bars.select(*by, "ts", "close").join(t, [*by, "ts"], "left")
 
 
-def fund(equity: DataFrame, start: float = 100.0, by=("symbol",), value: str = "value") -> DataFrame:
-    """Observer: fund value and shares, the shares fixed at the first value."""
-    first = F.first(value).over(_w(by))
-    return equity.select(*by, "ts", (ratio(F.col(value), first) * start).alias("fund_value"), (first / start).alias("fund_shares"))
+def fund(equity: DataFrame, start: float = 100.0, by=("symbol",), value: str = "value", flow: str | None = None) -> DataFrame:
+    """Observer: fund value and shares. Without ``flow`` the shares are fixed at the
+    first value; else that column is cash paid in (out if negative) at a row, which
+    buys shares at the fund value and leaves that alone."""
+    w = _w(by)
+    first = F.first(value).over(w)
+    if flow is None:
+        return equity.select(*by, "ts", (ratio(F.col(value), first) * start).alias("fund_value"), (first / start).alias("fund_shares"))
+    grown = F.coalesce(ratio(F.col(value) - F.coalesce(flow, F.lit(0.0)), F.lag(value).over(w)), F.lit(1.0))
+    e = equity.withColumn("_g", F.log(grown))
+    now = F.exp(F.sum("_g").over(w.rowsBetween(W.unboundedPreceding, 0))) * start
+    return e.select(*by, "ts", now.alias("fund_value"), ratio(F.col(value), now).alias("fund_shares"))
 
 
 def bundle(result: DataFrame, by=("symbol",)) -> dict[str, DataFrame]:

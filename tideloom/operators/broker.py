@@ -34,15 +34,28 @@ class Commission:
 
     #: Tiers of traded volume, maker and taker rate, in place of ``commission``.
     tiers: tuple[tuple[float, float, float], ...] = ()
+    #: ``commission`` a share, whatever its price.
+    per_share: bool = False
+    #: Percent of the value that orders with a limit (makers) and the others (takers) pay, in place of ``commission``.
+    rates: tuple[float, float] | None = None
+    maximum: float | None = None
+
+    @property
+    def held(self) -> float:
+        """Cash that a contract holds."""
+        return self.margin / self.leverage
 
     def fee(self, size: float, price: float, traded: float = 0.0, maker: bool = False) -> float:
         if self.tiers:
             fee = crypto_fee(size * price, traded, maker, self.tiers)
+        elif self.rates:
+            fee = abs(size * price) * self.rates[0 if maker else 1] / 100
         elif self.fixed:
             fee = self.commission
         else:
-            fee = abs(size) * self.commission * (price if self.stock else 1.0)
-        return max(fee, self.minimum) if size else 0.0
+            fee = abs(size) * self.commission * (price if self.stock and not self.per_share else 1.0)
+        fee = max(fee, self.minimum)
+        return (fee if self.maximum is None else min(fee, self.maximum)) if size else 0.0
 
     def cost(self, size: float, price: float) -> float:
         """Cash that opening takes."""
@@ -56,6 +69,20 @@ class Commission:
 CRYPTO_TIERS = ((0, 0.0010, 0.0010), (10_000, 0.0009, 0.0010), (50_000, 0.0008, 0.0010), (100_000, 0.0007, 0.0009), (500_000, 0.0006, 0.0008))
 
 
+#: Published maker and taker percents of exchanges. Fixed values.
+EXCHANGES = {"binance_spot": (0.1, 0.1), "binance_futures": (0.02, 0.04), "coinbase_pro": (0.5, 0.5), "kraken": (0.16, 0.26), "ftx": (0.02, 0.07)}
+
+
+def exchange(name: str, **more: float) -> Commission:
+    """What an exchange takes of spot and crypto orders."""
+    return Commission(rates=EXCHANGES[name], **more)
+
+
+def forex(commission: float, margin: float, leverage: float, mult: float = 1.0) -> Commission:
+    """Contracts of which ``margin`` over ``leverage`` is held each."""
+    return Commission(commission, margin, mult, leverage=leverage)
+
+
 def crypto_fee(value: float, traded: float = 0.0, maker: bool = False, tiers=CRYPTO_TIERS) -> float:
     rate = [t for t in tiers if traded >= t[0]][-1][1 if maker else 2]
     return abs(value) * rate
@@ -86,11 +113,18 @@ def stake(cash: float, price: float, position: float, size: float = 1.0, tranche
 
 
 def reverser(cash: float, price: float, position: float, size: float = 1.0) -> float:
+    """Twice the size when anything is held."""
     return size * (2 if position else 1)
 
 
-def to_target(cash: float, price: float, position: float, size: float = 1.0) -> float:
-    return size - position
+def reversing(cash: float, price: float, position: float, size: float = 1.0) -> float:
+    """Twice a signed size where it goes against what is held, else the size."""
+    return size * (2 if position * size < 0 else 1)
+
+
+def to_target(cash: float, price: float, position: float, size: float = 1.0, tranches: int = 1) -> float:
+    """Signed: from what is held to a tranche of the size, long or short; needs ``Rules(signed=True)``."""
+    return math.copysign(max(1.0, math.floor(abs(size) / tranches)), size) - position
 
 
 def percent(cash: float, price: float, position: float, share: float = 20.0, whole: bool = False) -> float:
@@ -150,12 +184,24 @@ class Rules:
     fill_percent: float | None = None
     #: (remaining, volume, high, low, price) to how much a bar can fill.
     filler: Callable[[float, float, float, float, float], float] | None = None
-    #: (cash, price, position, size asked for) to how much to trade; the sign of the order stays.
+    #: (cash, price, position, signed size asked for) to how much to trade; the order keeps its side, unless what comes is ``signed``.
     sizer: Callable[[float, float, float, float], float] | None = None
+    signed: bool = False
+    #: A slipped price stays within the bar.
+    slip_match: bool = True
     #: A stop with a limit executes at once at its limit, without a trigger.
     instant_stop_limit: bool = False
 
 
+    def slipped(self, at: float, buy: bool, high: float, low: float) -> float:
+        """The price after slippage: by percent if there is one, else by a fixed amount."""
+        gap = at * self.slip_percent if self.slip_percent > 0 else self.slip_fixed
+        if not gap:
+            return at
+        at = at + gap if buy else at - gap
+        return max(low, min(high, at)) if self.slip_match else at
+
+
 def matched(o: Order, high: float, low: float, open_: float, close: float, instant: bool = True) -> float | None:
     """Price at which a bar executes an order, or None. Limits and stops
     execute at their own price. A stop with a limit waits for its stop, unless
@@ -212,7 +258,7 @@ class Account:
 
     def worth(self, close: float) -> float:
         c, p = self.r.commission, self.position
-        return p.size * close if c.stock else abs(p.size) * c.margin
+        return p.size * close if c.stock else abs(p.size) * c.held
 
     def _execute(self, ts, o: Order, size: float, price: float, fills: list, trades: list) -> None:
         c, p = self.r.commission, self.position
@@ -224,7 +270,7 @@ class Account:
         if c.stock:
             self.book.cash -= size * price
         else:
-            self.book.cash -= (abs(opened) - abs(closed)) * c.margin
+            self.book.cash -= (abs(opened) - abs(closed)) * c.held
             self.book.cash += c.pnl(-closed, self.mark, price) if closed else 0.0
             if opened and not closed and p.size != opened:
                 self.book.cash += c.pnl(p.size - opened, self.mark, price)
@@ -258,9 +304,7 @@ class Account:
             if at is None:
                 still.append(x)
                 continue
-            slip = at * self.r.slip_percent + self.r.slip_fixed
-            if slip and x.kind == "Market":
-                at = min(at + slip, h) if x.left > 0 else max(at - slip, lo)
+            at = self.r.slipped(at, x.left > 0, h, lo)
             size = x.left
             if self.r.fill_percent is not None:
                 size = math.copysign(bar_percent(abs(x.left), volume or 0.0, self.r.fill_percent), x.left)
@@ -281,7 +325,8 @@ class Account:
             held = self.position.size
             go = order
             if self.r.sizer is not None:
-                go = math.copysign(abs(self.r.sizer(self.book.cash, c, held, abs(order))), order)
+                go = self.r.sizer(self.book.cash, c, held, order)
+                go = go if self.r.signed else math.copysign(abs(go), order)
             if self.r.mode == "long":
                 busy = held + sum(x.left for x in self.pending)
                 go = go if order > 0 and busy == 0 else (-held if order < 0 and held > 0 and busy == held else 0.0)

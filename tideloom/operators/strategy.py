@@ -116,8 +116,7 @@ class Desk(Account):
             if at is None:
                 x.follow(c)
                 continue
-            if x.kind == "Market" and (slip := at * self.r.slip_percent + self.r.slip_fixed):
-                at = min(at + slip, h) if x.left > 0 else max(at - slip, lo)
+            at = self.r.slipped(at, x.left > 0, h, lo)
             size = x.left
             if self.r.fill_percent is not None:
                 size = math.copysign(bar_percent(abs(x.left), volume or 0.0, self.r.fill_percent), x.left)
@@ -232,7 +231,7 @@ class Session:
         if size is not None or self.rules.sizer is None:
             return abs(1.0 if size is None else size)
         feed = self.now if feed is None else feed
-        return abs(self.rules.sizer(self.book.cash, self.close[feed], self.desk(feed).position.size, 1.0))
+        return abs(self.rules.sizer(self.book.cash, self.close[feed], self.desk(feed).position.size, side))
 
     def submit(self, size: float, kind: str, price: float | None, limit: float | None, feed: Any, more: dict) -> Ticket:
         feed = self.now if feed is None else feed

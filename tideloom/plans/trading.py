@@ -45,14 +45,14 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = ("Market", "Close", "Limit", "Stop", "StopLimit")
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, rules: Rules = Rules(cash=RICH, commission=Commission(FEE))) -> DataFrame:
     """Every tenth bar an order to buy one, of each kind in turn."""
     b = _marked(spark, sf_dir)
     turn = F.pmod(F.floor(F.col("k") / 10), F.lit(5))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (turn + 1).cast("int"))
     price = F.when(turn == 2, F.col("close") * 0.97).when(turn == 3, F.col("close") * 1.03).when(turn == 4, F.col("close") * 1.02)
     b = b.withColumns({"order": F.when(F.col("k") % 10 == 1, 1.0), "order_type": F.when(F.col("k") % 10 == 1, kind), "order_price": price, "order_limit": F.when(turn == 4, F.col("close") * 1.04)})
-    return near(broker.fills(broker.run(b, Rules(cash=RICH, commission=Commission(FEE)))).drop("pnl"))
+    return near(broker.fills(broker.run(b, rules)).drop("pnl"))
 
 
 def _cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,26 @@ def _with_rules(rules: Rules, *columns: str) -> Query:
     return lambda s, d: near(optimize.backtest(days(s, d), 15, rules).select("symbol", "ts", *columns))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings sold short too, twice the stake where it reverses."""
+    rules = Rules(cash=RICH, sizer=lambda cash, price, position, size: broker.reversing(cash, price, position, 3 * size))
+    return near(optimize.backtest(days(spark, sf_dir), 15, rules).select("symbol", "ts", "cash", "value", "position"))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth bar asks for a tranche of ten, long and short in turn, and once more in vain."""
+    b = _marked(spark, sf_dir)
+    b = b.withColumn("order", F.when(F.col("k") % 10 == 1, 1.0).when(F.col("k") % 10 == 4, 1.0).when(F.col("k") % 10 == 6, -1.0))
+    rules = Rules(cash=RICH, signed=True, sizer=lambda cash, price, position, size: broker.to_target(cash, price, position, 10 * size, 5))
+    return near(broker.run(b, rules).select("symbol", "ts", "cash", "value", "position"))
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash is paid in every twentieth day."""
+    e = _marked(spark, sf_dir).withColumns({"flow": F.when(F.col("k") % 20 == 0, 50.0), "value": F.col("close") + 50 * F.floor(F.col("k") / 20)})
+    return near(an.fund(e, flow="flow"), 3)
+
+
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = optimize.mean_cross_orders(days(spark, sf_dir), 15)
     return broker.run_portfolio(orders, LONG)
@@ -107,6 +127,15 @@ def queries() -> dict[str, Query]:
         "exec_cancel": _cancelled,
         "exec_fillers": _fillers,
         "exec_slippage": lambda s, d: near(broker.fills(optimize.backtest(days(s, d), 15, Rules(mode="long", slip_percent=0.01)))),
+        "exec_slip_fixed": lambda s, d: near(broker.fills(optimize.backtest(days(s, d), 15, Rules(mode="long", slip_fixed=0.5)))),
+        "exec_slip_out": lambda s, d: near(broker.fills(optimize.backtest(days(s, d), 15, Rules(mode="long", slip_percent=0.01, slip_fixed=9.0, slip_match=False)))),
+        "exec_slip_kinds": lambda s, d: _orders(s, d, Rules(cash=RICH, commission=Commission(FEE), slip_percent=0.01)),
+        "exec_maker_taker": lambda s, d: _orders(s, d, Rules(cash=RICH, commission=broker.exchange("kraken", maximum=0.12))),
+        "exec_per_share": _with_rules(Rules(cash=RICH, mode="long", commission=Commission(0.01, per_share=True)), "cash", "value"),
+        "exec_forex": _with_rules(Rules(cash=RICH, mode="long", commission=broker.forex(2.0, 1000.0, 20.0, 10.0)), "cash", "value", "position"),
+        "exec_sizer_reverser": _turns,
+        "exec_sizer_target": _targets,
+        "obs_fund_flows": _flows,
         "exec_futures": _with_rules(Rules(cash=RICH, mode="long", commission=Commission(2.0, 1000.0, 10.0)), "cash", "value", "position"),
         "exec_fixed_fee": _with_rules(Rules(cash=RICH, mode="long", commission=Commission(5.0, fixed=True)), "cash", "value"),
         "exec_least_fee": _with_rules(Rules(cash=RICH, mode="long", commission=Commission(FEE, minimum=0.05)), "cash", "value"),
@@ -181,7 +210,7 @@ def _sweep_sql(combinations: list[tuple[int, int]], names: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _orders_sql() -> str:
+def _orders_sql(cost: str = f'price * {FEE}', slip: str = '{}') -> str:
     return f"""WITH {DAYS}, b AS MATERIALIZED (SELECT *, row_number() {ORDER} AS k FROM bars), o AS (
   SELECT symbol, k, close, (k // 10) % 5 AS turn, CAST(row_number() OVER (PARTITION BY symbol ORDER BY k) AS INTEGER) AS id FROM b WHERE k % 10 = 1
 ), hit AS (
@@ -191,9 +220,9 @@ def _orders_sql() -> str:
   SELECT h.symbol, h.id, h.turn, h.close, CASE WHEN h.turn < 4 OR b.close <= h.close * 1.04 THEN h.k ELSE (SELECT min(n.k) FROM b n WHERE n.symbol = h.symbol AND n.k > h.k AND n.low <= h.close * 1.04) END AS k
   FROM hit h JOIN b ON b.symbol = h.symbol AND b.k = h.k
 ), told AS (
-  SELECT f.symbol, b.ts, f.id, CASE f.turn WHEN 0 THEN b.open WHEN 1 THEN b.close WHEN 2 THEN f.close * 0.97 WHEN 3 THEN f.close * 1.03 ELSE f.close * 1.04 END AS price FROM fill f JOIN b ON b.symbol = f.symbol AND b.k = f.k
+  SELECT f.symbol, b.ts, f.id, CASE f.turn WHEN 0 THEN b.open WHEN 1 THEN b.close WHEN 2 THEN f.close * 0.97 WHEN 3 THEN f.close * 1.03 ELSE f.close * 1.04 END AS price, f.turn, b.high, b.low FROM fill f JOIN b ON b.symbol = f.symbol AND b.k = f.k
 )
-SELECT symbol, ts, id AS "order", 1.0::DOUBLE AS size, {_r(price='price', fee=f'price * {FEE}')} FROM told"""
+SELECT symbol, ts, id AS "order", 1.0::DOUBLE AS size, {_r(price='price', fee=cost)} FROM (SELECT * REPLACE ({slip.format('price')} AS price) FROM told)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -203,6 +232,14 @@ def oracle_sql() -> dict[str, str]:
     future, futures = _tested(cash=0, fee="0")
     fixed, fixes = _tested(cash=RICH, fee="5.0")
     least, leasts = _tested(cash=RICH, fee=f"greatest({FEE} * px, 0.05)")
+    fixed_slip, fixed_slips = _tested(price="CASE WHEN size > 0 THEN least(open + 0.5, high) ELSE greatest(open - 0.5, low) END", fee="0")
+    out, outs = _tested(price="CASE WHEN size > 0 THEN open * 1.01 ELSE open * 0.99 END", fee="0")
+    share, shares = _tested(cash=RICH, fee="0.01 * abs(size)")
+    turn = cross(Sql().put(_m=mean("close", 15)), "close", "_m", "x").put(_c=f"count(nullif(x, 0)) {SO_FAR}").put(_o="CASE WHEN x <> 0 THEN x * CASE WHEN _c = 1 THEN 3 ELSE 6 END ELSE 0 END")
+    turn = _run(turn.put(size=f"coalesce({lag('_o')}, 0)", _k=f"row_number() {ORDER}"), RICH, fee="0")
+    aim = Sql().put(_k=f"row_number() {ORDER}").put(_o="CASE WHEN _k = 1 THEN 2 WHEN _k % 10 = 1 THEN 4 WHEN _k % 10 = 6 THEN -4 ELSE 0 END")
+    aim = _run(aim.put(size=f"coalesce({lag('_o')}, 0)"), RICH, fee="0")
+    filled = lambda text, rows: f"{text} SELECT symbol, ts, CAST(_order AS INTEGER) AS \"order\", {_r(size='size', price='px', fee='0.0', pnl='CASE WHEN size < 0 THEN px - entry ELSE 0 END')} FROM {rows} WHERE size <> 0"
     staked, stakes = _tested(cash=RICH, fee="0")
     tier = "".join(f"WHEN traded >= {low} THEN {taker} " for low, _, taker in reversed(broker.CRYPTO_TIERS))
     book = f"{text}, w AS (SELECT *, position * close AS worth FROM {rows}), dw AS (SELECT *, worth - coalesce(lag(worth) {ORDER}, 0) AS moved FROM w), p AS (SELECT symbol, ts, position, 10000 - sum(size * px + fee) OVER o AS cash, sum(moved) OVER o AS worth FROM dw WINDOW o AS (ORDER BY ts, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), g AS (SELECT *, cash + worth AS value, worth / (cash + worth) AS gross FROM p)"
@@ -218,6 +255,15 @@ def oracle_sql() -> dict[str, str]:
         "exec_fillers": f"WITH {DAYS}, b AS (SELECT *, row_number() {ORDER} AS k FROM bars), c AS (SELECT symbol, ts, k, open, unnest([{{'f': 'fixed', 'n': least(volume, 7)}}, {{'f': 'percent', 'n': floor(volume * 10 / 100)}}, {{'f': 'points', 'n': floor(floor(volume * 50 / 100) / greatest(1, round_even((high - low) / 1.0, 0) + 1))}}]) AS x FROM b WHERE k > 1), d AS (SELECT *, least(x.n, 5000 - coalesce(sum(x.n) OVER (PARTITION BY symbol, x.f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS n FROM c) SELECT symbol, ts, x.f AS filler, {_r(size='n', price='open')} FROM d WHERE n > 0",
         "exec_slippage": f"{slip} SELECT symbol, ts, CAST(_order AS INTEGER) AS \"order\", {_r(size='size', price='px', fee='0.0', pnl='CASE WHEN size < 0 THEN px - entry ELSE 0 END')} FROM {slipped} WHERE size <> 0",
         "exec_futures": f"{future}, f AS (SELECT symbol, ts, position, {RICH} - 2 * _order - 1000 * position + 10 * (cash + position * close) AS cash FROM {futures}) SELECT symbol, ts, {_r(cash='cash', value='cash + 1000 * position', position='position')} FROM f",
+        "exec_slip_fixed": filled(fixed_slip, fixed_slips),
+        "exec_slip_out": filled(out, outs),
+        "exec_slip_kinds": _orders_sql(slip="greatest(low, least({} * 1.01, high))"),
+        "exec_maker_taker": _orders_sql("least(price * CASE WHEN turn IN (2, 4) THEN 0.16 ELSE 0.26 END / 100, 0.12)"),
+        "exec_per_share": f"{share} SELECT symbol, ts, {_r(cash='cash', value='value')} FROM {shares}",
+        "exec_forex": f"{future}, f AS (SELECT symbol, ts, position, {RICH} - 2 * _order - 50 * position + 10 * (cash + position * close) AS cash FROM {futures}) SELECT symbol, ts, {_r(cash='cash', value='cash + 50 * position', position='position')} FROM f",
+        "exec_sizer_reverser": f"{turn.text} SELECT symbol, ts, {_r(cash='cash', value='value', position='position')} FROM {turn.table}",
+        "exec_sizer_target": f"{aim.text} SELECT symbol, ts, {_r(cash='cash', value='value', position='position')} FROM {aim.table}",
+        "obs_fund_flows": f"WITH {DAYS}, k AS (SELECT *, row_number() {ORDER} AS k FROM bars), v AS (SELECT symbol, ts, close + 50 * (k // 20) AS value, CASE WHEN k % 20 = 0 THEN 50 ELSE 0 END AS flow FROM k), g AS (SELECT *, coalesce((value - flow) / {lag('value')}, 1) AS g FROM v), n AS (SELECT *, 100 * exp(sum(ln(g)) {SO_FAR}) AS now FROM g) SELECT symbol, ts, round(now, 3) + 0.0 AS fund_value, round(value / now, 3) + 0.0 AS fund_shares FROM n",
         "exec_fixed_fee": f"{fixed} SELECT symbol, ts, {_r(cash='cash', value='value')} FROM {fixes}",
         "exec_least_fee": f"{least} SELECT symbol, ts, {_r(cash='cash', value='value')} FROM {leasts}",
         "exec_tiers": f"{text}, v AS (SELECT symbol, ts, _order, size * 100 AS size, px, coalesce(sum(abs(size * 100 * px)) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS traded FROM {rows} WHERE size <> 0) SELECT symbol, ts, CAST(_order AS INTEGER) AS \"order\", {_r(size='size', price='px', fee=f'abs(size * px) * CASE {tier} END')} FROM v",
