@@ -2,7 +2,7 @@
 
 import random
 
-from tideloom.llm.decontaminate import best_end, budget, leaks, normal, _masks
+from tideloom.llm.decontaminate import _anchored, _masks, best_end, budget, leaks, normal
 
 
 def distance(pattern, text):
@@ -68,7 +68,7 @@ def test_empty(spark):
 def test_short_items(spark):
     docs = [(1, "so the answer here is 42 ok and more"), (2, "So the Answer  here is 421"), (3, "an art of a party"), (4, "art"), (5, "the answre here is 42"), (6, "(art)")]
     items = [(1, "the answer here is 42"), (2, "the answer here is 42 ok"), (3, "art"), (4, "x"), (5, None), (6, " ")]
-    got = {(x["id"], x["item"]): (x["distance"], x["start"], x["end"]) for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    got = {(x["id"], x["item"]): (x["distance"], x["start"], x["end"]) for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), whole_words=True).collect()}
     assert got.pop((2, 1))[0] == 1  # one digit more, and the word ends there
     assert got == {(1, 1): (0, 3, 24), (1, 2): (0, 3, 27), (3, 3): (0, 3, 6), (4, 3): (0, 0, 3), (5, 1): (2, 0, 21), (6, 3): (0, 1, 4)}
 
@@ -89,7 +89,7 @@ def test_short_items_against_all_substrings(spark):
                         d = whole_distance(item, t[a:b])
                         if d <= budget(len(item)):
                             want[i, n] = min(want.get((i, n), d), d)
-    got = {(x["id"], x["item"]): x["distance"] for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    got = {(x["id"], x["item"]): x["distance"] for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), whole_words=True).collect()}
     assert got == want and len(want) > 40
 
 
@@ -100,3 +100,26 @@ def whole_distance(a, b):
         for j, c in enumerate(b, 1):
             row.append(min(last[j - 1] + (p != c), last[j] + 1, row[-1] + 1))
     return row[-1]
+
+
+def test_anchored_distance():
+    r = random.Random(4)
+    for _ in range(200):
+        p = "".join(r.choice("ab c") for _ in range(r.randrange(1, 70)))
+        t = "".join(r.choice("ab c") for _ in range(r.randrange(0, 60)))
+        assert list(_anchored(p, _masks(p), t)) == [whole_distance(p, t[:i]) for i in range(1, len(t) + 1)]
+
+
+def test_items_of_23_and_24_characters_behave_alike(spark):
+    items = [(n, "abcdefghij klmnopqrstuvwxyz"[:n]) for n in (9, 23, 24, 27)]
+    docs = [(1, "zz" + items[3][1] + "zz"), (2, "zz " + items[3][1] + ", zz"), (3, "x abcdefghij klmnopqrstuv y")]
+    run = lambda **how: {(x["id"], x["item"]) for x in leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), **how).collect()}
+    assert run() == {(d, n) for d in (1, 2) for n in (9, 23, 24, 27)} | {(3, 9), (3, 23), (3, 24)}
+    assert {n for d, n in run(whole_words=True) if d == 1} == set() and {(2, 27), (3, 23), (3, 24)} <= run(whole_words=True)
+
+
+def test_a_text_full_of_piece_hits(spark):
+    item = "abc abd abe abf abg abh abi abj abk abl"
+    docs = [(1, "abc abd " * 20_000), (2, "abc abd " * 3000 + item)]
+    got = {(x["id"], x["distance"]) for x in leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}
+    assert got == {(2, 0)}

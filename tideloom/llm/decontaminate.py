@@ -26,9 +26,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small_batches
 
-#: Items below this many characters must match whole words of the document, so
-#: that they aren't found inside of longer ones by chance.
-SHORT_CHARS = 24
 #: Characters of items that are sent out at a time; more items go in blocks. A
 #: worker needs about 200 bytes a character for the pieces and their masks.
 BLOCK_CHARS = 500_000
@@ -107,6 +104,27 @@ def _within(pattern: str, masks: dict[str, int], window: str, most: int) -> bool
     return False
 
 
+def _anchored(pattern: str, masks: dict[str, int], window: str) -> Iterator[int]:
+    """Edit distance of ``pattern`` to each head of ``window``, by the same bit
+    vectors: a first row that grows by one a character keeps the start in its place."""
+    m = len(pattern)
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    get = masks.get
+    for c in window:
+        eq = get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv) & full
+        mh = pv & xh
+        score += 1 if ph & high else -1 if mh & high else 0
+        ph = (ph << 1 | 1) & full
+        mh = mh << 1 & full
+        pv = mh | ~(xv | ph) & full
+        mv = ph & xv
+        yield score
+
+
 @dataclass
 class _Node:
     start: int  # in the item
@@ -120,7 +138,8 @@ class _Node:
 class Matcher:
     """All items of one block, ready to be searched for in texts."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole_words: bool = False):
+        self.whole_words = whole_words
         self.items = [(i, t) for i, t in items if t]
         self.auto = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, _Node]]] = {}
@@ -152,7 +171,7 @@ class Matcher:
         if not self.items:
             return []
         ends: dict[int, list[tuple[int, int]]] = {}
-        short: dict[int, tuple[int, int, int]] = {}
+        whole: dict[int, tuple[int, int, int]] = {}
         seen: set[tuple[int, int]] = set()
         for last, (size, owners) in self.auto.iter(text):
             at = last + 1 - size
@@ -173,15 +192,15 @@ class Matcher:
                     continue
                 seen.add((n, base))
                 root = self.roots[n]
-                if root.end < SHORT_CHARS:
+                if self.whole_words:
                     found = _whole_words(root, text, base)
                     if found:
-                        short[n] = min(short.get(n, found), found)
+                        whole[n] = min(whole.get(n, found), found)
                     continue
                 lo = max(0, base - root.most)
                 d, end = best_end(root.pattern, root.masks or _masks(root.pattern), text[lo : base + root.end + root.most])
                 ends.setdefault(n, []).append((d, lo + end))
-        out = [(n, d, start, end) for n, (d, start, end) in short.items()]
+        out = [(n, d, start, end) for n, (d, start, end) in whole.items()]
         for n, found in ends.items():
             d, end = min(found)
             pattern = self.items[n][1]
@@ -191,21 +210,17 @@ class Matcher:
 
 
 def _whole_words(root: _Node, text: str, base: int) -> tuple[int, int, int] | None:
-    """(distance, start, end) of the best match near ``base`` of a short item
-    that neither begins nor ends inside of a word; none if over the budget."""
+    """(distance, start, end) of the best match near ``base`` of an item that
+    neither begins nor ends inside of a word; none if over the budget."""
     edge = lambda i: i in (0, len(text)) or not (text[i - 1].isalnum() and text[i].isalnum())
+    masks = root.masks or _masks(root.pattern)
     best = None
     for start in range(max(0, base - root.most), min(len(text), base + root.most) + 1):
         if not edge(start):
             continue
-        row = list(range(len(root.pattern) + 1))  # edits from each head of the item to text[start:end]
-        for end in range(start + 1, min(len(text), start + len(root.pattern) + root.most) + 1):
-            c, diagonal = text[end - 1], row[0]
-            row[0] += 1
-            for i, x in enumerate(root.pattern, 1):
-                diagonal, row[i] = row[i], min(diagonal + (x != c), row[i] + 1, row[i - 1] + 1)
-            if row[-1] <= root.most and edge(end) and (best is None or (row[-1], start, end) < best):
-                best = row[-1], start, end
+        for end, d in enumerate(_anchored(root.pattern, masks, text[start : start + len(root.pattern) + root.most]), start + 1):
+            if d <= root.most and edge(end) and (best is None or (d, start, end) < best):
+                best = d, start, end
     return best
 
 
@@ -225,13 +240,14 @@ def _origins(text: str) -> list[int]:
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole_words: bool = False) -> DataFrame:
     """(id, item, distance, start, end): a row for each item that a document
     contains within the item's budget, with the place of its best match in
     characters of the document, the end exclusive.
 
-    Null and empty items match nothing, nor do null or empty texts. Items under
-    SHORT_CHARS match where they neither begin nor end inside of a word.
+    Null and empty items match nothing, nor do null or empty texts. With ``whole_words``
+    items, of whatever length, match only where they neither begin nor end inside of a word: for
+    benchmarks of items so short that they stand inside of words by chance.
     Repeated rows of ``docs`` give rows each; an item id that occurs with
     several texts is searched for with each, and the best is told. A null id is
     kept. Items are collected in blocks of bounded size, each of which is
@@ -252,7 +268,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         sent = spark.sparkContext.broadcast(sorted(some, key=str))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value)
+            matcher = Matcher(sent.value, whole_words)
             for b in batches:
                 at, told = [], []
                 for i, text in enumerate(b.column("text").to_pylist()):
