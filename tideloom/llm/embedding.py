@@ -191,9 +191,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda v: v != 0.0), F.lit(False))
     space = F.when(sound, F.xxhash64("label", F.size("vector")))
-    rows = rows.withColumn("space", space).withColumn("node", F.when(sound, F.xxhash64("label", "vector")))
-    classes = rows.where("node is not null").groupBy("node").agg(F.first("space").alias("space"), F.count("*").alias("weight"), F.min("id").alias("least_id"), F.first("vector").alias("vector"))
-    kept_classes = written(classes)
+    # Equal vectors of a label are one class, told by 128 bits; the classes are then numbered.
+    same = F.struct(F.xxhash64("label", "vector").alias("a"), F.xxhash64(F.lit(1), "label", "vector").alias("b"))
+    rows = rows.withColumn("space", space).withColumn("same", F.when(sound, same))
+    classes = rows.where("same is not null").groupBy("same").agg(F.first("space").alias("space"), F.count("*").alias("weight"), F.min("id").alias("least_id"), F.first("vector").alias("vector"))
+    kept_classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     units = written(kept_classes.select("node", "space", "weight", "vector").mapInArrow(_to_units, "node bigint, space bigint, weight bigint, unit binary"))
 
     # Centroids from a bounded sample; exactness doesn't hang on them.
@@ -238,9 +240,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found, F.col("node"), F.col("other"))
-    told = kept_classes.select("node", "weight", "least_id").join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = kept_classes.select("same", "node", "weight", "least_id").join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_ids = told.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    told = told.join(least_ids, "component").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("id", "node").join(told, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    told = told.join(least_ids, "component").select("same", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.select("id", "same").join(told, "same", "left")
+    component = F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
