@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import charts, readers
 from ..sources.scratch import scratch
-from .bars import Query, days, hours, rounded
+from .bars import Query, days, hours, rounded, ticks
 from .sql import DAYS
 
 BAR = ("open", "high", "low", "close", "volume")
@@ -72,6 +72,14 @@ def _sierra(s: SparkSession, d: str) -> DataFrame:
     return readers.sierra_csv(s, at, symbol)
 
 
+def _ticks(s: SparkSession, d: str) -> DataFrame:
+    """Trades with their quotes, of which every seventh is crossed; far ones are left out."""
+    t = ticks(s, d).where("price is not null")
+    bid = F.when(F.pmod("event_id", F.lit(7)) == 0, F.col("price") + 2).otherwise(F.col("price") - 1)
+    at, symbol = _files(t.select("symbol", _as("ts", "yyyy/M/d").alias("Date"), _as("ts", "HH:mm:ss.SSSSSS").alias("Time"), "price", (F.pmod("event_id", F.lit(5)) + 1).alias("volume"), bid.alias("bid"), (F.col("price") + 1).alias("ask")))
+    return readers.sierra_ticks(s, at, symbol, 7200, outliers=1.5)
+
+
 def _chart(intraday: bool) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         path = scratch(s)
@@ -122,7 +130,7 @@ def _binary(whole: bool = False, **bounds) -> Query:
 def queries() -> dict[str, Query]:
     made = {
         "src_generic_csv": _generic, "src_generic_csv_unix": _generic_unix, "src_bar_csv": _bar(False), "src_bar_csv_time": _bar(True), "src_yahoo_csv": _yahoo, "src_yahoo_csv_swapped": _yahoo_swapped,
-        "src_mt4_csv": _mt4, "src_sierra_csv": _sierra, "src_chart_csv": _chart(False), "src_chart_csv_intraday": _chart(True), "src_quandl_csv": _quandl, "src_frame": _frame, "src_writer_csv": _written, "src_together": _together, "src_between_times": _times,
+        "src_mt4_csv": _mt4, "src_sierra_csv": _sierra, "src_sierra_ticks": _ticks, "src_chart_csv": _chart(False), "src_chart_csv_intraday": _chart(True), "src_quandl_csv": _quandl, "src_frame": _frame, "src_writer_csv": _written, "src_together": _together, "src_between_times": _times,
         "src_chart_binary": _binary(whole=True), "src_chart_split": _binary(), "src_chart_split_between": _binary(start=dt.datetime(1994, 3, 1), end=dt.datetime(1996, 2, 29)),
     }
     return {k: (lambda s, d, q=q: rounded(q(s, d), *BAR)) for k, q in made.items()}
@@ -135,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
     half = {c: f"{c} / 2" for c in BAR}
     four = {c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)" for c in BAR[:4]}
     return {
+        "src_sierra_ticks": "WITH t AS (SELECT event_type AS symbol, events.ts AS came, value, event_id FROM events WHERE value IS NOT NULL AND event_id % 7 <> 0), m AS (SELECT symbol, avg(value) AS mean, stddev_pop(value) AS std FROM t GROUP BY symbol) SELECT symbol, time_bucket(INTERVAL '2 hours', came) AS ts, round(first(value ORDER BY came, value), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(last(value ORDER BY came, value), 4) AS close, CAST(sum(event_id % 5 + 1) AS DOUBLE) AS volume FROM t JOIN m USING (symbol) WHERE abs(value - mean) <= 1.5 * std GROUP BY symbol, time_bucket(INTERVAL '2 hours', came)",
         "src_chart_binary": day(**four), "src_chart_split": day(**four), "src_chart_split_between": day("ts BETWEEN '1994-03-01' AND '1996-02-29'", **four),
         "src_generic_csv": day(), "src_generic_csv_unix": day("ts BETWEEN '1996-01-01' AND '1997-12-31'"), "src_bar_csv": day(), "src_bar_csv_time": hour(),
         "src_yahoo_csv": day(**half | {"volume": "volume * 2"}), "src_yahoo_csv_swapped": day(**{c: f"round({c} / 2, 2)" for c in BAR[:4]}),

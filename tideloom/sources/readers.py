@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.frame import FIELDS, clean
-from ..operators.resample import bucket
+from ..operators.resample import bucket, from_ticks
 
 
 def _lines(spark: SparkSession, path: str | list[str], columns: Sequence[str], sep: str = ",", header: bool = True) -> DataFrame:
@@ -94,6 +94,22 @@ def sierra_csv(spark: SparkSession, path: str | list[str], symbol: str | Column
     return b.where(sound) if validate else b
 
 
+def sierra_ticks(spark: SparkSession, path: str | list[str], symbol: str | Column = "data", seconds: int = 60, date_format: str = "yyyy/M/d", time_format: str = "HH:mm:ss.SSSSSS", validate: bool = True, outliers: float | None = None) -> DataFrame:
+    """Date, Time, Last, Volume, Bid, Ask of each trade, as bars of ``seconds``. Ticks
+    whose bid is above their ask are dropped, as are those without a readable time or price, and those more than ``outliers``
+    standard deviations from the mean of their symbol, if asked for."""
+    raw = _lines(spark, path, ["date", "time", "price", "volume", "bid", "ask"])
+    s = F.lit(symbol) if isinstance(symbol, str) else symbol
+    ts = F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit(f"{date_format} {time_format}"))
+    ticks = raw.select(s.alias("symbol"), ts.alias("ts"), *[_number(F.col(c)).alias(c) for c in ("price", "volume", "bid", "ask")]).where("ts is not null and price is not null")
+    if validate:
+        ticks = ticks.where(~F.coalesce((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("bid") > F.col("ask")), F.lit(False)))
+    if outliers is not None:
+        about = ticks.groupBy(F.col("symbol").alias("_s")).agg(F.avg("price").alias("_mean"), F.stddev_pop("price").alias("_std"))
+        ticks = ticks.join(about, F.col("symbol").eqNullSafe(F.col("_s"))).where(F.abs(F.col("price") - F.col("_mean")) <= outliers * F.col("_std"))
+    return from_ticks(ticks, "symbol", "ts", "price", "second", seconds, volume="volume", ties=("price",))
+
+
 def chart_csv(spark: SparkSession, path: str | list[str], intraday: bool = False) -> DataFrame:
     """ticker,period,date,time,open,high,low,close,volume,openinterest export;
     the symbol is the file's own."""
