@@ -17,7 +17,7 @@ from ..operators import windows as win
 from ..operators.frame import Bars
 from ..sources import readers
 from ..streaming import bars as streams
-from . import strategies, trading
+from . import strategies, trading, trends
 from . import streams as live
 from . import recursive as rec
 from . import sources as files
@@ -423,7 +423,7 @@ def queries() -> dict[str, Query]:
         "str_tumbling": lambda s, d: rounded(streams.tumbling(ticks(s, d), "6 hours", tie="event_id"), *BAR),
         "str_sessions": lambda s, d: streams.sessions(ticks(s, d), "20 minutes").select("symbol", "ts", "until", F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), "ticks"),
     }
-    return out | trading.queries() | strategies.queries() | live.queries() | files.queries() | units.queries()
+    return out | trading.queries() | strategies.queries() | live.queries() | trends.queries() | files.queries() | units.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -470,4 +470,4 @@ def oracle_sql() -> dict[str, str]:
         "str_sessions": "WITH o AS (SELECT event_type AS symbol, ts, value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events WHERE value IS NOT NULL), g AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 20 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM o) SELECT symbol, min(ts) AS ts, max(ts) + INTERVAL 20 MINUTES AS until, round(max(value), 4) AS high, round(min(value), 4) AS low, count(*) AS ticks FROM g GROUP BY symbol, s",
     }
     out |= {"flt_day_steps": rec.day_steps(Sql(), RB), "flt_renko": rec.renko(Sql())}
-    return out | trading.oracle_sql() | strategies.oracle_sql() | live.oracle_sql() | files.oracle_sql() | units.oracle_sql()
+    return out | trading.oracle_sql() | strategies.oracle_sql() | live.oracle_sql() | trends.oracle_sql() | files.oracle_sql() | units.oracle_sql()
