@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import resample
@@ -24,6 +24,14 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.from_ticks(li, "l_returnflag", "l_shipdate", "p", "day", volume="l_quantity", ties=("l_orderkey", "l_linenumber", "p"))
 
 
+def pairs(spark: SparkSession, sf_dir: str, portfolio: Column) -> DataFrame:
+    """Daily bars of the feeds of several portfolios: a portfolio for each value of an
+    expression over line items, its feeds the return flags."""
+    li = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", portfolio.cast("string"), "l_returnflag").alias("pair"), "l_shipdate", (F.col("l_extendedprice") / 997).alias("p"), "l_quantity", "l_orderkey", "l_linenumber")
+    bars = resample.from_ticks(li, "pair", "l_shipdate", "p", "day", volume="l_quantity", ties=("l_orderkey", "l_linenumber", "p"))
+    return bars.withColumns({"portfolio": F.split("symbol", "/")[0], "symbol": F.split("symbol", "/")[1]})
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.select("symbol", "ts", *[F.round(F.col(c).cast("double"), digits).alias(c) for c in columns])
 

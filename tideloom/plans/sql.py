@@ -13,6 +13,15 @@ DAYS = """t AS (
 )"""
 
 
+def pairs(portfolio: str) -> str:
+    """Daily bars whose symbol is a portfolio and a return flag, with a slash between."""
+    return f"""t AS (
+  SELECT concat({portfolio}, '/', l_returnflag) AS symbol, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, l_extendedprice / 997 AS p, l_quantity AS q, l_orderkey, l_linenumber FROM lineitem
+), bars AS (
+  SELECT symbol, ts, first(p ORDER BY l_orderkey, l_linenumber, p) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY l_orderkey, l_linenumber, p) AS close, sum(q) AS volume FROM t GROUP BY symbol, ts
+)"""
+
+
 def over(n: int) -> str:
     return f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 

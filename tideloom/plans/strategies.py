@@ -6,15 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import broker, resample
+from ..operators import broker
 from ..operators.broker import Commission, Rules
 from ..operators.frame import Bars
 from ..operators.strategy import Strategy, orders, run_strategy
 from ..operators.windows import crossover
 from . import optimize
-from .bars import Query, days, table
+from .bars import Query, days, pairs
 from .sql import ORDER, Sql, cross, mean
-from .trading import FEE, LONG, RICH, _r, _run, _signals, near
+from .sql import pairs as pairs_sql
+from .trading import BOOK, FEE, LONG, RICH, _r, booked, near
 
 RULES = Rules(cash=RICH, commission=Commission(FEE))
 
@@ -102,10 +103,8 @@ def _sweep(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """Daily bars of seven portfolios by supplier, their feeds the return flags."""
-    li = table(s, d, "lineitem").select(F.concat_ws("/", F.pmod("l_suppkey", F.lit(7)).cast("string"), "l_returnflag").alias("pair"), "l_shipdate", (F.col("l_extendedprice") / 997).alias("p"), "l_quantity", "l_orderkey", "l_linenumber")
-    bars = resample.from_ticks(li, "pair", "l_shipdate", "p", "day", volume="l_quantity", ties=("l_orderkey", "l_linenumber", "p"))
-    return bars.withColumns({"portfolio": F.split("symbol", "/")[0], "symbol": F.split("symbol", "/")[1]})
+    """Seven portfolios by supplier."""
+    return pairs(s, d, F.pmod("l_suppkey", F.lit(7)))
 
 
 def _rotation(s: SparkSession, d: str) -> DataFrame:
@@ -181,11 +180,7 @@ def _sweep_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-PAIRS = """t AS (
-  SELECT concat(l_suppkey % 7, '/', l_returnflag) AS symbol, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, l_extendedprice / 997 AS p, l_quantity AS q, l_orderkey, l_linenumber FROM lineitem
-), bars AS (
-  SELECT symbol, ts, first(p ORDER BY l_orderkey, l_linenumber, p) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY l_orderkey, l_linenumber, p) AS close, sum(q) AS volume FROM t GROUP BY symbol, ts
-)"""
+PAIRS = pairs_sql("l_suppkey % 7")
 
 
 def _rotation_sql() -> str:
@@ -206,13 +201,12 @@ def _rotation_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     d = _doubling(8.0)
-    p = _run(_signals(Sql(PAIRS)))
-    book = f"{p.text}, w AS (SELECT *, position * close AS worth, split_part(symbol, '/', 1) AS portfolio FROM {p.table}), dw AS (SELECT *, worth - coalesce(lag(worth) {ORDER}, 0) AS moved FROM w), q AS (SELECT portfolio, symbol, ts, position, 10000 - sum(size * px + fee) OVER o AS cash, sum(moved) OVER o AS worth FROM dw WINDOW o AS (PARTITION BY portfolio ORDER BY ts, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+    book, rows = booked(PAIRS)
     return {
         "exec_reactive": f"{d.text} SELECT symbol, ts, {_r(cash='cash', value='value', position='position')} FROM {d.table}",
         "exec_brackets": _brackets_sql(),
         "exec_trailing": _trailing_sql(),
         "exec_sweep_strategy": _sweep_sql(),
         "exec_rotation": _rotation_sql(),
-        "exec_portfolios": f"{book} SELECT portfolio, split_part(symbol, '/', 2) AS symbol, ts, {_r(cash='cash', value='cash + worth', position='position', gross='worth / (cash + worth)').replace(', 4)', ', 2)')} FROM q",
+        "exec_portfolios": f"{book} {BOOK} FROM {rows}",
     }

@@ -9,8 +9,9 @@ from ..operators import analyzers as an
 from ..operators import broker
 from ..operators.broker import Commission, Rules
 from . import optimize
-from .bars import Query, days
+from .bars import Query, days, pairs
 from .sql import DAYS, ORDER, SO_FAR, Sql, cross, lag, mean
+from .sql import pairs as pairs_sql
 
 FEE = 0.001
 LONG = Rules(mode="long", commission=Commission(FEE))
@@ -100,8 +101,9 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = optimize.mean_cross_orders(days(spark, sf_dir), 15)
-    return broker.run_portfolio(orders, LONG)
+    """A portfolio for each line status, side by side, its feeds the return flags."""
+    orders = optimize.mean_cross_orders(pairs(spark, sf_dir, F.col("l_linestatus")), 15, by=("portfolio", "symbol"))
+    return broker.run_portfolio(orders, LONG, ("portfolio",))
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +145,7 @@ def queries() -> dict[str, Query]:
         "exec_sizer_percent": _with_rules(Rules(mode="long", commission=Commission(FEE), sizer=lambda cash, price, position, size: broker.percent(cash, price, position, 20.0)), "cash", "value", "position"),
         "exec_sizer_all_in": _with_rules(Rules(cash=RICH, mode="long", sizer=lambda cash, price, position, size: broker.all_in(cash * 0.1, price, position)), "cash", "value", "position"),
         "exec_sizer_stake": _with_rules(Rules(cash=RICH, mode="long", sizer=lambda cash, price, position, size: broker.stake(cash, price, position, 12.0, 5)), "cash", "value", "position"),
-        "exec_portfolio": lambda s, d: near(_portfolio(s, d).select("symbol", "ts", "cash", "value", "position", "gross"), 2),
+        "exec_portfolio": lambda s, d: near(_portfolio(s, d).select("portfolio", "symbol", "ts", "cash", "value", "position", "gross"), 2),
         "exec_sweep": lambda s, d: near(optimize.ranked(optimize.sweep(days(s, d), [10, 15, 20, 30]))),
         "exec_sweep_grid": lambda s, d: near(optimize.ranked(optimize.sweep_grid(days(s, d), optimize.grid(fast=[1, 5], slow=[20, 40])), "drawdown", ascending=True)),
         "an_sqn": on(lambda r: an.sqn(broker.trades(r))),
@@ -154,7 +156,7 @@ def queries() -> dict[str, Query]:
         "an_position_stats": on(lambda r: an.position_stats(broker.equity(r))),
         "an_leverage": on(lambda r: an.leverage(broker.equity(r))),
         "an_leverage_stats": on(lambda r: an.leverage_stats(broker.equity(r))),
-        "an_gross_leverage": lambda s, d: near(an.leverage_stats(_portfolio(s, d).withColumn("portfolio", F.lit("all")), ("portfolio",), "gross")),
+        "an_gross_leverage": lambda s, d: near(an.leverage_stats(_portfolio(s, d), ("portfolio",), "gross")),
         "an_value_stats": on(lambda r: an.value_stats(broker.equity(r))),
         "an_bundle": _bundle,
         "an_own_annual_return": lambda s, d: near(an.own_annual_return(_equity(s, d))),
@@ -188,6 +190,14 @@ def _r(**cells: str) -> str:
     return ", ".join(f"round({e}, 4) + 0.0 AS {c}" for c, e in cells.items())
 
 
+def booked(source: str) -> tuple[str, str]:
+    """Feeds of a portfolio (symbols with its name before a slash) drawing on one cash account."""
+    s = _run(_signals(Sql(source)))
+    text = f"{s.text}, w AS (SELECT *, position * close AS worth, split_part(symbol, '/', 1) AS portfolio FROM {s.table}), dw AS (SELECT *, worth - coalesce(lag(worth) {ORDER}, 0) AS moved FROM w)"
+    return text + ", booked AS (SELECT portfolio, split_part(symbol, '/', 2) AS symbol, ts, position, 10000 - sum(size * px + fee) OVER o AS cash, sum(moved) OVER o AS worth FROM dw WINDOW o AS (PARTITION BY portfolio ORDER BY ts, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", "booked"
+
+
+BOOK = "SELECT portfolio, symbol, ts, " + _r(cash="cash", value="cash + worth", position="position", gross="worth / (cash + worth)").replace(", 4)", ", 2)")
 TRADES = "SELECT symbol, _since AS opened, ts AS closed, 1.0::DOUBLE AS size, entry, px AS exit, px - entry AS pnl, px - entry - (_paid + fee) AS pnlcomm, CAST(_k - _from AS INTEGER) AS bars FROM {} WHERE size < 0"
 
 
@@ -242,7 +252,7 @@ def oracle_sql() -> dict[str, str]:
     filled = lambda text, rows: f"{text} SELECT symbol, ts, CAST(_order AS INTEGER) AS \"order\", {_r(size='size', price='px', fee='0.0', pnl='CASE WHEN size < 0 THEN px - entry ELSE 0 END')} FROM {rows} WHERE size <> 0"
     staked, stakes = _tested(cash=RICH, fee="0")
     tier = "".join(f"WHEN traded >= {low} THEN {taker} " for low, _, taker in reversed(broker.CRYPTO_TIERS))
-    book = f"{text}, w AS (SELECT *, position * close AS worth FROM {rows}), dw AS (SELECT *, worth - coalesce(lag(worth) {ORDER}, 0) AS moved FROM w), p AS (SELECT symbol, ts, position, 10000 - sum(size * px + fee) OVER o AS cash, sum(moved) OVER o AS worth FROM dw WINDOW o AS (ORDER BY ts, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), g AS (SELECT *, cash + worth AS value, worth / (cash + worth) AS gross FROM p)"
+    book, booked_rows = booked(pairs_sql("l_linestatus"))
     cube = "CAST(count(*) AS BIGINT) AS trades, " + _r(gross="sum(pnl)", net="sum(pnlcomm)", average="avg(pnlcomm)", best="max(pnlcomm)", worst="min(pnlcomm)") + ", CAST(sum(bars) AS BIGINT) AS bars, round(avg(bars), 4) AS bars_average, CAST(max(bars) AS INTEGER) AS bars_max, CAST(min(bars) AS INTEGER) AS bars_min"
     stats = lambda x: _r(average=f"avg({x})", stddev=f"stddev_samp({x})", most=f"max({x})", least=f"min({x})")
     runs = lambda key: f"sum(CASE WHEN {key} = before THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY px ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run"
@@ -270,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "exec_sizer_percent": _picked(_signals(Sql()), 10_000.0, f"{FEE} * abs(r.want) * b.open", "({cash} * 20.0 / 100 / b.close)"),
         "exec_sizer_all_in": _picked(_signals(Sql()), RICH, "0", "floor({cash} * 0.1 * 100.0 / 100 / b.close)"),
         "exec_sizer_stake": f"{staked} SELECT symbol, ts, {_r(cash=f'{RICH} + 2 * (cash - {RICH})', value=f'{RICH} + 2 * (value - {RICH})', position='2 * position')} FROM {stakes}",
-        "exec_portfolio": f"{book} SELECT symbol, ts, {_r(cash='cash', value='value', position='position', gross='gross').replace(', 4)', ', 2)')} FROM g",
+        "exec_portfolio": f"{book} {BOOK} FROM {booked_rows}",
         "exec_sweep": _sweep_sql([(1, n) for n in (10, 15, 20, 30)], "period"),
         "exec_sweep_grid": _sweep_sql([(f, n) for f in (1, 5) for n in (20, 40)], "both"),
         "an_sqn": f"{trades} SELECT symbol, CAST(count(*) AS BIGINT) AS trades, round(CASE WHEN count(*) > 1 THEN coalesce(sqrt(count(*)) * avg(pnlcomm) / nullif(stddev_pop(pnlcomm), 0), 0) ELSE 0 END, 4) + 0.0 AS sqn FROM trades GROUP BY symbol",
@@ -281,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         "an_position_stats": f"{text}, p AS (SELECT symbol, position * close AS value, CASE WHEN position > 0 THEN close - entry ELSE 0 END AS pnl FROM {rows}) SELECT symbol, {stats('value')}, {_r(best='max(pnl)', worst='min(pnl)', long_share='avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END)', short_share='avg(CASE WHEN value < 0 THEN 1.0 ELSE 0 END)')} FROM p GROUP BY symbol",
         "an_leverage": f"{text} SELECT symbol, ts, {_r(leverage='position * close / value')} FROM {rows}",
         "an_leverage_stats": f"{text} SELECT symbol, {stats('position * close / value')} FROM {rows} GROUP BY symbol",
-        "an_gross_leverage": f"{book} SELECT 'all' AS portfolio, {stats('gross')} FROM g",
+        "an_gross_leverage": f"{book} SELECT portfolio, {stats('worth / (cash + worth)')} FROM {booked_rows} GROUP BY portfolio",
         "an_value_stats": f"{text} SELECT symbol, {_r(first='arg_min(value, ts)', last='arg_max(value, ts)')}, {stats('value')}, round(arg_max(value, ts) / arg_min(value, ts) - 1, 4) + 0.0 AS growth FROM {rows} GROUP BY symbol",
         "an_bundle": f"{text}, u AS (SELECT symbol, ts, 'return' AS what, value / coalesce({lag('value')}, value) - 1 AS value FROM {rows} UNION ALL SELECT symbol, ts, 'position', position * close FROM {rows} UNION ALL SELECT symbol, ts, 'transaction', size * px FROM {rows} WHERE size <> 0 UNION ALL SELECT symbol, ts, 'leverage', position * close / value FROM {rows}) SELECT symbol, ts, what, {_r(value='value')} FROM u",
         "an_own_annual_return": f"WITH {DAYS} SELECT symbol, CAST(year(ts) AS INTEGER) AS year, round(arg_max(close, ts) / arg_min(close, ts) - 1, 4) + 0.0 AS ret FROM bars GROUP BY symbol, year(ts)",
