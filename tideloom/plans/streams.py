@@ -47,9 +47,9 @@ def ends(df: DataFrame, *after: int) -> list[DataFrame]:
 
 
 def shuffled(df: DataFrame) -> list[DataFrame]:
-    """Odd days of the first years, then the even ones, then the rest, and the end."""
+    """Odd days of the first years, then the even ones and the rest, and the end."""
     early, odd = F.year("ts") <= 1996, F.dayofyear("ts") % 2 == 1
-    return [df.where(early & odd), df.where(early & ~odd), df.where(~early), *ends(df, 4000, 8000)]
+    return [df.where(early & odd), df.where(~early | ~odd), *ends(df, 4000)]
 
 
 def bars_of(change: Callable[[DataFrame], DataFrame]) -> Query:
@@ -84,9 +84,9 @@ class _Crossed:
 def _late(s: SparkSession, d: str) -> DataFrame:
     """All ticks; then copies of them, which come days too late; then the end."""
     t = ticks(s, d)
-    one, two, three = ends(t, 20, 40, 60)
+    one, two = ends(t, 20, 40)
     late = t.where(F.col("ts") < F.lit(t.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 2 DAYS")).withColumn("price", F.col("price") * 10)
-    out = streamed([{"ticks": x} for x in (t, one, late, two, three)], lambda ticks: streams.tumbling(ticks, "6 hours", "1 hour", tie="event_id"))
+    out = streamed([{"ticks": x} for x in (t, one, late, two)], lambda ticks: streams.tumbling(ticks, "6 hours", "1 hour", tie="event_id"))
     return rounded(out.where(F.col("symbol") != END), *BAR)
 
 
@@ -94,8 +94,8 @@ def _coupled(s: SparkSession, d: str) -> DataFrame:
     """Hourly bars with the last close of the day before; days come later than hours."""
     fast = hours(s, d).select("symbol", "ts", "close")
     slow = fast.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.max_by("close", "ts").alias("close")).select("symbol", (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("ts"), "close")
-    e, f = ends(fast, 500, 1000), ends(slow, 500, 1000)
-    parts = [{"fast": fast, "slow": slow.limit(0)}, {"fast": e[0], "slow": slow}, {"fast": e[1], "slow": f[0]}, {"fast": e[1], "slow": f[1]}]
+    (e,), (f,) = ends(fast, 500), ends(slow, 500)
+    parts = [{"fast": fast, "slow": slow.limit(0)}, {"fast": e, "slow": slow}, {"fast": e, "slow": f}]
     out = streamed(parts, lambda fast, slow: state.coupled(fast, slow, late="400 days"))
     return near(out.where(F.col("symbol") != END).select("symbol", "ts", "close", "slow_ts", "slow_close"))
 
@@ -107,7 +107,7 @@ def _timers(s: SparkSession, d: str) -> DataFrame:
     """At five in the afternoon from Monday to Friday: the last tick and how many came."""
     t = ticks(s, d)
     even = F.pmod(F.col("event_id"), F.lit(2)) == 0
-    parts = [t.where(even), t.where(~even), *ends(t, 500, 1000)]
+    parts = [t.where(even), t.where(~even), *ends(t, 500)]
     out = streamed([{"ticks": x} for x in parts], lambda ticks: state.timed(ticks, WHEN, order=("event_id",), late="400 days"))
     return near(out.where(F.col("symbol") != END))
 
