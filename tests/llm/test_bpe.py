@@ -62,6 +62,15 @@ def test_a_long_word_and_a_special_token_over_a_joint():
             assert bpe.joined(text, ends, parts, lambda x: bpe.encoded(LIBRARY, x)).tolist() == plain(text)
 
 
+def test_long_texts_go_in_segments(monkeypatch):
+    monkeypatch.setattr(bpe, "WHOLE", 100)
+    monkeypatch.setattr(bpe, "SEGMENT", 3000)
+    r = random.Random(3)
+    for text in ("don't stop, " * 3000, "".join(r.choice("abc d'sl 7é.") for _ in range(20_000)), *texts(8, 3, 12_000)):
+        raw = text.encode()
+        assert bpe.encode_text(LIBRARY, raw, bpe.cuts(raw), {}).tolist() == plain(text)
+
+
 def test_cuts_follow_content_and_respect_code_points():
     r = random.Random(1)
     text = "".join(r.choice("abcdefghij éü漢 ") for _ in range(60_000))

@@ -43,8 +43,8 @@ HEADS = 12
 MAP_BITS = 27
 #: Texts that take a copy of one shared chunk's ids from one row.
 COPIES = 512
-#: Bytes encoded in place at once, and bytes of ids in a batch.
-SEGMENT, BATCH_BYTES = 1 << 16, 8 << 20
+#: Bytes encoded in place at once, of a plain text without shared chunks, and bytes of ids in a batch.
+SEGMENT, WHOLE, BATCH_BYTES = 1 << 16, 1 << 22, 8 << 20
 
 _GEAR = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
@@ -277,7 +277,7 @@ def encode_text(t: Tokenizer, raw: bytes, ends: list[int], known: dict[int, Part
     their number. The others are encoded here, neighbours together."""
     text = raw.decode()
     if not known:
-        plain = _words(t).of(text)
+        plain = _words(t).of(text) if len(raw) <= WHOLE else None
         if plain is not None:
             return np.frombuffer(b"".join(plain), dtype="<u4")
         if len(raw) <= SEGMENT:
