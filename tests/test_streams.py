@@ -1,7 +1,12 @@
 """Machines on streams against the same machines on tables."""
 
 import datetime as dt
+import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +35,127 @@ def test_order_of_arrival_does_not_matter_and_late_rows_stay_out(spark):
     assert got == sorted(((r.symbol or "", r.ts, r.ema) for r in want.collect()), key=str)
 
 
+class Given:
+    """How many rows it is given at once."""
+
+    def push(self, x):
+        return np.full(len(x), float(len(x)))
+
+
+def test_a_machine_is_never_given_all_rows_of_a_key(spark):
+    n = 25_000
+    r = random.Random(1)
+    cells = [("a", i / 50, i) for i in r.sample(range(n), n)]
+    parts = [cells[: n // 2], cells[n // 2 :], [("z", 100_000, 1)]]
+    steps = [(Given, ["close"], ["given"]), (lambda: folds.Ema(3), ["close"], ["ema"])]
+    out = streamed([{"x": rows(spark, p)} for p in parts], lambda x: state.folded(x, steps, late="30 days")).where("symbol = 'a'").orderBy("ts").collect()
+    assert [x.close for x in out] == list(range(n))
+    assert max(x.given for x in out) <= state.AT_ONCE < n
+    want = folds.fold(Bars(rows(spark, cells)), steps[1:]).df.orderBy("ts").collect()
+    assert [x.ema for x in out] == [x.ema for x in want]
+
+
+class Value:
+    def __init__(self):
+        self.now = None
+
+    def exists(self):
+        return self.now is not None
+
+    def get(self):
+        return self.now
+
+    def update(self, value):
+        self.now = value
+
+
+class Map:
+    def __init__(self):
+        self.now = {}
+
+    def containsKey(self, key):
+        return key in self.now
+
+    def getValue(self, key):
+        return self.now[key]
+
+    def updateValue(self, key, value):
+        self.now[key] = value
+
+    def removeKey(self, key):
+        del self.now[key]
+
+    def keys(self):
+        return iter(list(self.now))
+
+
+def processor(made):
+    timers = set()
+    made.init(SimpleNamespace(getValueState=lambda *_: Value(), getMapState=lambda *_: Map(), registerTimer=timers.add))
+    return made, timers
+
+
+def frames(order, n):
+    """Frames of rows a millisecond apart, in an order of arrival, one at a time."""
+    for at in range(0, len(order), n):
+        yield pd.DataFrame({"us_": [1000 * i for i in order[at : at + n]], "x": [float(i) for i in order[at : at + n]]})
+
+
+def test_a_timer_keeps_one_row_however_many_come():
+    p, timers = processor(state.AtTimes(lambda us: -(-us // 40_000_000) * 40_000_000, ("us_", "x"), ("symbol", "at", "last", "x", "n")))
+    n = 200_000
+    order = random.Random(1).sample(range(1, n + 1), n)
+    tracemalloc.start()
+    for half in (order[: n // 2], order[n // 2 :]):
+        list(p.handleInputRows(("a",), frames(half, 5000), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all rows as tuples are over 20 MB
+    assert timers == {40_000 * k for k in range(1, 6)} and len(p.timers.now) == 5
+    for ms in sorted(timers):
+        (got,) = p.handleExpiredTimer(("a",), None, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+        assert got.values.tolist() == [["a", ms * 1000, ms * 1000, float(ms), 40_000]]
+    assert not p.timers.now
+
+
+def test_rows_that_wait_are_read_in_blocks():
+    class Seen:
+        def rows(self, due):
+            return due
+
+        def memory(self):
+            return None
+
+        def remember(self, memory):
+            pass
+
+    p, timers = processor(state.InOrder(lambda key: Seen(), ("us_", "x"), ("symbol", "us_", "x")))
+    n = 200_000
+    order = random.Random(1).sample(range(1, n + 1), n)
+    list(p.handleInputRows(("a",), frames(order, 5000), None))
+    assert timers == {1}
+    got, peaks = [], []
+    for until in (n // 2 + 1, n):
+        tracemalloc.start()
+        for f in p.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda until=until: until), None):
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            got += f["us_"].tolist() and [(f["us_"].iloc[0], f["us_"].iloc[-1], len(f), bool(f["us_"].is_monotonic_increasing))]
+        tracemalloc.stop()
+        assert until == n or timers == {1, until + 1}
+    assert got[0][0] == 1000 and got[-1][1] == 1000 * n and all(x[3] for x in got)
+    assert all(b[0] == a[1] + 1000 for a, b in zip(got, got[1:], strict=False)) and sum(x[2] for x in got) == n
+    assert max(peaks) < 12 << 20 and not p.blocks.now
+
+
+def test_timers_of_rows_that_come_in_several_parts(spark):
+    at = state.day_times(17 * 3_600_000_000)
+    a, b = [("a", 60, 1), ("a", 17 * 60, 2), ("a", 17 * 60 + 1, 3)], [("a", 17 * 60, 9), ("a", 30, 7), ("a", 40, None)]
+    parts = [a, b, [("z", 100_000, 1)], [("a", 5, 99)], [("z", 200_000, 1)]]
+    out = streamed([{"x": rows(spark, p)} for p in parts], lambda x: state.timed(x, at, x="close", late="10 days")).where("symbol = 'a'")
+    five = T + dt.timedelta(hours=17)
+    assert sorted(map(tuple, out.collect())) == [("a", five, five, 9.0, 4), ("a", five + dt.timedelta(1), five + dt.timedelta(minutes=1), 3.0, 1)]
+
+
 def test_times_of_day():
     at = state.day_times(17 * 3_600_000_000, range(1, 6))
     us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)

@@ -10,9 +10,11 @@ State is kept by the RocksDB provider, as Spark asks for timers.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -27,6 +29,10 @@ from ..operators.broker import Rules
 from ..operators.strategy import BAR, Session, Strategy, as_dicts, result_schema
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a block that waits in the state.
+BLOCK = 100
+#: Rows that a machine is given at once.
+AT_ONCE = 10_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -38,15 +44,19 @@ def _tuples(frame: pd.DataFrame, columns: Sequence[str]) -> list[tuple]:
     return list(zip(*cells, strict=True))
 
 
-class _Held(StatefulProcessor):
-    """Rows (time in microseconds first) of a key until they are due."""
+def _place(row: tuple) -> tuple:
+    """Of rows in order: by time, then by the other columns, nulls last."""
+    return tuple((v is None, v if v is not None else 0) for v in row)
 
-    def __init__(self, columns: Sequence[str], held: str, out: Sequence[str]):
-        self.columns, self.schema, self.out = columns, held, out
+
+class _Keyed(StatefulProcessor):
+    """Rows (time in microseconds first) of a key, later than all that is done."""
+
+    def __init__(self, columns: Sequence[str], out: Sequence[str]):
+        self.columns, self.out = columns, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
         self.memory = handle.getValueState("memory", "done long, blob binary")
 
     def close(self) -> None:
@@ -58,24 +68,11 @@ class _Held(StatefulProcessor):
         done, blob = self.memory.get()
         return done, bytes(blob) if blob is not None else None
 
-    def take(self, until: int) -> tuple[list[tuple], list[tuple]]:
-        """Rows up to a time, in order, and the others, which stay."""
-        rows = [tuple(r) for r in self.held.get()]
-        due = sorted((r for r in rows if r[0] <= until), key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
-        rest = [r for r in rows if r[0] > until]
-        if rest:
-            self.held.put(rest)
-        else:
-            self.held.clear()
-        return due, rest
-
-    def hold(self, frames: Iterator[pd.DataFrame]) -> list[tuple]:
-        """New rows later than all that is done."""
+    def new(self, frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        """A list for each frame, so that a key's rows are never all in memory."""
         done, _ = self.recalled()
-        new = [r for f in frames for r in _tuples(f, self.columns) if r[0] is not None and r[0] > done]
-        if new:
-            self.held.appendList(new)
-        return new
+        for f in frames:
+            yield [(int(r[0]), *r[1:]) for r in _tuples(f, self.columns) if r[0] is not None and r[0] > done]
 
     def frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         cells = list(zip(*rows, strict=True)) if rows else [()] * (len(self.out) - len(key))
@@ -84,61 +81,128 @@ class _Held(StatefulProcessor):
         return pd.DataFrame(out, columns=list(self.out), dtype=object)
 
 
-class InOrder(_Held):
-    """Gives rows to the machine of their key in order of time."""
+class InOrder(_Keyed):
+    """Gives rows to the machine of their key in order of time. They wait in sorted
+    blocks, of which only those that overlap are read side by side."""
 
     def __init__(self, make: Callable[[tuple], Any], *args: Any):
         super().__init__(*args)
         self.make = make
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.blocks = handle.getMapState("blocks", "first long, number long", "rows binary")
+        self.numbers = handle.getValueState("numbers", "next long")
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if new := self.hold(rows):
-            self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
+        number = self.numbers.get()[0] if self.numbers.exists() else 0
+        first = None
+        for new in self.new(rows):
+            new.sort(key=_place)
+            for at in range(0, len(new), BLOCK):
+                self.blocks.updateValue((new[at][0], number), (pickle.dumps(new[at : at + BLOCK]),))
+                number += 1
+            if new:
+                first = new[0][0] if first is None else min(first, new[0][0])
+        if first is not None:
+            self.numbers.update((number,))
+            self.handle.registerTimer(-(-first // 1000))
         yield self.frame(key, [])
 
+    def due(self, until: int, rest: list[int]) -> Iterator[tuple]:
+        """Rows up to a time, in order; they leave the state. ``rest`` gets times of which
+        the least is that of the first row that stays."""
+        keys: list[tuple[int, int]] = []
+        for first, number in self.blocks.keys():
+            if first <= until:
+                keys.append((first, number))
+            else:
+                rest[:] = [min([first, *rest])]
+        keys.sort(reverse=True)
+        open_: list[tuple] = []
+        while keys or open_:
+            # Every block that may hold the next row is open before that row is given.
+            while keys and (not open_ or keys[-1][0] <= open_[0][2][0]):
+                first, number = keys.pop()
+                rows = pickle.loads(self.blocks.getValue((first, number))[0])
+                self.blocks.removeKey((first, number))
+                stay = [r for r in rows if r[0] > until]
+                if stay:
+                    self.blocks.updateValue((stay[0][0], number), (pickle.dumps(stay),))
+                    rest[:] = [min([stay[0][0], *rest])]
+                more = iter(rows[: len(rows) - len(stay)])
+                row = next(more)
+                heapq.heappush(open_, (_place(row), number, row, more))
+            _, number, row, more = open_[0]
+            after = next(more, None)
+            if after is None:
+                heapq.heappop(open_)
+            else:
+                heapq.heapreplace(open_, (_place(after), number, after, more))
+            yield row
+
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due, rest = self.take(timerValues.getCurrentWatermarkInMs() * 1000)
+        rest: list[int] = []
+        due = self.due(timerValues.getCurrentWatermarkInMs() * 1000, rest)
+        machine = None
+        while some := list(islice(due, AT_ONCE)):
+            if machine is None:
+                _, blob = self.recalled()
+                machine = self.make(key)
+                if blob is not None:
+                    machine.remember(pickle.loads(blob))
+            done = some[-1][0]
+            yield self.frame(key, machine.rows(some))
+        if machine is not None:
+            self.memory.update((done, cloudpickle.dumps(machine.memory())))
         if rest:
-            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
-        out: list[tuple] = []
-        if due:
-            _, blob = self.recalled()
-            machine = self.make(key)
-            if blob is not None:
-                machine.remember(pickle.loads(blob))
-            out = machine.rows(due)
-            self.memory.update((due[-1][0], cloudpickle.dumps(machine.memory())))
-        yield self.frame(key, out)
+            self.handle.registerTimer(-(-rest[0] // 1000))
+        yield self.frame(key, [])
 
 
-class AtTimes(_Held):
-    """Fires at times of its own: by the watermark, with no row to set it off."""
+class AtTimes(_Keyed):
+    """Fires at times of its own: by the watermark, with no row to set it off. A timer keeps
+    the last of its rows and their number, so state doesn't grow with the rows."""
 
     def __init__(self, next_time: Callable[[int], int], *args: Any):
         super().__init__(*args)
         self.next_time = next_time
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.timers = handle.getMapState("timers", "ms long", "last binary")
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for at in {self.next_time(r[0]) for r in self.hold(rows)}:
-            self.handle.registerTimer(at // 1000)
+        came: dict[int, tuple[tuple, int]] = {}
+        for new in self.new(rows):
+            for r in new:
+                ms = -(-self.next_time(r[0]) // 1000)
+                last, n = came.get(ms, (r, 0))
+                came[ms] = (max(last, r, key=_place), n + 1)
+        for ms, (last, n) in came.items():
+            if self.timers.containsKey((ms,)):
+                before, m = pickle.loads(self.timers.getValue((ms,))[0])
+                last, n = max(before, last, key=_place), m + n
+            else:
+                self.handle.registerTimer(ms)
+            self.timers.updateValue((ms,), (pickle.dumps((last, n)),))
         yield self.frame(key, [])
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due, _ = self.take(at)
-        if due:
-            self.memory.update((at, None))
-        yield self.frame(key, [(at, due[-1][0], due[-1][-1], len(due))] if due else [])
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        last, n = pickle.loads(self.timers.getValue((ms,))[0])
+        self.timers.removeKey((ms,))
+        self.memory.update((ms * 1000, None))
+        yield self.frame(key, [(ms * 1000, last[0], last[-1], n)])
 
 
-def _transformed(rows: DataFrame, by: Sequence[str], columns: Sequence[str], out: str, late: str, processor: Callable[..., _Held]) -> DataFrame:
+def _transformed(rows: DataFrame, by: Sequence[str], columns: Sequence[str], out: str, late: str, processor: Callable[..., _Keyed]) -> DataFrame:
     """Rows dealt by key to a processor; ``out`` are the result's columns after the key's."""
     use_rocksdb(rows.sparkSession)
     rows = rows.withWatermark("ts", late).select(*by, "ts", F.unix_micros("ts").alias("us_"), *columns)
     kinds = dict(rows.dtypes)
     schema = StructType.fromDDL(", ".join(f"`{k}` {kinds[k]}" for k in by) + ", " + out)
-    held = ", ".join(f"`{c}` {kinds[c]}" for c in ("us_", *columns))
-    made = processor(("us_", *columns), held, schema.names)
+    made = processor(("us_", *columns), schema.names)
     return rows.groupBy(*by).transformWithStateInPandas(made, schema, "Append", "EventTime")
 
 
@@ -232,7 +296,7 @@ def coupled(fast: DataFrame, slow: DataFrame, x: str = "close", by: tuple[str, .
     both = one(slow, 0).unionByName(one(fast, 1)).withColumn("us_", F.unix_micros("ts"))
     kinds = dict(both.dtypes)
     schema = StructType.fromDDL(", ".join(f"`{k}` {kinds[k]}" for k in by) + ", us_ bigint, value double, since_ bigint, slow double")
-    made = InOrder(lambda key: _Coupler(), ("us_", "side_", "x_"), "us_ bigint, side_ int, x_ double", schema.names)
+    made = InOrder(lambda key: _Coupler(), ("us_", "side_", "x_"), schema.names)
     out = both.groupBy(*by).transformWithStateInPandas(made, schema, "Append", "EventTime")
     return out.select(*by, F.timestamp_micros("us_").alias("ts"), F.col("value").alias(x), F.timestamp_micros("since_").alias("slow_ts"), F.col("slow").alias(f"slow_{x}"))
 
@@ -258,7 +322,8 @@ def day_times(at: int, weekdays: Sequence[int] = range(1, 8)) -> Callable[[int],
 def timed(ticks: DataFrame, next_time: Callable[[int], int], x: str = "price", order: Sequence[str] = (), by: tuple[str, ...] = ("symbol",), late: str = "1 hour") -> DataFrame:
     """A row each time the timer of a key fires: when, the last row's time and value
     by then (of rows at one time the greatest by ``order``), and the rows since it fired before. The timer is set by
-    a row and fires when the watermark passes its time, whether or not another row ever comes."""
+    a row and fires when the watermark passes its time, whether or not another row ever comes. Times are whole
+    milliseconds; ``next_time`` of one of its times is that time, and it never decreases."""
     ticks = ticks.where(F.col(x).isNotNull()).withColumn(x, F.col(x).cast("double"))
     out = _transformed(ticks, by, (*order, x), f"us_ bigint, last_ bigint, `{x}` double, n bigint", late, lambda *a: AtTimes(next_time, *a))
     return out.select(*by, F.timestamp_micros("us_").alias("ts"), F.timestamp_micros("last_").alias("last_ts"), x, "n")
