@@ -1,8 +1,11 @@
 """Collocations against dictionaries of all phrases."""
 
+import os
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -67,6 +70,24 @@ def test_equals_dictionaries(spark, block):
         assert sorted(tuple(x) for x in collocations(docs, least=5, top=None, block=block).collect()) == brute(rows, 5, 4, 80, None)
 
 
+def shuffle_files(spark):
+    at = Path(os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp"))
+    return {f for m in at.glob("**/blockmgr-*") for f in m.glob("*/shuffle_*.data")}
+
+
+def test_passes_over_the_texts_leave_no_shuffle_files(spark):
+    docs = spark.createDataFrame(corpus(1), SCHEMA).repartition(3)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    mode, before = spark.conf.get(key, None), shuffle_files(spark)
+    out = collocations(docs, least=5, top=None, block=4000, bits=12)
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key, None) == mode
+    for _ in range(2):
+        assert sorted(map(tuple, out.collect())) == brute(corpus(1), 5, 4, 80, None)
+
+
 def test_states_share_their_links_counts():
     a = Automaton(b"x y z\xffx y z\xffq y".translate(_FOLD))
     for _ in range(3):

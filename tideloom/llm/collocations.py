@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import shuffles_dropped, small_batches, written
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
@@ -182,19 +182,21 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     occurrences, then by phrase in byte order. Other columns are ignored."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = written(_counts(texts, 1, 1, {}, block))
+    # A pass over the texts shuffles more than twice the input; its files go before the next pass.
+    with shuffles_dropped(docs.sparkSession):
+        words = written(_counts(texts, 1, 1, {}, block))
+        often = written(words.where(F.col("f") >= least))
+        known = {1: _map(often, bits)}
+        for k in range(2, longest + 1):
+            if k > 3:
+                break
+            # pairs first; when pairs are known, all longer phrases in one pass
+            high = 2 if k == 2 else longest
+            more = written(_counts(texts, k, high, known, block).where(F.col("f") >= least))
+            often = often.unionByName(more)
+            if k == 2:
+                known = known | {2: _map(more, bits)}
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = written(words.where(F.col("f") >= least))
-    known = {1: _map(often, bits)}
-    for k in range(2, longest + 1):
-        if k > 3:
-            break
-        # pairs first; when pairs are known, all longer phrases in one pass
-        high = 2 if k == 2 else longest
-        more = written(_counts(texts, k, high, known, block).where(F.col("f") >= least))
-        often = often.unionByName(more)
-        if k == 2:
-            known = known | {2: _map(more, bits)}
     candidates = often.where("words >= 2").withColumnRenamed("f", "a")
 
     # Every cut of a candidate, with the counts of its two parts.

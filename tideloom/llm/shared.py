@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,23 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected inside leaves no shuffle files, which else stay on the
+    executors' disks until the driver forgets them. A frame that is made inside
+    and run twice would shuffle twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
     """``rows`` with their number from 0 within ``by``, in ``order``, which must
     tell many parts of a large group apart and be the same whenever it is read.
